@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, scratch_path, small, stage, whole_text
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Session settings while the stream runs: state on disk, and closed once committed so that executors keep no copy.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 #: Bytes of input that one micro-batch takes.
 BATCH_BYTES = 64 << 30
 
@@ -50,8 +54,9 @@ def _rows(frame: DataFrame) -> DataFrame:
 def keyed_state(spark: SparkSession, path: str, schema) -> DataFrame:
     """(digest, first, n) of every digest, as the stream's state holds it at the end of the input."""
     state = scratch_path(spark, "dedup-state")
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
+    for k, v in STREAM_CONF.items():
+        spark.conf.set(k, v)
     try:
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jvm_path).isFile():
@@ -62,10 +67,8 @@ def keyed_state(spark: SparkSession, path: str, schema) -> DataFrame:
         query.awaitTermination()
         fresh = query.lastProgress is None
     finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     if fresh:
         first = "struct<no_id:boolean,id:bigint,file:string,row:bigint>"
         return spark.createDataFrame([], f"digest string, first {first}, n bigint")
