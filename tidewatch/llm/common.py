@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,3 +64,9 @@ def whole_text(column: str = "text") -> Column:
 def binary_arrow(df: DataFrame, *columns: str) -> DataFrame:
     """Columns for an Arrow kernel, with the text column as UTF-8 bytes."""
     return df.select(*[F.encode(whole_text(c), "UTF-8").alias(c) if c == "text" else F.col(c) for c in columns])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished tables now, not when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -33,6 +33,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard", "passed")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -57,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_mixing, op7_sharding, op9_secret_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_mixing, op7_sharding, op9_secret_scan, op10_toxicity)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
