@@ -51,6 +51,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(documents(spark, sf_dir))
 
 
+def op8_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fuzzy_passages import find_passages
+
+    return find_passages(documents(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan
 
@@ -63,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_mixing, op7_sharding, op9_secret_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_mixing, op7_sharding, op8_fuzzy_passages, op9_secret_scan, op10_toxicity)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
