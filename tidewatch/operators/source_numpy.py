@@ -1,0 +1,24 @@
+"""Forward source models on arrays of stations, for fits on the driver (the column forms are in functions.deformation)."""
+
+from __future__ import annotations
+
+import numpy as np
+
+EXTRA = {"mogi": 0, "sill": 0, "finite_sphere": 1}
+NU = 0.25
+
+
+def displacement(model: str, lat: np.ndarray, lon: np.ndarray, p: np.ndarray, radius: float = 6371.0) -> np.ndarray:
+    """East, north and up displacement of stations for p = (lat, lon, depth, amplitude[, extra])."""
+    y = np.radians(lat - p[0]) * radius
+    x = np.radians(lon - p[1]) * np.cos(np.radians(p[0])) * radius
+    d = p[2]
+    r = np.sqrt(x * x + y * y + d * d)
+    if model == "sill":
+        k = p[3] * d * d / r**5
+    else:
+        k = p[3] / r**3
+    if model == "finite_sphere":
+        a, e = p[4], -7 + 5 * NU
+        k = k * a**3 * (1 + (a / d) ** 3 * ((1 + NU) / (2 * e) + 15 * (NU - 2) / (4 * e) * d * d / (r * r)))
+    return np.stack([k * x, k * y, k * d], axis=1)
