@@ -2,13 +2,13 @@
 
 For each document two histograms are made of its whole text: characters by class, and the
 common words of its language (with all other words as one bin).  The references are the
-mean histograms of each language over all documents that pass the base rules.  A document
+mean histograms of each language over all documents with at least ``min_words`` words.  A document
 is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of either histogram from its
 reference is above a limit, provided it is long enough for the histogram to mean something.
 
 Defined results: null or empty text has no words, fails the base rules and is not kept; a
 language that is null or not in ``COMMON_WORDS`` gets the character test alone; a language
-with fewer than ``min_reference_docs`` passing documents gets no divergence test; rows are
+with fewer than ``min_reference_docs`` such documents gets no divergence test; rows are
 judged one by one, so repeated rows get equal verdicts; other columns are left alone.
 """
 
@@ -121,10 +121,10 @@ def _shares(df: DataFrame) -> DataFrame:
 
 
 def references(measured: DataFrame, rules: Rules) -> DataFrame:
-    """One row per language: mean share of each bin over the documents that pass the base rules."""
+    """One row per language: mean share of each bin over the documents that are long enough."""
     words = len(next(iter(COMMON_WORDS.values()))) + 1
-    # Conditional means, not a filter: a filter would be pushed down and evaluate the word arrays inside its lambdas.
-    passed = ~F.col("base_failed")
+    # Conditional means, not a filter: a filter would be pushed down and make the word arrays once more.
+    passed = F.col("n_words") >= rules.min_words
     means = lambda name, bins: F.array(*[F.avg(F.when(passed, F.col(name)[k])) for k in range(bins)])
     return (
         _shares(measured).groupBy("lang")
