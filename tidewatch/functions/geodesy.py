@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Semi-major axis and flattening in metres; the moon is a sphere.
 ELLIPSOIDS = {"wgs84": (6378137.0, 1 / 298.257223563), "earth": (6378137.0, 1 / 298.257223563), "grs80": (6378137.0, 1 / 298.257222101), "moon": (1737400.0, 0.0)}
@@ -62,10 +63,14 @@ def vincenty(lat1, lon1, lat2, lon2, planet: str = "wgs84", miles: bool = False)
     return np.round(km, 6)
 
 
-@F.pandas_udf("double")
-def vincenty_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    km = pd.Series(vincenty(lat1, lon1, lat2, lon2))
-    return km.astype(object).where(km.notna(), None).astype("Float64").astype(float)
+def vincenty_km(lat1, lon1, lat2, lon2, planet: str = "wgs84", miles: bool = False) -> Column:
+    """Vincenty distance of columns, as an Arrow kernel; NULL where it doesn't converge."""
+
+    def run(a, b, c, d):
+        km = pd.Series(vincenty(a, b, c, d, planet, miles))
+        return km.astype(object).where(km.notna(), None)
+
+    return F.pandas_udf(run, DoubleType(), F.PandasUDFType.SCALAR)(lat1, lon1, lat2, lon2)
 
 
 def nvector(lat: Column, lon: Column) -> Column:
