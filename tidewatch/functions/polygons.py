@@ -63,32 +63,35 @@ def rings_to_polygons(rings: DataFrame) -> DataFrame:
     return owned.groupBy("part", F.col("_owner").alias("id")).agg(F.max_by("ring", F.col("_shell")).alias("shell"), F.transform(holes, lambda h: h["ring"]).alias("holes"), F.max_by("info", F.col("_shell")).alias("info"))
 
 
-def clip_to_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The ring cut to a box (Sutherland-Hodgman, exact for convex rings)."""
+def _cut_half(points: Column, axis: str, other: str, bound: Column, sign: int) -> Column:
+    """The ring's part on one side of a line parallel to an axis."""
+    inside = lambda p: (p[axis] - bound) * sign >= 0
 
-    def half(points: Column, axis: str, other: str, bound: Column, sign: int) -> Column:
-        inside = lambda p: (p[axis] - bound) * sign >= 0
+    def cut(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        t = (bound - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0))
+        cross = {axis: bound, other: a[other] + t * (b[other] - a[other])}
+        met = F.struct(cross["x"].cast("double").alias("x"), cross["y"].cast("double").alias("y"))
+        none = F.array().cast("array<struct<x:double,y:double>>")
+        first = F.when(inside(a), F.array(F.struct(a["x"].alias("x"), a["y"].alias("y")))).otherwise(none)
+        return F.concat(first, F.when(inside(a) != inside(b), F.array(met)).otherwise(none))
 
-        def cut(e: Column) -> Column:
-            a, b = e["a"], e["b"]
-            t = (bound - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0))
-            cross = {axis: bound, other: a[other] + t * (b[other] - a[other])}
-            met = F.struct(cross["x"].cast("double").alias("x"), cross["y"].cast("double").alias("y"))
-            none = F.array().cast("array<struct<x:double,y:double>>")
-            first = F.when(inside(a), F.array(F.struct(a["x"].alias("x"), a["y"].alias("y")))).otherwise(none)
-            return F.concat(first, F.when(inside(a) != inside(b), F.array(met)).otherwise(none))
+    return F.flatten(F.transform(_edges(points), cut))
 
-        return F.flatten(F.transform(_edges(points), cut))
 
-    for axis, other, bound, sign in (("x", "y", x0, 1), ("x", "y", x1, -1), ("y", "x", y0, 1), ("y", "x", y1, -1)):
-        ring = half(ring, axis, other, bound, sign)
-    return ring
+def clip_to_box(df: DataFrame, ring: str, box: tuple[str, str, str, str], name: str = "clipped") -> DataFrame:
+    """New column: the ring cut to the box of columns (x0, y0, x1, y1), side after side (exact for convex rings)."""
+    df = df.withColumn(name, F.col(ring))
+    for axis, other, bound, sign in (("x", "y", box[0], 1), ("x", "y", box[2], -1), ("y", "x", box[1], 1), ("y", "x", box[3], -1)):
+        df = df.withColumn(name, _cut_half(F.col(name), axis, other, F.col(bound), sign))
+    return df
 
 
-def box_overlap(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Share of the box that the ring covers."""
-    cut = clip_to_box(ring, x0, y0, x1, y1)
-    return F.abs(F.coalesce(shoelace(cut), F.lit(0.0))) / ((x1 - x0) * (y1 - y0))
+def box_overlap(df: DataFrame, ring: str, box: tuple[str, str, str, str], name: str = "share") -> DataFrame:
+    """New column: share of the box that the ring covers."""
+    df = clip_to_box(df, ring, box, "_cut")
+    x0, y0, x1, y1 = map(F.col, box)
+    return df.withColumn(name, F.abs(F.coalesce(shoelace(F.col("_cut")), F.lit(0.0))) / ((x1 - x0) * (y1 - y0))).drop("_cut")
 
 
 def remap(ring: Column, from_box: tuple[float, float, float, float], to_box: tuple[float, float, float, float]) -> Column:

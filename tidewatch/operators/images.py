@@ -115,8 +115,8 @@ def squares_over_polygons(polygons: DataFrame, size: float = 100.0, stride: floa
     """(id, x0, y0, share): squares over each polygon's padded bounds that it covers by more than ``required``."""
     xs = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("xmax") - F.col("xmin") + 2 * size) / stride)), lambda k: F.col("xmin") - size + k * stride))
     ys = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("ymax") - F.col("ymin") + 2 * size) / stride)), lambda k: F.col("ymin") - size + k * stride))
-    at = polygons.withColumn("x0", xs).withColumn("y0", ys)
-    return at.withColumn("share", box_overlap(F.col("shell"), F.col("x0"), F.col("y0"), F.col("x0") + size, F.col("y0") + size)).where(F.col("share") > required).select("id", "x0", "y0", "share")
+    at = polygons.withColumn("x0", xs).withColumn("y0", ys).withColumns({"x1": F.col("x0") + size, "y1": F.col("y0") + size})
+    return box_overlap(at, "shell", ("x0", "y0", "x1", "y1")).where(F.col("share") > required).select("id", "x0", "y0", "share")
 
 
 def recentre(cells: DataFrame, width: int, shift: int) -> DataFrame:
