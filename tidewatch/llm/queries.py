@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_sql
 from .common import documents
 
 
@@ -72,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_mixing, op7_sharding, op8_fuzzy_passages, op9_secret_scan, op10_toxicity)}
 
 ORACLES = {
+    "op3_quality_rules": quality_sql.SQL,
     "op4_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
