@@ -294,3 +294,20 @@ def test_tec_low_pass():
     assert np.nanmax(np.abs(out - slow)) < 1e-6
     with pytest.raises(ValueError):
         kernels.low_pass_tec(t, slow, 80, 3)
+
+
+def test_vector_layers(spark):
+    from tidewatch.operators import vectors
+
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    schema = "feature_id int, shell array<struct<x:double,y:double>>, fields map<string,string>"
+    a = polygons.bounding_box(spark.createDataFrame([(1, square(0.0, 0.0, 2.0), {"n": "a"}), (2, square(9.0, 9.0, 1.0), {})], schema))
+    b = polygons.bounding_box(spark.createDataFrame([(7, square(1.0, 1.0, 2.0), {})], schema))
+    got = vectors.intersect_layers(a, b).withColumn("area", polygons.shoelace(F.col("shell"))).collect()
+    assert [(r.a_id, r.b_id, r.area, r.fields) for r in got] == [(1, 7, 1.0, {"n": "a"})]
+    assert vectors.union_area(a, b).first().area == pytest.approx(4 + 1 + 4 - 1)
+    grown = vectors.buffer_features(a.where("feature_id = 1"), 1.0, 64).withColumn("area", polygons.shoelace(F.col("shell"))).first()
+    assert grown.area == pytest.approx(4 + 8 + np.pi, rel=1e-3)
+    line = vectors.borders(a.where("feature_id = 1").withColumn("holes", F.lit(None).cast("array<array<struct<x:double,y:double>>>"))).first().line
+    assert len(line) == 5 and line[0] == line[-1]
+    assert vectors.effective_size(np.random.default_rng(0).normal(size=500)) == pytest.approx(500, rel=0.2)
