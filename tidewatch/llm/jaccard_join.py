@@ -7,10 +7,10 @@
    documents.  Two sets can only reach the limit if they share a shingle among the first
    ``n - ceil(t n) + 1`` of each; shingles of a single class can't be shared, so a set with
    enough of them has no partner.
-3. Classes that share a prefix shingle are joined on it into candidate clusters (each
-   shingle links its classes to the least of them, never all pairs).
-4. Within a cluster, sets meet in blocks: by size bucket (length filter: only the same or
-   the next bucket) and a hashed block of at most ``BLOCK`` sets.  In a pair of blocks the
+3. Classes that share a prefix shingle and whose sizes lie in the same or neighbouring
+   buckets (length filter) are joined on both into candidate clusters (each shingle and
+   bucket links its classes to the least of them, never all pairs).
+4. Within a cluster, sets meet in blocks: by size bucket and a hashed block of at most ``BLOCK`` sets.  In a pair of blocks the
    prefix, positional and suffix filters leave candidates, each verified once; only a
    spanning forest of the links leaves the task.
 5. Links make components; classes pass theirs to all their documents.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import binary_arrow, small, stage
 from .components import components
 
-BLOCK = 128
+BLOCK = 512
 #: Class keys a task remembers so as to emit a copied set's shingles once.
 SEEN = 500_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -199,13 +199,20 @@ def _clusters(rows: DataFrame, percent: int) -> DataFrame:
     n = F.col("n")
     p = n - F.floor((n * percent + 99) / 100).cast("long") + 1
     left = p - (F.col("held") - F.size("own"))
-    prefix = stage(per_class.withColumn("left", left).where("left > 0").select("key", "n", F.explode(F.expr("slice(own, 1, int(left))")).alias("t")).select("key", "n", F.col("t.token").alias("token")), "join-prefix")
-    least = prefix.groupBy("token").agg(F.min("key").alias("b"), F.max("key").alias("hi")).where("b < hi").select("token", "b")
-    links = prefix.join(least, "token").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    bucket = size_bucket(n, percent)
+    keyed = F.explode(F.array(bucket, bucket + 1)).alias("bucket")  # sizes in neighbouring buckets share one of them
+    prefix = stage(per_class.withColumn("left", left).where("left > 0").select("key", "n", F.explode(F.expr("slice(own, 1, int(left))")).alias("t")).select("key", "n", F.col("t.token").alias("token"), keyed), "join-prefix")
+    least = prefix.groupBy("token", "bucket").agg(F.min("key").alias("b"), F.max("key").alias("hi")).where("b < hi").select("token", "bucket", "b")
+    links = prefix.join(least, ["token", "bucket"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
     found = components(links).withColumnsRenamed({"node": "key", "component": "cluster"})
     return prefix.select("key", "n").distinct().join(found, "key")
 
 
+def size_bucket(n, percent: int):
+    """Number of the size's bucket: sizes that can reach the limit lie in the same or neighbouring buckets."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) - 1e-9).cast("int")
+
+
 def share_of(percent: int) -> int:
     """Share (in 1/1024) of the shingles whose frequency orders the prefixes: 1.7 times what prefixes take."""
     return min(1024, round(1024 * 1.7 * (100 - percent) / 100))
@@ -214,10 +221,8 @@ def share_of(percent: int) -> int:
 def _links(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) between class keys: a spanning forest within every pair of blocks."""
     grouped = stage(_clusters(rows, percent), "join-clusters")
-    bucket = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) - 1e-9).cast("int")
-    sized = grouped.withColumn("bucket", bucket)
-    blocks = sized.groupBy("cluster", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = stage(blocks, "join-blocks")
+    sized = grouped.withColumn("bucket", size_bucket(F.col("n"), percent))
+    blocks = stage(sized.groupBy("cluster", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "join-blocks")
     at = lambda shift, name: blocks.select("cluster", (F.col("bucket") + shift).alias("bucket"), F.col("blocks").alias(name))
     sized = sized.join(at(0, "own"), ["cluster", "bucket"]).join(at(1, "below"), ["cluster", "bucket"], "left").join(at(-1, "above"), ["cluster", "bucket"], "left")
     block = F.pmod(F.xxhash64("key"), F.col("own")).cast("int")
