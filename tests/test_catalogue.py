@@ -12,7 +12,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return None
     if isinstance(v, int | float | np.number) and not isinstance(v, bool | np.bool_):
         return round(float(v), 6) + 0.0
