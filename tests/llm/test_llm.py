@@ -300,6 +300,17 @@ def test_fuzzy_passages(spark, plain, nothing):
     assert fuzzy_passages.find_passages(plain).count() > 0
 
 
+@pytest.mark.parametrize("apart", [40, 200, 350])
+def test_two_passages_of_one_pair_are_both_found(spark, apart):
+    """Unrelated words between two shared passages must not make one failing chain of them."""
+    rng = random.Random(apart)
+    one, two = [prose(rng, 60, 10**6) for _ in range(2)]
+    docs = [(1, f"{one} {prose(rng, apart, 10**6)} {two}"), (2, f"{one} {prose(rng, apart, 10**6)} {two}")]
+    got = fuzzy_passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = {(0, 60), (60 + apart, 120 + apart)}
+    assert {(r.start_word, r.end_word) for r in got} == want == {(r.other_start, r.other_end) for r in got} and len(got) == 2
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(1)
     for _ in range(30):
