@@ -311,6 +311,28 @@ def test_two_passages_of_one_pair_are_both_found(spark, apart):
     assert {(r.start_word, r.end_word) for r in got} == want == {(r.other_start, r.other_end) for r in got} and len(got) == 2
 
 
+def test_pair_between_partial_holders_is_found(spark):
+    """B and C share a passage of which an earlier text holds the first half only and a later one the last half only."""
+    rng = random.Random(8)
+    passage = prose(rng, 60, 10**6).split()
+    other = lambda: prose(rng, 70, 10**6).split()
+    texts = [passage[:30] + other(), other() + passage + other(), passage + other(), other() + passage[30:]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = fuzzy_passages.find_passages(docs).collect()
+    assert [(r.doc_id, r.other_id, r.start_word, r.end_word, r.other_start, r.other_end) for r in got] == [(2, 1, 0, 60, 70, 130)]
+
+
+def test_all_pairs_of_holders_and_copies(spark, monkeypatch):
+    """Every pair of different texts once, over several blocks; equal texts with the first of them."""
+    monkeypatch.setattr(fuzzy_passages, "BLOCK", 2)
+    rng = random.Random(9)
+    passage = prose(rng, 60, 10**6)
+    texts = [prose(rng, 20, 10**6) + " " + passage for _ in range(9)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[4], texts[4].upper()])], "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(sorted((r.doc_id, r.other_id))) for r in fuzzy_passages.find_passages(docs).collect())
+    assert got == sorted([*itertools.combinations(range(9), 2), (4, 9), (4, 10)])
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(1)
     for _ in range(30):
