@@ -333,6 +333,33 @@ def test_all_pairs_of_holders_and_copies(spark, monkeypatch):
     assert got == sorted([*itertools.combinations(range(9), 2), (4, 9), (4, 10)])
 
 
+def test_densely_edited_passages_are_found(spark):
+    """80 % agreement over 50 words with an edit in every fifth word; 75 % is not a passage."""
+    rng = random.Random(10)
+    docs = []
+    for k, every in enumerate((5, 8, 4)):
+        passage = prose(rng, 50, 10**6).split()
+        edited = [f"e{k}-{n}" if n % every == every // 2 else w for n, w in enumerate(passage)]
+        docs += [(2 * k, " ".join([*prose(rng, 40, 10**6).split(), *passage])), (2 * k + 1, " ".join([*edited, *prose(rng, 30, 10**6).split()]))]
+    got = fuzzy_passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(sorted((r.doc_id, r.other_id))) for r in got) == [(0, 1), (2, 3)]
+
+
+def test_recall_of_random_edits():
+    """Every passage with random substitutions that leave 80, 85 or 90 % is found in the pair of texts that hold it."""
+    rng = random.Random(12)
+    for n, percent in itertools.product((60, 100), (80, 85, 90)):
+        for _ in range(20):
+            passage, around = prose(rng, n, 10**6).split(), [prose(rng, 80, 10**6).split() for _ in range(4)]
+            changed = set(rng.sample(range(1, n - 1), n * (100 - percent) // 100))
+            sides = [around[0] + passage + around[1], around[2] + [f"e{k}" if k in changed else w for k, w in enumerate(passage)] + around[3]]
+            a, b = (fuzzy_passages.word_hashes(" ".join(s).encode()) for s in sides)
+            at = dict(zip(*(c.tolist() for c in fuzzy_passages.seeds(b)), strict=True))
+            matches = [(x, at[g]) for g, x in zip(*(c.tolist() for c in fuzzy_passages.seeds(a)), strict=True) if g in at]
+            found = [p for c in fuzzy_passages.chains(list(fuzzy_passages.thin(matches))) for p in fuzzy_passages.align(a, b, c)]
+            assert any(p[0] < 80 + n and p[1] > 80 for p in found)
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(1)
     for _ in range(30):
