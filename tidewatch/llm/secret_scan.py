@@ -1,7 +1,10 @@
 """Secret scan: candidate strings judged by a random forest.
 
-A candidate is a white-space word of at least ``MIN_LENGTH`` characters that holds a digit
-and a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_=.-]``.  Its features are
+Candidates lie in white-space words of at least ``MIN_LENGTH`` characters that hold a digit
+and a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_=.-]``.  Every token run of
+8 characters or more in such a word is one if it holds a digit or ends the word; a word
+without such a run is one as a whole.  The text since the candidate before it in the word is
+its context, and the words before count for the first one alone.  Its features are
 its length, its character classes and the transitions between them, the share that common
 letter groups cover, signs of paths, addresses and numbers, and the words beside it.  The
 forest is trained here from labelled findings: seeded examples of secrets (access keys,
@@ -10,7 +13,7 @@ positives (UUIDs, commit and file hashes, paths, addresses, mail, telephone and
 numbers, identifiers, versions).  Everything runs as SQL expressions and JVM ML.
 
 Defined results: null or empty text has no candidates; every candidate gives a row, with
-its word number, so repeated candidates and repeated rows are rows of their own; an empty
+its word number and its place in the word, so repeated candidates and repeated rows are rows of their own; an empty
 table gives no rows; the candidate itself is returned as a SHA-256 and a masked form.
 """
 
@@ -31,6 +34,17 @@ SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_k
 OTHER_WORDS = ["commit", "sha", "md5", "uuid", "guid", "isbn", "checksum", "digest", "revision", "version", "id", "call", "tel", "phone", "card", "mail", "visit", "see", "at", "file"]
 LETTER_GROUPS = ["the", "ing", "ion", "tion", "ent", "and", "er", "re", "on", "in", "an", "th", "he", "en", "ed", "es", "st", "le", "com", "example", "user", "data", "file", "name", "test", "main", "src", "index"]
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "longest_letters", "hex_only", "covered", "slashes", "dots", "at_sign", "dashes", "uuid", "assigned", "secret_near", "other_near", "quoted", "prefix_token"]
+#: Token runs that are candidates: those with a digit, and the one that ends the word.
+_TOKEN = "[A-Za-z0-9+/_.@-]"
+RUNS = f"(?<!{_TOKEN})((?=[A-Za-z+/_.@-]*[0-9]){_TOKEN}{{8,}}={{0,2}}|{_TOKEN}{{8,}}={{0,2}}(?=[^A-Za-z0-9]*$))"
+
+
+def _pieces(word: Column) -> Column:
+    """The word cut after each candidate run; what follows the last one stays with it unless it holds letters or digits."""
+    cut = F.split(F.regexp_replace(word, RUNS, "$1\n"), "\n")  # words hold no line ends
+    return F.when(F.size(cut) < 2, F.array(word)).when(F.element_at(cut, -1).rlike("[A-Za-z0-9]"), F.slice(cut, 1, F.size(cut) - 1)).otherwise(
+        F.concat(F.slice(cut, 1, F.size(cut) - 2), F.array(F.array_join(F.slice(cut, -2, 2), "")))
+    )
 
 
 def _core() -> Column:
@@ -73,14 +87,17 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_index, word and the words around it, one row for each candidate of each whole text."""
+    """doc_id, word_index, part (place in the word), word (the part itself) and the words around it, one row for each candidate of each whole text."""
     words = F.array_remove(F.split(F.regexp_replace(whole_text(), f"[{SPACE}]+", " "), " "), "")
     df = docs.select("doc_id", F.transform(words, lambda w: w).alias("words"))
     fits = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike("[0-9]") & w.rlike("[A-Za-z0-9+/_=.-]{%d,}" % MIN_LENGTH)
     numbered = F.filter(F.transform("words", lambda w, i: F.when(fits(w), i)), lambda i: i.isNotNull())
     df = df.withColumn("at", numbered)
     picked = F.transform("at", lambda i: F.struct(i.alias("i"), F.get("words", i).alias("word"), *[F.coalesce(F.when(i + k >= 0, F.get("words", i + k)), F.lit("")).alias(name) for k, name in ((-2, "before2"), (-1, "before1"), (1, "after1"))]))
-    return df.select("doc_id", F.explode(picked).alias("c")).select("doc_id", F.col("c.i").cast("long").alias("word_index"), "c.word", "c.before2", "c.before1", "c.after1")
+    each = df.select("doc_id", F.explode(picked).alias("c")).select("doc_id", F.col("c.i").cast("long").alias("word_index"), "c.*")
+    each = each.select("doc_id", "word_index", "before2", "before1", "after1", F.posexplode(_pieces(F.col("word"))).alias("part", "word"))
+    first = lambda c: F.when(F.col("part") == 0, F.col(c)).otherwise("").alias(c)
+    return each.select("doc_id", "word_index", "part", "word", first("before2"), first("before1"), "after1")
 
 
 def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED) -> DataFrame:
@@ -125,10 +142,10 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """doc_id, word_index, candidate_sha256, masked, length, score and is_secret of every candidate."""
+    """doc_id, word_index, candidate_sha256, masked, length, score, is_secret and part of every candidate."""
     spark = docs.sparkSession
     model = model or train(labelled_findings(spark))
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(docs)))
     scored = model.transform(table).withColumn("score", vector_to_array("probability")[1])
     masked = F.concat(F.substring("core", 1, 4), F.lit("..."), F.length("core").cast("string"))
-    return scored.select("doc_id", "word_index", F.sha2(F.encode("core", "UTF-8"), 256).alias("candidate_sha256"), masked.alias("masked"), F.length("core").cast("long").alias("n_chars"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("is_secret"))
+    return scored.select("doc_id", "word_index", F.sha2(F.encode("core", "UTF-8"), 256).alias("candidate_sha256"), masked.alias("masked"), F.length("core").cast("long").alias("n_chars"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("is_secret"), "part")
