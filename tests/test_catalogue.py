@@ -45,6 +45,12 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["horn_slope", "fast_marching"])
+def test_every_raster_is_read(spark, name):
+    rasters = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").distinct().count()
+    assert catalogue.QUERIES[name](spark, SF).select("raster_id").distinct().count() == rasters
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -74,8 +74,11 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100")
-    p = e.select(F.col("vec_id").alias("raster_id"), F.posexplode("embedding").alias("p", "value"))
+    return cells(table(spark, sf_dir, "embeddings").where("vec_id < 100"))
+
+
+def cells(embeddings: DataFrame) -> DataFrame:
+    p = embeddings.select(F.col("vec_id").alias("raster_id"), F.posexplode("embedding").alias("p", "value"))
     return p.select("raster_id", F.floor(F.col("p") / 8).alias("j"), (F.col("p") % 8).cast("long").alias("i"), F.col("value").cast("double").alias("value"))
 
 
@@ -568,8 +571,8 @@ def grid_gradient(spark, sf_dir):
 
 @query()
 def horn_slope(spark, sf_dir):
-    cells = grid(spark, sf_dir).withColumns({"lon": F.col("i") * 1.0, "lat": 40.0 - F.col("j"), "value": F.col("value") * 100})
-    return windows.horn_slope(cells).select("raster_id", "j", "i", r("slope").alias("slope"))
+    whole = cells(table(spark, sf_dir, "embeddings")).withColumns({"lon": F.col("i") * 1.0, "lat": 40.0 - F.col("j"), "value": F.col("value") * 100})
+    return windows.horn_slope(whole).select("raster_id", "j", "i", r("slope").alias("slope"))
 
 
 @query(
@@ -695,8 +698,8 @@ def arctan_amplitudes(spark, sf_dir):
 
 @query()
 def fast_marching(spark, sf_dir):
-    cells = grid(spark, sf_dir).where("raster_id < 20").withColumns({"j": F.col("j").cast("int"), "i": F.col("i").cast("int"), "lon": F.col("i") * 1.0, "lat": 4.0 - F.col("j"), "velocity": 1 + F.abs("value"), "initiation": F.when((F.col("j") == 3) & (F.col("i") == 3), 0.0).otherwise(1.0)})
-    return search.fast_marching(cells)
+    whole = cells(table(spark, sf_dir, "embeddings")).withColumns({"j": F.col("j").cast("int"), "i": F.col("i").cast("int"), "lon": F.col("i") * 1.0, "lat": 4.0 - F.col("j"), "velocity": 1 + F.abs("value"), "initiation": F.when((F.col("j") == 3) & (F.col("i") == 3), 0.0).otherwise(1.0)})
+    return search.fast_marching(whole)
 
 
 @query("SELECT range AS idx FROM range(1000)")
