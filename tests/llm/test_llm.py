@@ -436,6 +436,15 @@ def test_toxicity_held_out(spark, nothing):
     assert {r.score for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_packing_keeps_null_doc_ids(spark):
+    """Documents without an id that are laid end to end and cut lose none of their ids."""
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randrange(3, 60)) for _ in range(40)]
+    total = lambda ids: {(r.doc_id is None): r.n for r in packing.pack(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), 64).groupBy(F.col("doc_id").isNull(), "doc_id").agg(F.sum("length").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+    named = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 64)
+    assert total([None] * len(texts)) == {True: named.agg(F.sum("length").alias("n")).first().n}
+
+
 def test_clashing_columns(spark, docs, rows):
     n = len(rows)
     assert quality_rules.judge(docs.drop("kept")).count() == n

@@ -289,10 +289,12 @@ def _cut_pieces(source: DataFrame, cut_docs: DataFrame, window: int, total: int,
     from .common import small
 
     numbered = cut_docs.withColumn("turn", F.row_number().over(Window.partitionBy("cut_id", "n", "rest_crc").orderBy("place")))
-    texts = source.join(small(cut_docs.select(F.col("cut_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    laid = small(cut_docs.select(F.col("cut_id").alias("laid_id")).distinct())
+    texts = source.join(laid, F.col("doc_id").eqNullSafe(F.col("laid_id")), "left_semi")  # a null doc_id is one too
     marked = texts.mapInArrow(_rest_crc(window, vocabulary), "cut_id long, text binary, n long, rest_crc long")
     marked = marked.withColumn("turn", F.row_number().over(Window.partitionBy("cut_id", "n", "rest_crc").orderBy("text")))
-    placed = marked.join(numbered.select("cut_id", "n", "rest_crc", "turn", "place"), ["cut_id", "n", "rest_crc", "turn"])
+    numbered = numbered.withColumnRenamed("cut_id", "laid_id").select("laid_id", "n", "rest_crc", "turn", "place")
+    placed = marked.withColumnsRenamed({"n": "made_n", "rest_crc": "made_crc", "turn": "made_turn"}).join(numbered, F.col("cut_id").eqNullSafe(F.col("laid_id")) & (F.col("made_n") == F.col("n")) & (F.col("made_crc") == F.col("rest_crc")) & (F.col("made_turn") == F.col("turn")))
     return placed.select("cut_id", "text", "place").mapInArrow(_recut(window, total, exact, vocabulary), PIECE)
 
 
