@@ -445,6 +445,13 @@ def test_packing_keeps_null_doc_ids(spark):
     assert total([None] * len(texts)) == {True: named.agg(F.sum("length").alias("n")).first().n}
 
 
+def test_mixed_rows_lie_in_the_order_of_their_shard(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and more", "en", "abc"[k % 3], 0) for k in range(120)], DOCS)
+    order = {r.doc_id: r.local_order for r in mixing.mix(docs, shards=1).collect()}
+    got = [order[r.doc_id] for r in mixing.mixed(docs, shards=1).collect()]
+    assert len(got) > 60 and got == sorted(got)
+
+
 def test_clashing_columns(spark, docs, rows):
     n = len(rows)
     assert quality_rules.judge(docs.drop("kept")).count() == n

@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each time a document is taken; one taken in part is cut to its first words."""
+    """The mix itself, with the columns of ``docs``: a row for each time a document is taken; one taken in part is cut to its first words.  The takes lie shard by shard in local order."""
     own = docs.columns
     df = mix(docs, **options).where("taken > 0").withColumn("_take", F.explode(F.expr("sequence(1, int(ceil(taken / size)))")))
     rest = F.col("taken") - (F.col("_take") - 1) * F.col("size")
@@ -137,4 +137,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     df = df.withColumn("text", text)
     if "n_chars" in own:
         df = df.withColumn("n_chars", F.when(rest >= F.col("size"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    df = df.withColumn("_shard", F.get("shards", F.col("_take") - 1)).repartition("_shard").sortWithinPartitions("_shard", "local_order")
     return df.select(*own)
