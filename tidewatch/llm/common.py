@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +18,43 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if spark.sparkContext.getCheckpointDir() else None
+    """The folder that driver and executors share; one of our own only where the session names none and runs on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    for held in _SCOPES:
+        held.append(path)
+    return path
+
+
+#: Lists of the scratch paths made while a :func:`scratch` scope is open.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the scratch paths that are made inside, to be deleted with :func:`delete` once nothing reads them."""
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.remove(held)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -37,14 +64,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete a table written by :func:`stage` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidewatch/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`stage` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, [p for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if "/tidewatch/" in p])
+
+
+def own_columns(docs: DataFrame, keep: list[str] | None = None) -> Column:
+    """The caller's columns as one struct ``_own``, so that no name of theirs meets one of an operator."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in keep or docs.columns]).alias("_own")
+
+
+def give_back(docs: DataFrame, keep: list[str] | None = None, made: tuple[str, ...] = ()) -> list[Column]:
+    """The caller's columns out of ``_own``; a column that the operator makes replaces one of the same name."""
+    names = {m.lower() for m in made}
+    return [F.col("_own")[c].alias(c) for c in keep or docs.columns if c.lower() not in names]
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
