@@ -2,14 +2,19 @@
 
 For each document two histograms are made of its whole text: characters by class, and the
 common words of its language (with all other words as one bin).  The references are the
-mean histograms of each language over all documents with at least ``min_words`` words.  A document
+mean histograms of each language over all documents that pass the base rules.  A document
 is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of either histogram from its
 reference is above a limit, provided it is long enough for the histogram to mean something.
+The word limit is a share of the distance that a text without any common word has, so it lies
+within reach in every language.  Texts are measured once: histograms and counts are written,
+references are taken from them and joined back.
 
 Defined results: null or empty text has no words, fails the base rules and is not kept; a
 language that is null or not in ``COMMON_WORDS`` gets the character test alone; a language
 with fewer than ``min_reference_docs`` such documents gets no divergence test; rows are
-judged one by one, so repeated rows get equal verdicts; other columns are left alone.
+judged one by one, so repeated rows and ties get equal verdicts and null doc_ids do not matter;
+texts are measured whole, however long; an empty table gives no rows.  Other columns stay as
+they are; where one has the name of a column made here, the made one replaces it.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, whole_text
+from .common import SPACE, give_back, own_columns, stage, whole_text
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -36,9 +41,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Distances above these reject.
+    #: Distances of characters above this reject; of words, above this share of the distance of a text without common words.
     char_limit: float = 0.25
-    word_limit: float = 0.4
+    word_limit: float = 0.85
     #: Guards: shorter documents get no divergence test.
     min_chars: int = 300
     min_hist_words: int = 50
@@ -106,8 +111,9 @@ def _base(df: DataFrame, rules: Rules) -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
 
 
-def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
-    df = docs.withColumn("_text", whole_text()).withColumn("_flat", _words_text(F.col("_text")))
+def _measured(docs: DataFrame, rules: Rules, keep: list[str] | None = None) -> DataFrame:
+    """The caller's columns as ``_own``, lang, the base counts, base_failed and the histograms."""
+    df = docs.select(own_columns(docs, keep), F.col("lang"), whole_text().alias("_text")).withColumn("_flat", _words_text(F.col("_text")))
     df = _char_classes(_base(df, rules))
     return _common_words(df).drop("_text", "_flat", "_words", "_lines", "_windows", "_repeats", "_sorted")
 
@@ -120,39 +126,46 @@ def _shares(df: DataFrame) -> DataFrame:
     return df
 
 
-def references(measured: DataFrame, rules: Rules) -> DataFrame:
-    """One row per language: mean share of each bin over the documents that are long enough."""
+def references(shares: DataFrame, rules: Rules) -> DataFrame:
+    """One row per language: mean share of each bin over the documents that pass the base rules, and the word limit."""
     words = len(next(iter(COMMON_WORDS.values()))) + 1
-    # Conditional means, not a filter: a filter would be pushed down and make the word arrays once more.
-    passed = F.col("n_words") >= rules.min_words
-    means = lambda name, bins: F.array(*[F.avg(F.when(passed, F.col(name)[k])) for k in range(bins)])
-    return (
-        _shares(measured).groupBy("lang")
-        .agg(means("char_shares", len(CHAR_CLASSES)).alias("ref_chars"), means("word_shares", words).alias("ref_words"), F.count_if(passed).alias("ref_docs"))
+    means = lambda name, bins: F.array(*[F.avg(F.col(name)[k]) for k in range(bins)])
+    found = (
+        shares.where(~F.col("base_failed")).groupBy(F.col("lang").alias("ref_lang"))
+        .agg(means("char_shares", len(CHAR_CLASSES)).alias("ref_chars"), means("word_shares", words).alias("ref_words"), F.count(F.lit(1)).alias("ref_docs"))
         .where(F.col("ref_docs") >= rules.min_reference_docs)
-        .withColumnRenamed("lang", "ref_lang")
     )
+    none = F.array(*[F.lit(float(k == words - 1)) for k in range(words)])
+    return found.withColumn("ref_limit", rules.word_limit * js_distance(none, "ref_words"))
 
 
-def js_distance(shares: str, ref: str) -> Column:
+def js_distance(shares: Column | str, ref: Column | str) -> Column:
     """Jensen-Shannon distance (base 2) of two arrays of shares."""
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     terms = F.zip_with(shares, ref, lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the base counts, base_failed, char_distance, word_distance and kept."""
-    own = docs.columns
+MADE = (*COUNTS, "base_failed", "kept", "char_distance", "word_distance")
+
+
+def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns named in ``keep``) with the base counts, base_failed, kept, char_distance and word_distance."""
+    df = _shares(stage(_measured(docs, rules, keep), "quality-measured"))
     # The references are a row per language; written first, their size is known when they are joined.
-    refs = stage(references(_measured(docs.select("text", "lang"), rules), rules), "quality-references")
-    df = _shares(_measured(docs, rules)).join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    refs = stage(references(df, rules), "quality-references")
+    df = df.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     df = df.withColumns(
         {
             "char_distance": F.when(F.col("word_chars") >= rules.min_chars, js_distance("char_shares", "ref_chars")),
             "word_distance": F.when(F.col("n_words") >= rules.min_hist_words, js_distance("word_shares", "ref_words")),
         }
     )
-    far = F.coalesce(F.col("char_distance") > rules.char_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.word_limit, F.lit(False))
-    # One CASE over both sides of the join, so that a filter on kept stays above it.
-    return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~far)).select(*own, *COUNTS, "base_failed", "kept", "char_distance", "word_distance")
+    far = F.coalesce(F.col("char_distance") > rules.char_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > F.col("ref_limit"), F.lit(False))
+    return df.withColumn("kept", ~F.col("base_failed") & ~far).select(*give_back(docs, keep, MADE), *MADE)
+
+
+def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    whole = docs.select(own_columns(docs), *[F.col(c) for c in ("text", "lang")])
+    return judge(whole, rules, ["_own"]).where("kept").select(*give_back(docs))

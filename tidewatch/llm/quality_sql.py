@@ -16,7 +16,7 @@ CHARS = " UNION ALL ".join([*(f"SELECT doc_id, lang, {k} AS b, {x} AS n FROM d"
 
 def _distance(name: str) -> str:
     return f"""{name}_p AS (SELECT doc_id, lang, b, n * 1.0 / nullif(sum(n) OVER (PARTITION BY doc_id), 0) AS p FROM {name}),
- {name}_q AS (SELECT {name}_p.lang AS lang, b, avg(p) AS q FROM {name}_p JOIN c USING (doc_id) WHERE c.n_words >= {RULES.min_words} GROUP BY 1, 2),
+ {name}_q AS (SELECT {name}_p.lang AS lang, b, avg(p) AS q FROM {name}_p JOIN c USING (doc_id) WHERE NOT c.base_failed GROUP BY 1, 2),
  {name}_d AS (SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS dist
    FROM {name}_p JOIN {name}_q USING (lang, b) JOIN big USING (lang) WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY doc_id)"""
 
@@ -29,10 +29,11 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
  rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM tri WHERE x IS NOT NULL) WHERE c > 1),
  cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
  ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
- c AS (SELECT d.doc_id, d.lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+ c0 AS (SELECT d.doc_id, d.lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
    FROM d JOIN w0 USING (doc_id) JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
- big AS (SELECT lang FROM c WHERE n_words >= {RULES.min_words} GROUP BY lang HAVING count(*) >= {RULES.min_reference_docs}),
+ c AS (SELECT *, n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words AS base_failed FROM c0),
+ big AS (SELECT lang FROM c WHERE NOT base_failed GROUP BY lang HAVING count(*) >= {RULES.min_reference_docs}),
  chars AS ({CHARS}),
  lists AS ({LISTS}),
  hits AS (SELECT w.doc_id, lists.b, count(*) AS n FROM w JOIN lists ON w.lang = lists.lang AND lower(w.w) = lists.w GROUP BY 1, 2),
@@ -40,7 +41,7 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
    UNION ALL SELECT c.doc_id, c.lang, {BINS}, c.n_words - coalesce((SELECT sum(n) FROM hits WHERE hits.doc_id = c.doc_id), 0) FROM c WHERE c.lang IN ({LANGS})),
  {_distance("chars")},
  {_distance("common")},
- v AS (SELECT c.*, n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words AS base_failed,
-   coalesce(word_chars >= {RULES.min_chars} AND chars_d.dist > {RULES.char_limit}, false) OR coalesce(n_words >= {RULES.min_hist_words} AND common_d.dist > {RULES.word_limit}, false) AS far
-   FROM c LEFT JOIN chars_d ON chars_d.doc_id = c.doc_id LEFT JOIN common_d ON common_d.doc_id = c.doc_id)
+ reach AS (SELECT lang, {RULES.word_limit} * sqrt(sum(CASE WHEN b = {BINS} THEN log2(2 / (1 + q)) + q * log2(2 * q / (1 + q)) WHEN q > 0 THEN q ELSE 0 END) / 2) AS lim FROM common_q GROUP BY lang),
+ v AS (SELECT c.*, coalesce(word_chars >= {RULES.min_chars} AND chars_d.dist > {RULES.char_limit}, false) OR coalesce(n_words >= {RULES.min_hist_words} AND common_d.dist > reach.lim, false) AS far
+   FROM c LEFT JOIN chars_d ON chars_d.doc_id = c.doc_id LEFT JOIN common_d ON common_d.doc_id = c.doc_id LEFT JOIN reach ON reach.lang = c.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v"""
