@@ -105,7 +105,7 @@ def test_melt_and_widen(spark):
 
 def test_smoother_lowers_error():
     z, x = kernels.simulate_fogm(600, 40.0, 9.0, 4.0, 1)
-    xs, ps, _ = kernels.fogm_smooth(z, 40.0, 9.0, 4.0)
+    xs, ps, _ = kernels.smooth_markov(z, 40.0, 9.0, 4.0)
     assert np.std(xs - x) < 0.7 * np.std(z - x)
     assert (ps > 0).all()
 

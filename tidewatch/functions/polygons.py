@@ -83,7 +83,8 @@ def clip_to_box(df: DataFrame, ring: str, box: tuple[str, str, str, str], name:
     """New column: the ring cut to the box of columns (x0, y0, x1, y1), side after side (exact for convex rings)."""
     df = df.withColumn(name, F.col(ring))
     for axis, other, bound, sign in (("x", "y", box[0], 1), ("x", "y", box[2], -1), ("y", "x", box[1], 1), ("y", "x", box[3], -1)):
-        df = df.withColumn(name, _cut_half(F.col(name), axis, other, F.col(bound), sign))
+        # A lambda variable holds the ring, so that the cuts don't copy each other's expression.
+        df = df.withColumn(name, F.get(F.transform(F.array(name), lambda points: _cut_half(points, axis, other, F.col(bound), sign)), F.lit(0)))  # noqa: B023
     return df
 
 

@@ -22,11 +22,18 @@ def keep_labels(df: DataFrame, labels: list, invert: bool = False) -> DataFrame:
     return df.where(hit if invert else ~hit)
 
 
-def within_radius(df: DataFrame, meta: DataFrame, lat: float, lon: float, radius_km: float, method: str = "haversine") -> DataFrame:
-    """Keep labels at most ``radius_km`` from a point; labels further away go."""
-    near = haversine_km if method == "haversine" else vincenty_km
-    kept = meta.where(near(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) <= radius_km).select(LABEL)
-    return df.join(kept, LABEL, "left_semi")
+def within_radius(df: DataFrame, meta: DataFrame, lat: float, lon: float, radius_km: float, method: str = "wgs84") -> DataFrame:
+    """Keep labels at most ``radius_km`` from a point on the WGS84 ellipsoid (or on a sphere, ``haversine``); labels further away go.
+
+    A latitude band and the distance on a sphere leave only what can be so near for the exact distance.
+    """
+    at = (F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))
+    if method == "haversine":
+        kept = meta.where(haversine_km(*at) <= radius_km)
+    else:  # a degree of latitude has 110.5 km at least; the sphere is within 1 % of the ellipsoid
+        near = meta.where((F.abs(F.col("lat") - lat) <= radius_km / 110.0) & (haversine_km(*at) <= radius_km * 1.01))
+        kept = near.where(vincenty_km(*at) <= radius_km)
+    return df.join(kept.select(LABEL), LABEL, "left_semi")
 
 
 def blank_range(df: DataFrame, columns: list[str], start=None, end=None, labels: list | None = None) -> DataFrame:

@@ -7,11 +7,10 @@ its pixels channel after channel, row after row.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.polygons import box_overlap, contains, in_box
+from ..functions.polygons import box_overlap, contains
 
 IMAGE = "label string, channels int, height int, width int, pixels array<double>, meta map<string,string>, extent array<int>"
 
@@ -103,11 +102,19 @@ def select_tiles(tiled: DataFrame, threshold, min_deviation: float, min_fraction
     return tiled.where(below >= min_fraction).withColumn("label", F.concat("label", F.lit(", Square: "), F.col("tile")))
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """Rows numbered from 0 in an order, range by range: only a count for each range meets in one place."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id() % (1 << 33)}).checkpoint()
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.withColumn("_s", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).drop("_c")
+    return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
+
+
 def add_random_channel(images: DataFrame, tiled: DataFrame, seed: int = 0) -> DataFrame:
     """Stack a tile under each image as a further channel: tiles in seeded order, dealt round to the images in label order."""
-    n = tiled.count()
-    dealt = tiled.select(F.col("pixels").alias("_tile"), (F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "label", "tile"), "label", "tile")) - 1).alias("_k"))
-    at = images.withColumn("_k", (F.row_number().over(Window.orderBy("label")) - 1) % n)
+    dealt = numbered(tiled.select("label", "tile", F.col("pixels").alias("_tile"), F.xxhash64(F.lit(seed), "label", "tile").alias("_o")), "_k", "_o", "label", "tile").select("_tile", "_k")
+    n = max(1, tiled.count())
+    at = numbered(images, "_k", "label").withColumn("_k", F.col("_k") % n)
     return at.join(dealt, "_k").withColumns({"pixels": F.concat("pixels", "_tile"), "channels": F.col("channels") + 1}).drop("_k", "_tile")
 
 
@@ -147,30 +154,54 @@ def path_codes(polygons: DataFrame) -> DataFrame:
     return p.select("id", "ring", "k", "p.x", "p.y", code.alias("code"))
 
 
+def _sphere_cells(lat: Column, reach: float) -> tuple[Column, Column]:
+    """Latitude band of a point and the number of longitude cells in that band: at least ``reach`` degrees wide everywhere in it."""
+    band = F.floor((lat + 90) / reach)
+    return band, _cells_in(band, reach)
+
+
+def _cells_in(band: Column, reach: float) -> Column:
+    far = F.greatest(F.abs(band * reach - 90), F.abs((band + 1) * reach - 90))
+    return F.when(far >= 90 - reach, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(far + reach)) / (2 * reach)))).cast("int")
+
+
 def nearest_sites(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
     """(point columns, site, distance): spherical Voronoi assignment of points (lat, lon) to sites (site, lat, lon).
 
-    Sites at one place count once (the smallest); points meet sites within ``reach`` degrees
-    through latitude bands and longitude squares that widen toward the poles.
+    Sites at one place count once (the smallest).  Points meet the sites within ``reach`` degrees through
+    latitude bands and longitude cells that widen toward the poles; points with none so near look
+    three times as far, until the reach spans the sphere.  NULL only where there are no sites.
     """
     from ..functions.geodesy import haversine
 
     s = sites.groupBy("lat", "lon").agg(F.min("site").alias("site")).select("site", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    band = lambda c: F.floor((c + 90) / reach)
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    right = s.withColumn("_d", near).withColumn("_b", band(F.col("_lat")) + F.col("_d")).drop("_d")
-    met = points.withColumn("_b", band(F.col("lat"))).join(right, "_b")
-    met = met.withColumn("_dist", F.degrees(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))).where(F.col("_dist") <= reach)
-    found = met.groupBy(*points.columns).agg(F.min_by("site", F.struct("_dist", "site")).alias("site"), F.min("_dist").alias("distance"))
-    return points.join(found, points.columns, "left")
-
-
-def clip_points(points: DataFrame, polygon: DataFrame) -> DataFrame:
-    """Points (x, y) inside any of the polygons, with their fields."""
-    met = points.join(polygon.select("shell", "holes", "xmin", "ymin", "xmax", "ymax"), in_box(F.col("x"), F.col("y")) & contains(F.col("x"), F.col("y"), F.col("shell"), F.col("holes")), "left_semi")
-    return met
-
-
-def describe_images(images: DataFrame) -> pd.DataFrame:
-    """Pixels counted and their range, image by image, for a report."""
-    return images.select("label", F.size("pixels").alias("n"), F.array_min("pixels").alias("low"), F.array_max("pixels").alias("high")).orderBy("label").toPandas()
+    out, rest = None, points
+    while True:
+        bands = F.floor((F.col("_lat") + 90) / reach)
+        spread = s.withColumn("_b", F.explode(F.sequence(bands - 1, bands + 1)))
+        n = _cells_in(F.col("_b"), reach)
+        cell = F.floor(F.pmod(F.col("_lon") + 180, F.lit(360.0)) / 360 * n)
+        spread = spread.withColumn("_c", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda o: F.pmod(cell + o, n).cast("int")))))
+        held = spread.groupBy("_b", "_c").agg(F.collect_list(F.struct("site", "_lat", "_lon")).alias("_near"))
+        band, own = _sphere_cells(F.col("lat"), reach)
+        at = rest.withColumns({"_b": band, "_c": F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * own).cast("int")}).join(held, ["_b", "_c"], "left")
+        best = F.array_min(F.transform("_near", lambda p: F.struct(F.degrees(haversine(F.col("lat"), F.col("lon"), p["_lat"], p["_lon"])).alias("d"), p["site"].alias("site"))))
+        at = at.withColumn("_best", best)
+        found = F.lit(True) if reach >= 180 else F.col("_best.d") <= reach
+        met = at.select(*points.columns, F.when(found, F.col("_best.site")).alias("site"), F.when(found, F.col("_best.d")).alias("distance"))
+        if reach >= 180:
+            return met if out is None else out.unionByName(met)
+        met = met.checkpoint()
+        done = met.where("distance IS NOT NULL")
+        out = done if out is None else out.unionByName(done)
+        rest = met.where("distance IS NULL").select(*points.columns)
+        if not rest.limit(1).count():
+            return out
+        reach = min(180.0, 3 * reach)
+
+
+def clip_points(points: DataFrame, polygon: DataFrame, size: float = 1.0) -> DataFrame:
+    """Points (x, y) inside any of the polygons, with their fields; they meet through grid squares."""
+    from .joins import points_in_polygons
+
+    return points_in_polygons(points, polygon.select("shell", "holes", "xmin", "ymin", "xmax", "ymax", F.lit(0).alias("id")), size).where("hits > 0").select(*points.columns)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import LABEL, TIME
-from ..functions.polygons import contains, distance_to_edges, in_box
+from ..functions.polygons import contains, distance_to_edges
 
 
 def with_metadata(df: DataFrame, meta: DataFrame) -> DataFrame:
@@ -73,32 +75,57 @@ def _gridded(boxes: DataFrame, size: float, prefix: str) -> DataFrame:
     return boxes.withColumn("_bx", F.explode(bx)).withColumn("_by", F.explode(by))
 
 
+def _candidates(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """Points (x, y) with the array ``_near`` of the polygons whose boxes touch their grid square; each row stays one row."""
+    kept = F.struct("id", "shell", "holes", "xmin", "ymin", "xmax", "ymax")
+    squares = _gridded(polygons, size, "p").groupBy("_bx", "_by").agg(F.collect_list(kept).alias("_near"))
+    at = points.withColumns({"_bx": F.floor(F.col("x") / size), "_by": F.floor(F.col("y") / size)})
+    return at.join(squares, ["_bx", "_by"], "left").drop("_bx", "_by")
+
+
+def _holds(p: Column) -> Column:
+    x, y = F.col("x"), F.col("y")
+    return (x >= p["xmin"]) & (x <= p["xmax"]) & (y >= p["ymin"]) & (y <= p["ymax"]) & contains(x, y, p["shell"], p["holes"])
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
     """(point columns, polygon, hits): the polygon (id, shell, holes, box) that holds each point (x, y).
 
     Points meet polygons through shared grid squares.  No polygon gives -1; ``hits`` counts
     them, so that overlaps can be told.
     """
-    squares = _gridded(polygons, size, "p")
-    at = points.withColumns({"_bx": F.floor(F.col("x") / size), "_by": F.floor(F.col("y") / size)})
-    met = at.join(squares.select("_bx", "_by", "id", "shell", "holes", "xmin", "ymin", "xmax", "ymax"), ["_bx", "_by"])
-    met = met.where(in_box(F.col("x"), F.col("y")) & contains(F.col("x"), F.col("y"), F.col("shell"), F.col("holes")))
-    found = met.groupBy(*points.columns).agg(F.min("id").alias("polygon"), F.count(F.lit(1)).alias("hits"))
-    return points.join(found, points.columns, "left").fillna({"polygon": -1, "hits": 0})
+    met = _candidates(points, polygons, size).withColumn("_ids", F.transform(F.filter("_near", _holds), lambda p: p["id"]))
+    return met.select(*points.columns, F.coalesce(F.array_min("_ids"), F.lit(-1)).alias("polygon"), F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("hits"))
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float) -> DataFrame:
     """(point columns, polygon, distance): the nearest polygon that doesn't hold the point and whose code isn't 999.
 
-    Looks ``reach`` around each point through grid squares of that size; nothing nearer gives NULL.
+    Looks ``reach`` around each point through grid squares of that size; points with nothing so near
+    look four times as far, until the reach spans all points and polygons.  NULL only where no polygon is left.
     """
-    wide = polygons.where("coalesce(code, 0) <> 999").withColumns({"xmin": F.col("xmin") - reach, "ymin": F.col("ymin") - reach, "xmax": F.col("xmax") + reach, "ymax": F.col("ymax") + reach})
-    squares = _gridded(wide, max(reach, 1e-9), "p")
-    at = points.withColumns({"_bx": F.floor(F.col("x") / reach), "_by": F.floor(F.col("y") / reach)})
-    met = at.join(squares.select("_bx", "_by", "id", "shell", "holes"), ["_bx", "_by"]).where(~contains(F.col("x"), F.col("y"), F.col("shell"), F.col("holes")))
-    met = met.withColumn("_d", distance_to_edges(F.col("x"), F.col("y"), F.col("shell"), F.col("holes"))).where(F.col("_d") <= reach)
-    found = met.groupBy(*points.columns).agg(F.min_by("id", F.struct("_d", "id")).alias("polygon"), F.min("_d").alias("distance"))
-    return points.join(found, points.columns, "left")
+    others = polygons.where("coalesce(code, 0) <> 999")
+    box = others.agg(*[F.min(c).alias(c) for c in ("xmin", "ymin")], *[F.max(c).alias(c) for c in ("xmax", "ymax")]).unionByName(points.agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax")))
+    e = box.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()  # one row
+    span = 0.0 if None in e else math.hypot(e[2] - e[0], e[3] - e[1])
+    out, rest = None, points
+    while True:
+        wide = others.withColumns({"xmin": F.col("xmin") - reach, "ymin": F.col("ymin") - reach, "xmax": F.col("xmax") + reach, "ymax": F.col("ymax") + reach})
+        x, y = F.col("x"), F.col("y")
+        near = F.filter("_near", lambda p: ~contains(x, y, p["shell"], p["holes"]))
+        best = F.array_min(F.transform(near, lambda p: F.struct(distance_to_edges(x, y, p["shell"], p["holes"]).alias("d"), p["id"].alias("id"))))
+        met = _candidates(rest, wide, reach).withColumn("_best", best)
+        found = (F.col("_best.d") <= reach) if reach < span else F.lit(True)
+        met = met.select(*points.columns, F.when(found, F.col("_best.id")).alias("polygon"), F.when(found, F.col("_best.d")).alias("distance"))
+        if reach >= span:
+            return met if out is None else out.unionByName(met)
+        met = met.checkpoint()
+        done = met.where("distance IS NOT NULL")
+        out = done if out is None else out.unionByName(done)
+        rest = met.where("distance IS NULL").select(*points.columns)
+        if not rest.limit(1).count():
+            return out
+        reach *= 4
 
 
 def spatial_semi_join(a: DataFrame, b: DataFrame, touches, size: float = 1.0, anti: bool = False) -> DataFrame:

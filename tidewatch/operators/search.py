@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import EARTH_RADIUS_KM
+from .filters import can_extend
 
 
 def _metric(lat1, lon1, lat2, lon2, radius: float) -> float:
@@ -122,31 +123,69 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int, keys: tuple[str,
     return seen.select(*keys, F.col("start").alias("node"), F.col("node").alias("target"))
 
 
-def threshold_targets(edges: DataFrame, groups: DataFrame, rounds: int = 50) -> DataFrame:
-    """(scenario, node): nodes from which every priority-0 group of the scenario is reachable.
+def within_time(edges: DataFrame, starts: DataFrame, limit: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, node, target, time): targets whose least cumulative time from a start is within the limit, the start included.
 
-    ``groups`` is (scenario, node, grp, priority); ``edges`` are already within the limit.
+    Frontier joins that go on from what has become nearer, until nothing does.
     """
-    starts = groups.select("scenario", "node").distinct()
-    got = reachable(edges, starts, rounds, ("scenario",))
+    best = starts.select(*keys, F.col("node").alias("start"), "node", F.lit(0.0).alias("time")).distinct().checkpoint()
+    frontier, on = best, [*keys, "start", "node"]
+    hops = edges.select(F.col("src").alias("node"), "dst", F.col("time").alias("_t"))
+    while frontier.limit(1).count():
+        reached = frontier.join(hops, "node").where(F.col("time") + F.col("_t") <= limit)
+        reached = reached.groupBy(*keys, "start", F.col("dst").alias("node")).agg(F.min(F.col("time") + F.col("_t")).alias("_new"))
+        merged = best.join(reached, on, "full").checkpoint()
+        nearer = F.col("_new").isNotNull() & (F.col("time").isNull() | (F.col("_new") < F.col("time")))
+        frontier = merged.where(nearer).select(*on, F.col("_new").alias("time"))
+        best = merged.select(*on, F.least("time", "_new").alias("time"))
+    return best.select(*keys, F.col("start").alias("node"), F.col("node").alias("target"), "time")
+
+
+def threshold_targets(edges: DataFrame, groups: DataFrame, limit: float) -> DataFrame:
+    """(scenario, node): nodes from which every priority-0 group of the scenario is reached within the cumulative time.
+
+    ``groups`` is (scenario, node, grp, priority); ``edges`` is (src, dst, time).
+    """
+    got = within_time(edges, groups.select("node").distinct(), limit)
     wanted = groups.where("priority = 0").select("scenario", F.col("node").alias("target"), "grp")
     need = wanted.groupBy("scenario").agg(F.count_distinct("grp").alias("need"))
-    held = got.join(wanted, ["scenario", "target"]).groupBy("scenario", "node").agg(F.count_distinct("grp").alias("held"))
+    held = got.join(wanted, "target").groupBy("scenario", "node").agg(F.count_distinct("grp").alias("held"))
     return held.join(need, "scenario").where("held = need").select("scenario", "node")
 
 
-def traverse_paths(edges: DataFrame, starts: DataFrame, longest: float, max_steps: int = 8) -> DataFrame:
-    """(start, path, duration, times): all simple paths within a duration, by frontier joins with the visited array."""
-    frontier = starts.select(F.col("node").alias("start"), F.array("node").alias("path"), F.lit(0.0).alias("duration"), F.array().cast("array<double>").alias("times")).checkpoint()
-    out = frontier
-    for _ in range(max_steps):
-        grown = frontier.withColumn("src", F.element_at("path", -1)).join(edges.select("src", "dst", "time"), "src")
-        grown = grown.where(~F.array_contains("path", F.col("dst")) & (F.col("duration") + F.col("time") <= longest))
-        frontier = grown.select("start", F.concat("path", F.array("dst")).alias("path"), (F.col("duration") + F.col("time")).alias("duration"), F.concat("times", F.array("time")).alias("times")).checkpoint()
-        if not frontier.limit(1).count():
-            break
-        out = out.unionByName(frontier)
-    return out
+def traverse_paths(edges: DataFrame, starts: DataFrame, longest: float) -> DataFrame:
+    """(start, path, duration, times): the simple paths within a duration that no edge can extend, by frontier joins with the visited array.
+
+    ``times`` has the cumulative time of each node of the path.  All paths are followed to their ends.
+    """
+    frontier = starts.select(F.col("node").alias("start"), F.array("node").alias("path"), F.lit(0.0).alias("duration"), F.array(F.lit(0.0)).alias("times")).checkpoint()
+    hops, out = edges.select("src", "dst", "time"), None
+    while True:
+        grown = frontier.withColumn("src", F.element_at("path", -1)).join(hops, "src")
+        grown = grown.where(can_extend(F.col("path"), F.col("dst"), F.col("duration") + F.col("time"), longest)).checkpoint()
+        ended = frontier.join(grown.select("start", "path", "times").distinct(), ["start", "path", "times"], "left_anti")
+        out = ended if out is None else out.unionByName(ended)
+        if not grown.limit(1).count():
+            return out
+        total = F.col("duration") + F.col("time")
+        frontier = grown.select("start", F.concat("path", F.array("dst")).alias("path"), total.alias("duration"), F.concat("times", F.array(total)).alias("times")).checkpoint()
+
+
+def met_groups(paths: DataFrame, groups: DataFrame) -> DataFrame:
+    """(start, path, times, scenario, duration, priority, met, distinct_met): paths that meet every priority-0 group of a scenario.
+
+    ``groups`` is (scenario, node, grp, priority), a null priority doesn't count.  The duration ends where the last
+    of the priority-0 groups is met; the counts are of visits and of distinct groups of each priority.
+    """
+    used = groups.where("priority IS NOT NULL")
+    need = used.where("priority = 0").groupBy("scenario").agg(F.count_distinct("grp").alias("need"))
+    own = ["start", "path", "times"]
+    visits = paths.select(*own, F.explode(F.arrays_zip("path", "times")).alias("v")).select(*own, F.col("v.path").alias("node"), F.col("v.times").alias("at"))
+    met = visits.join(used, "node")
+    first = met.where("priority = 0").groupBy(*own, "scenario", "grp").agg(F.min("at").alias("at"))
+    done = first.groupBy(*own, "scenario").agg(F.count(F.lit(1)).alias("held"), F.max("at").alias("duration")).join(need, "scenario").where("held = need")
+    counts = met.groupBy(*own, "scenario", "priority").agg(F.count(F.lit(1)).alias("met"), F.count_distinct("grp").alias("distinct_met"))
+    return done.select(*own, "scenario", "duration").join(counts, [*own, "scenario"])
 
 
 def path_rank(data_share: Column, straight: Column, length: Column, duration: Column, longest: float, visited_groups: Column, target_groups: Column, distinct: Column, visited: Column, weights: dict[str, float]) -> Column:

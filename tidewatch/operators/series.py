@@ -14,12 +14,13 @@ PERIODS = (365.0, 182.5, 91.25, 30.5)
 
 
 def _fill(column: str, clamp: bool) -> Column:
-    """Linear by position between the values around a gap."""
-    back, forward = along().rowsBetween(Window.unboundedPreceding, 0), along().rowsBetween(0, Window.unboundedFollowing)
+    """Linear by position between the values around a gap; the next value is the last one seen from the end."""
+    back = along().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(LABEL).orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(column).isNotNull(), F.col("_pos"))
     v0, p0 = F.last(column, True).over(back), F.last(known, True).over(back)
-    v1, p1 = F.first(column, True).over(forward), F.first(known, True).over(forward)
-    between = v0 + (v1 - v0) * (F.col("_pos") - p0) / (p1 - p0)
+    v1, p1 = F.last(column, True).over(ahead), F.last(known, True).over(ahead)
+    between = v0 + (v1 - v0) * (F.col("_pos") - p0) / F.nullif(p1 - p0, F.lit(0))
     out = F.coalesce(F.col(column), between, v0)
     return F.coalesce(out, v1) if clamp else out
 
@@ -51,11 +52,10 @@ def line_fit(df: DataFrame, column: str) -> DataFrame:
 
 
 def detrend(df: DataFrame, column: str, keep: bool = False) -> DataFrame:
-    """Subtract each label's line; ``keep`` also returns slope, intercept and trend."""
-    everything = Window.partitionBy(LABEL)
+    """Subtract each label's line; ``keep`` also returns slope, intercept and trend.  The sums are taken once a label and joined back."""
     at = df.withColumn("_pos", position())
-    slope, intercept = F.regr_slope(column, "_pos").over(everything), F.regr_intercept(column, "_pos").over(everything)
-    at = at.withColumns({"slope": slope, "intercept": intercept}).withColumn("trend", F.col("intercept") + F.col("slope") * F.col("_pos"))
+    lines = at.groupBy(LABEL).agg(F.regr_slope(column, "_pos").alias("slope"), F.regr_intercept(column, "_pos").alias("intercept"))
+    at = at.join(lines, LABEL).withColumn("trend", F.col("intercept") + F.col("slope") * F.col("_pos"))
     out = at.withColumn(column, F.col(column) - F.col("trend")).drop("_pos")
     return out if keep else out.drop("slope", "intercept", "trend")
 
@@ -63,25 +63,28 @@ def detrend(df: DataFrame, column: str, keep: bool = False) -> DataFrame:
 def seasonal_fit(df: DataFrame, column: str, periods: int = 2, name: str = "fit") -> DataFrame:
     """Sum of independent fits ``a cos + b sin + c`` for the first ``periods`` periods, each with its constant.
 
-    The 3 by 3 normal equations of each fit are solved in closed form from sums.
+    The 3 by 3 normal equations of each fit are solved in closed form from sums, taken once a label.
     """
-    everything = Window.partitionBy(LABEL)
     df = df.withColumn("_pos", position())
-    total = F.lit(0.0)
-    known = F.when(F.col(column).isNotNull(), 1.0)
-    for period in PERIODS[:periods]:
-        k = 2 * math.pi / period
-        c, s = F.cos(F.col("_pos") * k), F.sin(F.col("_pos") * k)
-        x = F.col(column)
-        sums = {"n": known, "c": c * known, "s": s * known, "cc": c * c * known, "ss": s * s * known, "cs": c * s * known, "y": x, "cy": c * x, "sy": s * x}
-        m = {key: F.sum(v).over(everything) for key, v in sums.items()}
+    known, x = F.when(F.col(column).isNotNull(), 1.0), F.col(column)
+    wave = lambda period: (F.cos(F.col("_pos") * (2 * math.pi / period)), F.sin(F.col("_pos") * (2 * math.pi / period)))
+    sums, total = {"_w": F.sum(known), "_y": F.sum(x)}, F.lit(0.0)
+    for k, period in enumerate(PERIODS[:periods]):
+        c, s = wave(period)
+        for key, v in {"c": c * known, "s": s * known, "cc": c * c * known, "ss": s * s * known, "cs": c * s * known, "cy": c * x, "sy": s * x}.items():
+            sums[f"_{key}{k}"] = F.sum(v)
+    df = df.join(df.groupBy(LABEL).agg(*[v.alias(key) for key, v in sums.items()]), LABEL)
+    for k, period in enumerate(PERIODS[:periods]):
+        m = lambda key: F.col(f"_{key}{k}")  # noqa: B023, E731
+        n, y = F.col("_w"), F.col("_y")
         # Centred covariances reduce the system to two by two.
-        cc, ss, cs = m["cc"] - m["c"] * m["c"] / m["n"], m["ss"] - m["s"] * m["s"] / m["n"], m["cs"] - m["c"] * m["s"] / m["n"]
-        cy, sy = m["cy"] - m["c"] * m["y"] / m["n"], m["sy"] - m["s"] * m["y"] / m["n"]
+        cc, ss, cs = m("cc") - m("c") * m("c") / n, m("ss") - m("s") * m("s") / n, m("cs") - m("c") * m("s") / n
+        cy, sy = m("cy") - m("c") * y / n, m("sy") - m("s") * y / n
         det = cc * ss - cs * cs
         a, b = (cy * ss - sy * cs) / det, (sy * cc - cy * cs) / det
-        total = total + a * c + b * s + (m["y"] - a * m["c"] - b * m["s"]) / m["n"]
-    return df.withColumn(name, total).drop("_pos")
+        c, s = wave(period)
+        total = total + a * c + b * s + (y - a * m("c") - b * m("s")) / n
+    return df.withColumn(name, total).drop("_pos", *sums)
 
 
 def trend_filter(df: DataFrame, column: str, parts: list[str]) -> DataFrame:

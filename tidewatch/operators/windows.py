@@ -20,13 +20,20 @@ def rolling_median(df: DataFrame, column: str, n: int, min_periods: int = 1, nam
 
 
 def reflected_median(df: DataFrame, column: str, n: int, name: str = "median") -> DataFrame:
-    """Rank median with mirrored ends (the edge row repeated); of an even window the upper middle value."""
-    values = F.collect_list(column).over(Window.partitionBy(LABEL).orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = df.withColumns({"_all": values, "_pos": position(), "_n": F.count(column).over(Window.partitionBy(LABEL))})
-    # Mirrored place of an offset: 0 1 2 | 2 1 0 and so on, with period 2 n.
-    fold = lambda k: F.when(F.pmod(k, 2 * F.col("_n")) < F.col("_n"), F.pmod(k, 2 * F.col("_n"))).otherwise(2 * F.col("_n") - 1 - F.pmod(k, 2 * F.col("_n")))
-    window = F.transform(F.sequence(F.lit(-(n // 2)), F.lit((n - 1) // 2)), lambda o: F.get("_all", fold(F.col("_pos") + o).cast("int")))
-    return df.withColumn(name, F.get(F.sort_array(window), n // 2)).drop("_all", "_pos", "_n")
+    """Rank median with mirrored ends (the edge row repeated); of an even window the upper middle value.
+
+    The rows that the mirrored ends need are added as copies, so every window has n rows and no array holds a label.
+    """
+    before, after = n // 2, (n - 1) // 2
+    at = df.withColumns({"_pos": position(), "_n": F.count(F.lit(1)).over(Window.partitionBy(LABEL))})
+    period = 2 * F.col("_n")
+    # A row at p lies at p + t * period and at -1 - p + t * period.
+    turns = F.sequence(F.floor(-before / period).cast("int") - 1, F.ceil(after / period).cast("int") + 1)
+    spots = F.concat(F.transform(turns, lambda t: F.col("_pos") + t * period), F.transform(turns, lambda t: -1 - F.col("_pos") + t * period))
+    copies = at.select(LABEL, F.col(column).alias("_v"), "_n", F.explode(F.filter(spots, lambda q: (q >= -before) & (q < F.col("_n") + after))).alias("_at"))
+    window = F.collect_list("_v").over(Window.partitionBy(LABEL).orderBy("_at").rowsBetween(-before, after))
+    medians = copies.withColumn(name, F.get(F.sort_array(window), F.lit(n // 2))).where((F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
+    return at.join(medians.select(LABEL, F.col("_at").alias("_pos"), name), [LABEL, "_pos"]).drop("_pos", "_n")
 
 
 def range_median(df: DataFrame, column: str, span_us: int, name: str = "median") -> DataFrame:
@@ -36,8 +43,11 @@ def range_median(df: DataFrame, column: str, span_us: int, name: str = "median")
     return df.withColumn(name, F.when(F.col(column).isNotNull(), F.percentile(column, 0.5).over(frame)))
 
 
-def median_filter(df: DataFrame, column: str, window: int, interpolate: bool = True, subtract: bool = False, regular: bool = True, min_periods: int = 1, day_us: int = 86_400_000_000) -> DataFrame:
-    """The three modes: filled and mirrored, by time range, or centred rows; ``subtract`` leaves the residual."""
+def median_filter(df: DataFrame, column: str, window: int, interpolate: bool = True, subtract: bool = False, regular: bool = True, min_periods: int = 1, day_us: int = 86_400_000_000, update: bool = False) -> DataFrame:
+    """The three modes: filled and mirrored, by time range, or centred rows; ``subtract`` leaves the residual.
+
+    With ``update``, the form for single series, a row without a result keeps its value.
+    """
     from .series import interpolate_forward
 
     if interpolate:
@@ -47,7 +57,7 @@ def median_filter(df: DataFrame, column: str, window: int, interpolate: bool = T
     else:
         df = rolling_median(df, column, window, min_periods, "_m")
     out = F.col(column) - F.col("_m") if subtract else F.col("_m")
-    return df.withColumn(column, out).drop("_m")
+    return df.withColumn(column, F.coalesce(out, F.col(column)) if update else out).drop("_m")
 
 
 def weighted_average(df: DataFrame, column: str, window: int, error: str | None = None, mask: bool = False) -> DataFrame:
@@ -78,13 +88,19 @@ def gap_segments(df: DataFrame, gap_seconds: float, name: str = "segment") -> Da
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(along())).drop("_new")
 
 
-def remove_jumps(df: DataFrame, column: str, cut: float = 0.25, max_gap_seconds: float = 60.0) -> DataFrame:
-    """Take out steps larger than ``cut`` between rows closer than the gap: what is earlier is shifted to the last level."""
+def remove_jumps(df: DataFrame, column: str, cut: float = 0.25, max_gap_seconds: float = 60.0, by_day: bool = False) -> DataFrame:
+    """Take out steps larger than ``cut`` between rows closer than the gap: what is earlier is shifted to the last level.
+
+    ``by_day`` treats the start of a day like a step, whatever its size.
+    """
     t = F.unix_micros(F.col(TIME).cast("timestamp"))
     step = F.col(column) - F.lag(column).over(along())
-    jump = F.when((F.abs(step) > cut) & (t - F.lag(t).over(along()) < int(max_gap_seconds * 1e6)), step).otherwise(0.0)
+    split = F.abs(step) > cut
+    if by_day:
+        split = split | (F.to_date(TIME) != F.to_date(F.lag(TIME).over(along())))
+    jump = F.when(split & (t - F.lag(t).over(along()) < int(max_gap_seconds * 1e6)), step).otherwise(0.0)
     df = df.withColumn("_jump", F.coalesce(jump, F.lit(0.0)))
-    later = Window.partitionBy(LABEL).orderBy(TIME).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(LABEL).orderBy(F.col(TIME).desc()).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(column, F.col(column) + F.coalesce(F.sum("_jump").over(later), F.lit(0.0))).drop("_jump")
 
 

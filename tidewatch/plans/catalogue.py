@@ -27,7 +27,7 @@ EVG = EV + ", evg AS (SELECT label, ts, CASE WHEN label < 'p' AND day(ts) BETWEE
 LI = "li AS (SELECT l_returnflag AS label, CAST(l_shipdate AS DATE) AS ts, sum(l_extendedprice) / 1000 AS v FROM lineitem GROUP BY 1, 2)"
 OD = "od AS (SELECT o_orderpriority AS label, CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) / 1000 AS v FROM orders GROUP BY 1, 2)"
 SITES = "sites AS (SELECT s_suppkey AS k, CAST(s_suppkey * 37 % 180 - 90 AS DOUBLE) AS lat, CAST(s_suppkey * 73 % 360 - 180 AS DOUBLE) AS lon FROM supplier)"
-GRID = "grid AS (SELECT CAST(vec_id AS BIGINT) AS raster_id, (k - 1) // 8 AS j, (k - 1) % 8 AS i, CAST(embedding[k] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE vec_id < 100)"
+GRID = "grid AS (SELECT CAST(vec_id AS BIGINT) AS raster_id, (k - 1) // 8 AS j, (k - 1) % 8 AS i, CAST(embedding[k] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS k))"
 
 
 def query(sql: str | None = None):
@@ -51,7 +51,8 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evg(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ev(spark, sf_dir)
-    last = df.agg(F.date_sub(F.max(TIME), 1).alias("last"))
+    # The last day of the table, from the column alone.
+    last = table(spark, sf_dir, "events").agg(F.date_sub(F.max(F.col("ts").cast("date")), 1).alias("last"))
     day = F.dayofmonth(TIME)
     blank = ((F.col(LABEL) < "p") & day.between(10, 12)) | ((day == 1) & (F.col(LABEL) > "p")) | ((F.col(TIME) >= F.col("last")) & (F.col(LABEL) < "p"))
     # One row: the last day.
@@ -74,7 +75,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(table(spark, sf_dir, "embeddings").where("vec_id < 100"))
+    return cells(table(spark, sf_dir, "embeddings"))
 
 
 def cells(embeddings: DataFrame) -> DataFrame:
@@ -128,17 +129,33 @@ def label_filter_invert(spark, sf_dir):
 HAV = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
 
 
-@query(f"WITH {SITES}, p AS (SELECT *, 10.0 AS qlat, 20.0 AS qlon FROM sites) SELECT k AS label FROM p WHERE 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(10.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10.0)) * pow(sin(radians(20.0 - lon) / 2), 2)))) <= 6000")
+def vincenty_sql(pairs: str) -> str:
+    """Recursive tables up to ``geodesic`` (k, km) of the WGS84 distances of ``pairs`` (k, lat, lon, lat2, lon2)."""
+    flat, major = 1 / 298.257223563, 6378137.0
+    minor = major * (1 - flat)
+    round_ = (
+        "SELECT k, u1, u2, l, lam, it, ss, cs, sg, sa, ca, CASE WHEN ca = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / ca END AS cm FROM (SELECT *, 1 - sa * sa AS ca FROM (SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa"
+        " FROM (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM {src})))"
+    )
+    return (
+        f"geo0 AS (SELECT k, atan((1 - {flat}) * tan(radians(lat))) AS u1, atan((1 - {flat}) * tan(radians(lat2))) AS u2, radians(lon2 - lon) AS l FROM {pairs}),"
+        f" geo AS (SELECT k, u1, u2, l, l AS lam, l + 1 AS was, 0 AS it FROM geo0 UNION ALL SELECT k, u1, u2, l, l + (1 - c) * {flat} * sa * (sg + c * ss * (cm + c * cs * (2 * cm * cm - 1))), lam, it + 1 FROM (SELECT *, {flat} / 16 * ca * (4 + {flat} * (4 - 3 * ca)) AS c FROM ({round_.format(src='(SELECT * FROM geo WHERE it < 200 AND abs(lam - was) >= 1e-12)')}))),"
+        f" geoend AS (SELECT k, u1, u2, l, lam, it FROM geo WHERE abs(lam - was) < 1e-12),"
+        f" geodesic AS (SELECT k, round({minor} * aa * (sg - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000, 3) AS km FROM (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS aa, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS bb FROM (SELECT *, ca * {(major**2 - minor**2) / minor**2} AS q FROM ({round_.format(src='geoend')}))))"
+    )
+
+
+@query(f"WITH RECURSIVE {SITES}, pairs AS (SELECT k, lat, lon, 10.0 AS lat2, 20.0 AS lon2 FROM sites), {vincenty_sql('pairs')} SELECT k AS label FROM geodesic WHERE km <= 6000")
 def geo_radius(spark, sf_dir):
     meta = sites(spark, sf_dir).withColumnRenamed("k", LABEL)
     return filters.within_radius(meta.select(LABEL), meta, 10.0, 20.0, 6000.0)
 
 
-@query()
+@query(f"WITH RECURSIVE {SITES}, pairs AS (SELECT a.k, a.lat, a.lon, b.lat AS lat2, b.lon AS lon2 FROM sites a JOIN sites b ON b.k = a.k + 1), {vincenty_sql('pairs')} SELECT pairs.k, km FROM pairs LEFT JOIN geodesic USING (k)")
 def vincenty_pairs(spark, sf_dir):
     a = sites(spark, sf_dir)
     b = a.select((F.col("k") - 1).alias("k"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return a.join(b, "k").select("k", geodesy.vincenty_km("lat", "lon", "lat2", "lon2").alias("km"))
+    return a.join(b, "k").select("k", r(geodesy.vincenty_km("lat", "lon", "lat2", "lon2"), 3).alias("km"))
 
 
 @query(f"WITH {EV} SELECT label, ts, CASE WHEN label IN ('click') AND day(ts) BETWEEN 5 AND 9 THEN NULL ELSE round(v, 4) END AS v FROM (SELECT * FROM ev)")
@@ -279,7 +296,13 @@ def trend_filter(spark, sf_dir):
     return series.trend_filter(li(spark, sf_dir), "v", ["linear", "annual"]).select(LABEL, TIME, r("v", 3).alias("v"))
 
 
-@query()
+@query(
+    f"WITH {LI}, {POS.format(src='li')}, c AS (SELECT *, sum(v) OVER (PARTITION BY label ORDER BY pos) AS s, sum(v) OVER (PARTITION BY label) AS t, count(*) OVER (PARTITION BY label) AS n, pos + 1 AS k FROM x),"
+    " b AS (SELECT label, arg_max(pos, s * s / k + (t - s) * (t - s) / (n - k)) AS cut FROM c WHERE k < n GROUP BY label),"
+    " m AS (SELECT label, cut, median(v) FILTER (pos BETWEEN cut - 4 AND cut - 1) - median(v) FILTER (pos BETWEEN cut + 1 AND cut + 5) AS lev FROM x JOIN b USING (label) GROUP BY label, cut),"
+    " y AS (SELECT label, ts, pos, v + CASE WHEN pos > cut THEN coalesce(lev, 0) ELSE 0 END AS v FROM x JOIN m USING (label)), f AS (SELECT label, regr_slope(v, pos) AS a, regr_intercept(v, pos) AS b FROM y GROUP BY label)"
+    " SELECT label, ts, round(v - b - a * pos, 3) AS v FROM y JOIN f USING (label)"
+)
 def offset_detrend(spark, sf_dir):
     return series.step_detrend(li(spark, sf_dir), "v").select(LABEL, TIME, r("v", 3).alias("v"))
 
@@ -289,7 +312,11 @@ def offset_detrend_deep(spark, sf_dir):
     return kernels.steps_detrend(li(spark, sf_dir), "v", 3)
 
 
-@query()
+@query(
+    f"WITH {EV}, e AS (SELECT label, ts AS event FROM ev WHERE day(ts) = 15), s AS (SELECT label, event, ts >= event AS after, v, row_number() OVER (PARTITION BY label, event, ts >= event ORDER BY abs(ts - event)) AS r FROM ev JOIN e USING (label)),"
+    " d AS (SELECT label, event, median(v) FILTER (after) - median(v) FILTER (NOT after) AS step FROM s WHERE r <= 5 GROUP BY 1, 2)"
+    " SELECT label, ts, round(v - coalesce((SELECT sum(step) FROM d WHERE d.label = ev.label AND ev.ts >= d.event AND abs(step) > 0.1), 0), 4) AS v FROM ev"
+)
 def antenna_offsets(spark, sf_dir):
     events = ev(spark, sf_dir).where(F.dayofmonth(TIME) == 15).select(LABEL, TIME)
     return series.antenna_offsets(ev(spark, sf_dir), "v", events, 0.1, 5).select(LABEL, TIME, r("v").alias("v"))
@@ -335,7 +362,11 @@ def correlate_spearman(spark, sf_dir):
     return stats.correlate(evg(spark, sf_dir), ["v"], "spearman").select("k1", "k2", "n", r("r", 6).alias("r"))
 
 
-@query()
+@query(
+    f"WITH {EVG}, {PAIRS.format(src='evg')}, q AS (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY x, y) AS i FROM p), n AS (SELECT k1, k2, count(*) AS n FROM p GROUP BY 1, 2),"
+    " t AS (SELECT a.k1, a.k2, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s, count(*) FILTER (a.x != b.x) AS nx, count(*) FILTER (a.y != b.y) AS ny FROM q a JOIN q b ON a.k1 = b.k1 AND a.k2 = b.k2 AND a.i < b.i GROUP BY 1, 2)"
+    " SELECT k1 || '.v' AS k1, k2 || '.v' AS k2, n, round(s / sqrt(CAST(nx AS DOUBLE) * ny), 6) AS r FROM n LEFT JOIN t USING (k1, k2)"
+)
 def correlate_kendall(spark, sf_dir):
     return stats.correlate(evg(spark, sf_dir), ["v"], "kendall").select("k1", "k2", "n", r("r", 6).alias("r"))
 
@@ -404,7 +435,10 @@ def ks_two_sample(spark, sf_dir):
     return stats.two_sample_ks(df, "v", "h").select(LABEL, r("statistic", 5).alias("statistic"))
 
 
-@query()
+@query(
+    f"WITH {EV}, a AS (SELECT label, CASE WHEN day(ts) <= 15 THEN 0 ELSE 1 END AS h, row_number() OVER (PARTITION BY label ORDER BY v) AS i, count(*) OVER (PARTITION BY label) AS n, sum(CASE WHEN day(ts) <= 15 THEN 1.0 ELSE 0 END) OVER (PARTITION BY label) AS m, sum(CASE WHEN day(ts) <= 15 THEN 1.0 ELSE 0 END) OVER (PARTITION BY label ORDER BY v ROWS UNBOUNDED PRECEDING) AS mi FROM ev)"
+    " SELECT label, round(sum(CASE WHEN i < n THEN pow(mi * n - i * m, 2) / (i * (n - i)) END) / (any_value(m) * (any_value(n) - any_value(m))), 5) AS statistic FROM a GROUP BY label"
+)
 def anderson_two_sample(spark, sf_dir):
     df = ev(spark, sf_dir).withColumn("h", F.when(F.dayofmonth(TIME) <= 15, 0).otherwise(1))
     return stats.anderson_two_sample(df, "v", "h").select(LABEL, r("statistic", 5).alias("statistic"))
@@ -467,10 +501,22 @@ def point_in_polygon(spark, sf_dir):
     return joins.points_in_polygons(pts, _squares(spark), 5.0).select("k", "polygon")
 
 
-@query()
+def _edges_sql() -> str:
+    """Values (id, x1, y1, x2, y2) of all edges of the squares and the diamond."""
+    rings = [(k, [(5.0 * (k % 4) + dx, 9.0 + 3 * (k // 4) + dy) for dx, dy in ((0, 0), (4, 0), (4, 2.5), (0, 2.5))]) for k in range(12)]
+    rings += [(12, [(30.0, 10.0), (40.0, 14.0), (30.0, 18.0), (22.0, 14.0)]), (12, [(28.0, 13.0), (32.0, 13.0), (32.0, 15.0), (28.0, 15.0)])]
+    return "e(id, x1, y1, x2, y2) AS (VALUES " + ", ".join(f"({k}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for k, ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) + ")"
+
+
+@query(
+    f"WITH {_edges_sql()}, p AS (SELECT p_partkey AS k, p_size + 0.25 AS x, p_retailprice / 100 AS y FROM part),"
+    " q AS (SELECT k, id, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM p CROSS JOIN e),"
+    " d AS (SELECT k, id, min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2))) AS d, sum(CASE WHEN (y1 > y) != (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM q GROUP BY 1, 2)"
+    " SELECT k, CAST(arg_min(id, {'d': d, 'id': id}) AS INTEGER) AS polygon, round(min(d), 4) AS distance FROM d WHERE NOT inside GROUP BY k"
+)
 def nearest_polygon(spark, sf_dir):
     pts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") + 0.25).alias("x"), (F.col("p_retailprice") / 100).alias("y"))
-    return joins.nearest_polygon(pts, _squares(spark), 20.0).select("k", "polygon", r("distance").alias("distance"))
+    return joins.nearest_polygon(pts, _squares(spark), 5.0).select("k", "polygon", r("distance").alias("distance"))
 
 
 @query("WITH v AS (SELECT s_suppkey AS id, s_nationkey AS v FROM supplier UNION SELECT s_suppkey, (s_nationkey + 1) % 25 FROM supplier) SELECT DISTINCT a.id AS a, b.id AS b FROM v a JOIN v b USING (v)")
@@ -494,19 +540,33 @@ def sill_forward(spark, sf_dir):
     return s.select("k", *[r(F.col(f"u.{c}") * 1e6, 3).alias(f"u{c}") for c in "xyz"])
 
 
-@query(f"WITH {SITES}, q AS (SELECT k, lon / 10 AS x, lat / 10 AS y, 1.25 / (2 * -5.75) AS c1, 15 * -1.75 / (4 * -5.75) AS c2 FROM sites), g AS (SELECT k, x, y, x*x + y*y + 25 AS r2, c1, c2 FROM q) SELECT k, round(1e-2 * x / pow(r2, 1.5) * 8 * (1 + 0.064 * (c1 + c2 * 25 / r2)) * 1e6, 3) AS ux, round(1e-2 * 5 / pow(r2, 1.5) * 8 * (1 + 0.064 * (c1 + c2 * 25 / r2)) * 1e6, 3) AS uz FROM g")
+@query(f"WITH {SITES}, q AS (SELECT k, lon / 10 AS x, lat / 10 AS y, 1.25 / (2 * -5.75) AS c1, 15 * -1.75 / (4 * -5.75) AS c2 FROM sites), g AS (SELECT k, x, y, x*x + y*y + 25 AS r2, c1, c2 FROM q) SELECT k, round(1e-2 * x / pow(r2, 1.5) * 8 * (1 + 0.064 * (c1 + c2 * 25 / r2)) * 1e6, 3) AS ux, round(1e-2 * y / pow(r2, 1.5) * 8 * (1 + 0.064 * (c1 + c2 * 25 / r2)) * 1e6, 3) AS uy, round(1e-2 * 5 / pow(r2, 1.5) * 8 * (1 + 0.064 * (c1 + c2 * 25 / r2)) * 1e6, 3) AS uz FROM g")
 def finite_sphere_forward(spark, sf_dir):
     s = sites(spark, sf_dir).withColumn("u", deformation.finite_sphere(F.col("lon") / 10, F.col("lat") / 10, F.lit(5.0), F.lit(1e-2), F.lit(2.0)))
-    return s.select("k", *[r(F.col(f"u.{c}") * 1e6, 3).alias(f"u{c}") for c in "xz"])
+    return s.select("k", *[r(F.col(f"u.{c}") * 1e6, 3).alias(f"u{c}") for c in "xyz"])
 
 
-@query()
+# Depth 5, half length 2, amplitude 0.01, Poisson ratio 0.25.
+_PIPE = "q AS (SELECT k, lon / 10 + 0.05 AS x, lat / 10 + 0.05 AS y FROM sites), g AS (SELECT k, x, y, x*x + y*y AS r2, sqrt(x*x + y*y + 9) AS r3, sqrt(x*x + y*y + 49) AS r7 FROM q)"
+_LEVELS = {
+    "closed": "(pow(3 / r3, 3) - 10.5 / r3 + (857.5 + 24.5 * r2) / pow(r7, 3)) / r2",
+    "open": "(pow(7 / r7, 3) - 17.5 / r7 + (40.5 + 7.5 * r2) / pow(r3, 3)) / r2",
+    "rising": "(-9 / pow(r3, 3) + 0.5 / r3 + (49 - 0.5 * (49 + r2)) / pow(r7, 3)) / 7",
+}
+_UPS = {
+    "closed": "9 / pow(r3, 3) - 1.5 / r3 + (24.5 + 1.5 * r2) / pow(r7, 3)",
+    "open": "49 / pow(r7, 3) - 0.5 / r7 + (-9 + 0.5 * r3 * r3) / pow(r3, 3)",
+    "rising": "27 / pow(r3, 3) / 7 - (49 - 0.5 * (49 + r2)) / pow(r7, 3)",
+}
+
+
+@query(f"WITH {SITES}, {_PIPE} SELECT k, " + ", ".join(f"round(1e4 * x * ({_LEVELS[n]}), 3) AS {n}_x, round(1e4 * y * ({_LEVELS[n]}), 3) AS {n}_y, round(-1e4 * ({_UPS[n]}), 3) AS {n}_z" for n in _LEVELS) + " FROM g")
 def pipes_forward(spark, sf_dir):
     x, y = F.col("lon") / 10 + 0.05, F.col("lat") / 10 + 0.05
     s = sites(spark, sf_dir)
-    for name in ("closed_pipe", "constant_open_pipe", "rising_open_pipe"):
-        s = s.withColumn(name, deformation.MODELS[name][0](x, y, F.lit(5.0), F.lit(1e-2), F.lit(2.0))["z"])
-    return s.select("k", "closed_pipe", "constant_open_pipe", "rising_open_pipe")
+    for name, model in (("closed", "closed_pipe"), ("open", "constant_open_pipe"), ("rising", "rising_open_pipe")):
+        s = s.withColumn(name, deformation.MODELS[model][0](x, y, F.lit(5.0), F.lit(1e-2), F.lit(2.0)))
+    return s.select("k", *[r(F.col(f"{n}.{c}") * 1e6, 3).alias(f"{n}_{c}") for n in ("closed", "open", "rising") for c in "xyz"])
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_size BETWEEN 20 AND 30 THEN 1 WHEN p_size > 10 AND p_size < 20 THEN 0.2 + 0.8 * (p_size - 10) / 10.0 WHEN p_size > 30 AND p_size < 45 THEN 1 - 0.8 * (p_size - 30) / 15.0 ELSE 0.2 END, 5) AS m FROM part")
@@ -569,7 +629,15 @@ def grid_gradient(spark, sf_dir):
     return windows.grid_slope(grid(spark, sf_dir), "value", F.lit(2.0), F.lit(3.0)).select("raster_id", "j", "i", r("slope").alias("slope"))
 
 
-@query()
+_AT = ", ".join(f"max(CASE WHEN b.j = a.j + {dj} AND b.i = a.i + {di} THEN b.z END) AS z{n}" for n, (dj, di) in enumerate((dj, di) for dj in (-1, 0, 1) for di in (-1, 0, 1)))
+_GC = "2 * 6371.0 * asin(sqrt(pow(cos(radians({lat})), 2) * pow(sin(radians(1.0)), 2)))"
+
+
+@query(
+    f"WITH {GRID}, c AS (SELECT raster_id, j, i, value * 100 AS z, 40.0 - j AS lat FROM grid), n AS (SELECT a.raster_id, a.j, a.i, a.lat, {_AT} FROM c a JOIN c b ON a.raster_id = b.raster_id AND b.j BETWEEN a.j - 1 AND a.j + 1 AND b.i BETWEEN a.i - 1 AND a.i + 1 GROUP BY 1, 2, 3, 4),"
+    f" s AS (SELECT raster_id, j, i, ((z2 - z0) / ({_GC.format(lat='lat + 1')}) + 2 * (z5 - z3) / ({_GC.format(lat='lat')}) + (z8 - z6) / ({_GC.format(lat='lat - 1')})) / 4 AS dx, ((z0 - z6) + 2 * (z1 - z7) + (z2 - z8)) / (2 * 6371.0 * radians(1.0)) / 4 AS dy FROM n)"
+    " SELECT raster_id, j, i, round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) AS slope FROM s"
+)
 def horn_slope(spark, sf_dir):
     whole = cells(table(spark, sf_dir, "embeddings")).withColumns({"lon": F.col("i") * 1.0, "lat": 40.0 - F.col("j"), "value": F.col("value") * 100})
     return windows.horn_slope(whole).select("raster_id", "j", "i", r("slope").alias("slope"))
@@ -585,7 +653,7 @@ def neighbour_std(spark, sf_dir):
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.as_images(table(spark, sf_dir, "embeddings").where("vec_id < 100"), "vec_id", "embedding", 8, 8)
+    return images.as_images(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8)
 
 
 @query(f"WITH {GRID}, o AS (SELECT x AS x0, y AS y0 FROM (SELECT unnest(range(0, 4, 2)) AS x), (SELECT unnest(range(0, 4, 2)) AS y)) SELECT CAST(raster_id AS VARCHAR) AS label, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, round(sum(value), 4) AS total FROM grid JOIN o ON i >= x0 AND i < x0 + 4 AND j >= y0 AND j < y0 + 4 GROUP BY 1, 2, 3")
@@ -618,12 +686,27 @@ def edge_reachability(spark, sf_dir):
     return search.reachable(a.union(b).distinct(), n.where("n_regionkey = 0").select(F.col("n_nationkey").alias("node")), 3)
 
 
-@query()
+NEAR = "e AS (SELECT n_nationkey AS src, CAST((n_nationkey * 7 + n_regionkey) % 25 AS INTEGER) AS dst, 1.0::DOUBLE + n_nationkey % 3 AS time FROM nation UNION SELECT n_nationkey, CAST((n_nationkey + 5) % 25 AS INTEGER), 2.0 FROM nation)"
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    a = n.select(key.alias("src"), ((key * 7 + F.col("n_regionkey")) % 25).cast("int").alias("dst"), (1.0 + key % 3).alias("time"))
+    return a.union(n.select(key, ((key + 5) % 25).cast("int"), F.lit(2.0))).distinct()
+
+
+PATHS = (
+    f"{NEAR}, w AS (SELECT n_nationkey AS start, [n_nationkey] AS path, 0.0::DOUBLE AS duration, [0.0::DOUBLE] AS times FROM nation WHERE n_regionkey = 0 UNION ALL SELECT start, list_append(path, dst), duration + time, list_append(times, duration + time) FROM w JOIN e ON e.src = path[-1] AND NOT list_contains(path, e.dst) AND duration + time <= 9),"
+    " ended AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = w.path[-1] AND NOT list_contains(w.path, e.dst) AND w.duration + e.time <= 9))"
+)
+
+
+@query(f"WITH RECURSIVE {PATHS} SELECT start, array_to_string(path, '-') AS path, duration, CAST(len(path) AS DOUBLE) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(path) DESC, duration DESC, path DESC) AS r FROM ended) WHERE r = 1")
 def traverse_paths(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    edges = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 25).cast("int").alias("dst"), (1.0 + F.col("n_nationkey") % 3).alias("time"))
-    paths = search.traverse_paths(edges, n.where("n_regionkey = 0").select(F.col("n_nationkey").alias("node")), 9.0, 5)
-    return search.best_paths(paths.withColumn("rank", F.size("path").cast("double")))
+    starts = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("node"))
+    paths = search.traverse_paths(_near(spark, sf_dir), starts, 9.0)
+    best = search.best_paths(paths.withColumn("rank", F.size("path").cast("double")))
+    return best.select("start", F.array_join("path", "-").alias("path"), "duration", "rank")
 
 
 @query("WITH " + LI + ", " + ", ".join(f"r{k} AS (SELECT label, ts, round(median(v) OVER (PARTITION BY label ORDER BY ts ROWS BETWEEN {n // 2} PRECEDING AND {(n - 1) // 2} FOLLOWING), 8) AS v, {k} AS run_id FROM li)" for k, n in enumerate((1, 15, 40, 70))) + " SELECT label, ts, v, CAST(run_id AS BIGINT) AS run_id FROM (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2 UNION ALL FROM r3)")
@@ -639,7 +722,13 @@ def run_distance_matrix(spark, sf_dir):
     return stats.run_distances(runs, "key", "v").select("run_i", "run_j", r("distance", 3).alias("distance"))
 
 
-@query()
+FORWARD = (
+    "z AS (SELECT label, ts, v, row_number() OVER (PARTITION BY label ORDER BY ts) AS i, count(*) OVER (PARTITION BY label) AS n FROM {src}),"
+    " fw AS (SELECT label, i, {x0} AS x, {p0}::DOUBLE AS p, {x0} AS xp, {p0}::DOUBLE AS pp FROM z WHERE i = 1 UNION ALL SELECT label, i, CASE WHEN v IS NULL THEN xq ELSE xq + pq / (pq + {noise}) * (v - xq) END, CASE WHEN v IS NULL THEN pq ELSE (1 - pq / (pq + {noise})) * pq END, xq, pq FROM (SELECT z.label, z.i, z.v, exp(-1.0 / {tau}) * fw.x AS xq, exp(-2.0 / {tau}) * fw.p + {s2} * (1 - exp(-2.0 / {tau})) AS pq FROM fw JOIN z ON z.label = fw.label AND z.i = fw.i + 1))"
+)
+
+
+@query(f"WITH RECURSIVE {LI}, {FORWARD.format(src='li', x0='0.0::DOUBLE', p0='1e6', noise=1.0, tau=100.0, s2=4.0)} SELECT z.label, z.ts, round(x, 4) AS state, round(p, 4) AS state_var FROM fw JOIN z USING (label, i)")
 def kalman_forward(spark, sf_dir):
     return kernels.kalman_forward(li(spark, sf_dir), "v").select(LABEL, TIME, r("state").alias("state"), r("state_var").alias("state_var"))
 
@@ -649,9 +738,30 @@ def kalman_smooth(spark, sf_dir):
     return kernels.kalman_smooth(od(spark, sf_dir), "v", tau=30.0, variance=100.0, noise=400.0)
 
 
-@query()
+BACKWARD = (
+    "md AS (SELECT label, median(v) AS md FROM od GROUP BY label), bw AS (SELECT fw.label, i, x, p * 1e6 AS p, x AS xp, p * 1e6 AS pp FROM fw JOIN z USING (label, i) WHERE i = n UNION ALL SELECT label, i, CASE WHEN v IS NULL THEN xq ELSE xq + pq / (pq + 400.0) * (v - xq) END, CASE WHEN v IS NULL THEN pq ELSE (1 - pq / (pq + 400.0)) * pq END, xq, pq"
+    " FROM (SELECT z.label, z.i, z.v, bw.x / exp(-1.0 / 30) AS xq, (bw.p + 100.0 * (1 - exp(-2.0 / 30))) / exp(-2.0 / 30) AS pq FROM bw JOIN z ON z.label = bw.label AND z.i = bw.i - 1))"
+)
+
+
+@query(
+    f"WITH RECURSIVE {OD}, {FORWARD.format(src='od', x0='(SELECT median(v) FROM od o WHERE o.label = z.label)', p0='1e6', noise=400.0, tau=30.0, s2=100.0)}, {BACKWARD}"
+    " SELECT z.label, z.ts, round(fw.x + fw.p / (bw.pp + fw.p) * (bw.xp - fw.x), 3) AS v FROM fw JOIN bw USING (label, i) JOIN z USING (label, i)"
+)
+def kalman_two_sided(spark, sf_dir):
+    """The smoother with a clip that takes nothing out."""
+    return kernels.kalman_smooth(od(spark, sf_dir), "v", tau=30.0, variance=100.0, noise=400.0, clip=1e9).select(LABEL, TIME, r("v", 3).alias("v"))
+
+
+@query(
+    f"WITH RECURSIVE {OD}, {REGULAR.format(src='od')}, z AS (SELECT label, ts, v, row_number() OVER (PARTITION BY label ORDER BY ts) AS i, count(*) OVER (PARTITION BY label) AS n FROM reg),"
+    " s0 AS (SELECT label, arg_min(v, i) AS x0 FROM z WHERE v IS NOT NULL GROUP BY label),"
+    " fw AS (SELECT label, 0::BIGINT AS i, x0 AS x, 1000.0::DOUBLE AS p, x0 AS xp, 1000.0::DOUBLE AS pp FROM s0 UNION ALL SELECT label, i, CASE WHEN v IS NULL THEN xq ELSE xq + pq / (pq + 400.0) * (v - xq) END, CASE WHEN v IS NULL THEN pq ELSE (1 - pq / (pq + 400.0)) * pq END, xq, pq FROM (SELECT z.label, z.i, z.v, exp(-1.0 / 30) * fw.x AS xq, exp(-2.0 / 30) * fw.p + 100.0 * (1 - exp(-2.0 / 30)) AS pq FROM fw JOIN z ON z.label = fw.label AND z.i = fw.i + 1)),"
+    " bw AS (SELECT fw.label, fw.i, fw.x AS xs, fw.xp, fw.pp FROM fw JOIN z USING (label, i) WHERE i = n UNION ALL SELECT fw.label, fw.i, fw.x + fw.p * exp(-1.0 / 30) / bw.pp * (bw.xs - bw.xp), fw.xp, fw.pp FROM bw JOIN fw ON fw.label = bw.label AND fw.i = bw.i - 1 AND fw.i > 0)"
+    " SELECT z.label, z.ts, round(xs, 3) AS v FROM bw JOIN z USING (label, i)"
+)
 def rts_smooth(spark, sf_dir):
-    return kernels.rts_smooth(series.resample(od(spark, sf_dir)), "v", 30.0, 100.0, 400.0)
+    return kernels.rts_smooth(series.resample(od(spark, sf_dir)), "v", 30.0, 100.0, 400.0).select(LABEL, TIME, r("v", 3).alias("v"))
 
 
 @query()
@@ -664,9 +774,12 @@ def tanh_fit(spark, sf_dir):
     return kernels.tanh_fit(ev(spark, sf_dir), "v")
 
 
-@query()
+@query(
+    f"WITH {EV}, {POS.format(src='ev')}, n AS (SELECT label, count(*) AS n FROM ev GROUP BY label), k AS (SELECT label, n, unnest(range(n)) AS k FROM n)"
+    " SELECT label, CAST(k AS BIGINT) AS k, round(CASE WHEN 2 * k < n THEN k ELSE k - n END / n, 6) AS frequency, round(sum(v * cos(2 * pi() * k * pos / n)), 4) AS re, round(-sum(v * sin(2 * pi() * k * pos / n)), 4) AS im FROM x JOIN k USING (label) GROUP BY label, k, n"
+)
 def dft(spark, sf_dir):
-    return kernels.dft(ev(spark, sf_dir), "v")
+    return kernels.dft(ev(spark, sf_dir), "v").select(LABEL, "k", r("frequency", 6).alias("frequency"), r("re").alias("re"), r("im").alias("im"))
 
 
 @query()
@@ -691,9 +804,9 @@ def dbscan_labels(spark, sf_dir):
     return decomposition.density_clusters(p, "x", "y", 1.0, 4)
 
 
-@query()
+@query(f"WITH {EV}, x AS (SELECT label, v, s, atan((row_number() OVER (PARTITION BY label ORDER BY ts) - 1 - 15.0) / 3.0) AS a FROM ev) SELECT label, 'v' AS name, round(pi() * regr_slope(v, a), 4) AS amplitude FROM x GROUP BY label UNION ALL SELECT label, 's', round(pi() * regr_slope(s, a), 4) FROM x GROUP BY label")
 def arctan_amplitudes(spark, sf_dir):
-    return decomposition.arctan_amplitudes(ev(spark, sf_dir), ["v", "s"], 15.0, 3.0)
+    return decomposition.arctan_amplitudes(ev(spark, sf_dir), ["v", "s"], 15.0, 3.0).select(LABEL, "name", r("amplitude").alias("amplitude"))
 
 
 @query()
@@ -718,3 +831,5 @@ def row_union(spark, sf_dir):
     a = filters.keep_labels(df, ["click"], True).select(LABEL, TIME, r("v").alias("v"))
     return a.unionByName(filters.keep_labels(df, ["view"], True).select(LABEL, TIME, r("s").alias("v")))
 
+
+from . import catalogue_more  # noqa: E402, F401  further queries, registered on import
