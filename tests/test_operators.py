@@ -200,9 +200,10 @@ def test_reachability_and_paths(spark):
     starts = spark.createDataFrame([(1,)], "node int")
     assert {r.target for r in search.reachable(edges, starts, 5).collect()} == {1, 2, 3}
     paths = search.traverse_paths(edges, starts, 10.0)
-    assert sorted(map(tuple, (r.path for r in paths.collect()))) == [(1,), (1, 2), (1, 2, 3)]
+    assert [(tuple(r.path), r.duration, r.times) for r in paths.collect()] == [((1, 2, 3), 2.0, [0.0, 1.0, 2.0])]  # what can be extended is no path yet
+    assert {(r.node, r.target): r.time for r in search.within_time(edges, starts, 1.5).collect()} == {(1, 1): 0.0, (1, 2): 1.0}
     groups = spark.createDataFrame([(0, 1, "a", 0), (0, 3, "b", 0), (0, 4, "c", 1)], "scenario int, node int, grp string, priority int")
-    assert {r.node for r in search.threshold_targets(edges, groups).collect()} == {1, 3}
+    assert {r.node for r in search.threshold_targets(edges, groups, 10.0).collect()} == {1, 3}
 
 
 def test_density_clusters(spark):
@@ -224,6 +225,52 @@ def test_source_inversion_recovers():
     assert got == pytest.approx(truth, rel=0.02, abs=1e-3)
 
 
+@pytest.mark.parametrize("model", sorted(source_numpy.EXTRA))
+def test_array_models_match_columns(spark, model):
+    """Every source model on arrays against its column form, and its parameters found again from displacements."""
+    rng = np.random.default_rng(1)
+    lat, lon = rng.uniform(-0.2, 0.2, 40), rng.uniform(-0.2, 0.2, 40)
+    extra = [1.5] * source_numpy.EXTRA[model]
+    p = np.array([0.0, 0.0, 6.0, 2e-4, *extra])
+    got = source_numpy.displacement(model, lat, lon, p)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(np.radians(lon) * 6371, np.radians(lat) * 6371, strict=True)], "x double, y double")
+    form = deformation.MODELS[model][0](F.col("x"), F.col("y"), F.lit(6.0), F.lit(2e-4), *map(F.lit, extra))
+    want = np.array([tuple(r.u) for r in df.select(form.alias("u")).collect()])
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-15)
+    fitted = decomposition.invert_source(lat, lon, got, model)
+    assert source_numpy.displacement(model, lat, lon, fitted) == pytest.approx(got, abs=0.05 * np.abs(got).max())
+
+
+def test_markov_fit_finds_its_parameters():
+    z, _ = kernels.simulate_fogm(900, 12.0, 25.0, 1.0, 3)
+    for method in ("brute", "igrid", "simple"):
+        fit = kernels.fit_markov(z, 1.0, 100.0, method)
+        assert 12.0 < fit.variance < 50.0 and fit.tau > 1 and fit.tau_by_likelihood > 1
+    with pytest.raises(ValueError):
+        kernels.fit_markov(z, 1.0, 100.0, "x")
+
+
+def test_tanh_fit_within_limits(spark):
+    """Rows far off by their errors don't count, and t0 stays inside its limits."""
+    t = np.arange(120)
+    x = 3 * np.tanh((t - 60) / 8.0) + 1 + 0.01 * t
+    x[5] += 500
+    df = daily(spark, x, "a").withColumn("e", F.when(F.dayofyear(TIME) == 6, 1e6).otherwise(1.0))
+    base = df.agg(F.min(TIME)).first()[0]
+    got = kernels.tanh_fit(df, "v", error="e").orderBy(TIME).toPandas()["fit"].to_numpy()
+    assert np.abs(got - (3 * np.tanh((t - 60) / 8.0) + 1 + 0.01 * t)).max() < 0.05
+    late = kernels.tanh_fit(df, "v", error="e", limits=(base + dt.timedelta(days=90), None)).orderBy(TIME).toPandas()["fit"].to_numpy()
+    assert np.abs(late - got).max() > 0.5
+
+
+def test_rotations_of_four_components(spark):
+    rng = np.random.default_rng(2)
+    assert decomposition.rotation4([0.3, 0.2, 0.1, 0.7]) @ decomposition.rotation4([0.3, 0.2, 0.1, 0.7]).T == pytest.approx(np.eye(4))
+    assert decomposition.translate(np.zeros((2, 3)), [1, 2, 3]).tolist() == [[1, 2, 3]] * 2
+    found = decomposition.best_rotation(spark, rng.normal(size=(40, 4)), 3, "remove", components=4)
+    assert len(found["angles"]) == 4
+
+
 def test_columns_match_array_models(spark):
     df = spark.createDataFrame([(3.0, 4.0)], "x double, y double").select(deformation.mogi(F.col("x"), F.col("y"), F.lit(5.0), F.lit(1.0)).alias("u"))
     assert tuple(df.first().u) == pytest.approx((3 / 50**1.5, 4 / 50**1.5, 5 / 50**1.5))

@@ -35,6 +35,44 @@ def contains(x: Column, y: Column, shell: Column, holes: Column) -> Column:
     return in_ring(x, y, shell) & ~F.exists(F.coalesce(holes, F.array()), lambda h: in_ring(x, y, h))
 
 
+def crosses_box(shell: Column, holes: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Does an edge of the polygon pass through the box?  The part of the edge inside both slabs is not empty."""
+
+    def through(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        lo, hi = F.lit(0.0), F.lit(1.0)
+        for p, q, low, high in ((a["x"], b["x"], x0, x1), (a["y"], b["y"], y0, y1)):
+            d = q - p
+            s, t = (low - p) / F.nullif(d, F.lit(0.0)), (high - p) / F.nullif(d, F.lit(0.0))
+            beside = (d == 0) & ((p < low) | (p > high))
+            lo = F.when(beside, 2.0).otherwise(F.greatest(lo, F.least(s, t)))
+            hi = F.least(hi, F.greatest(s, t))
+        return lo <= hi
+
+    rings = F.concat(F.array(shell), F.coalesce(holes, F.array()))
+    return F.exists(rings, lambda r: F.exists(_edges(r), through))
+
+
+def polygons_touch(a: Column, b: Column) -> Column:
+    """Do two rings share a point: edges that cross or touch, or one that holds the other."""
+
+    def side(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+
+    def between(p: Column, q: Column, r: Column) -> Column:
+        return (r["x"] >= F.least(p["x"], q["x"])) & (r["x"] <= F.greatest(p["x"], q["x"])) & (r["y"] >= F.least(p["y"], q["y"])) & (r["y"] <= F.greatest(p["y"], q["y"]))
+
+    def meet(e: Column, f: Column) -> Column:
+        p, q, r, s = e["a"], e["b"], f["a"], f["b"]
+        d1, d2, d3, d4 = side(p, q, r), side(p, q, s), side(r, s, p), side(r, s, q)
+        ends = ((d1 == 0) & between(p, q, r)) | ((d2 == 0) & between(p, q, s)) | ((d3 == 0) & between(r, s, p)) | ((d4 == 0) & between(r, s, q))
+        return ((d1 != d2) & (d3 != d4) & (d1 * d2 < 0) & (d3 * d4 < 0)) | ends
+
+    first = lambda r: F.get(r, F.lit(0))
+    crossing = F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: meet(e, f)))
+    return crossing | in_ring(first(a)["x"], first(a)["y"], b) | in_ring(first(b)["x"], first(b)["y"], a)
+
+
 def _segment_distance(x: Column, y: Column, e: Column) -> Column:
     a, b = e["a"], e["b"]
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]

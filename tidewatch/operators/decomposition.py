@@ -62,25 +62,31 @@ def principal_components(df: DataFrame, columns: list[str], n: int = 3, start=No
 
 
 def independent_components(df: DataFrame, columns: list[str], n: int = 3, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """(ts, component, projection) of a fixed-point ICA (log cosh) of the principal projections; signs as above."""
+    """(ts, component, projection) of a fixed-point ICA (log cosh) of the principal projections; signs as above.
+
+    A round is one aggregation of n by n moments over all times; only they reach the driver.
+    """
     _, projected = principal_components(df, columns, n)
-    wide = projected.groupBy(TIME).pivot("component", list(range(n))).agg(F.first("projection")).toPandas().sort_values(TIME)
-    x = wide[[str(k) for k in range(n)]].to_numpy(float)
-    x = (x - x.mean(0)) / x.std(0)
+    names = [f"x{k}" for k in range(n)]
+    wide = projected.groupBy(TIME).pivot("component", list(range(n))).agg(F.first("projection")).toDF(TIME, *names)
+    moments = wide.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+    x = wide.select(TIME, *[((F.col(c) - moments[f"mean_{c}"]) / moments[f"std_{c}"]).alias(c) for c in names]).checkpoint()
+    along_rows = lambda row: sum((F.col(c) * float(k) for c, k in zip(names, row, strict=True)), F.lit(0.0))
     w = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0]
     for _ in range(rounds):
-        g = np.tanh(x @ w.T)
-        new = g.T @ x / len(x) - np.diag((1 - g**2).mean(0)) @ w
+        g = [F.tanh(along_rows(row)) for row in w]
+        sums = x.agg(*[F.avg(g[i] * F.col(c)) for i in range(n) for c in names], *[F.avg(1 - g[i] * g[i]) for i in range(n)]).first()
+        new = np.array(sums[: n * n], float).reshape(n, n) - np.diag(np.array(sums[n * n :], float)) @ w
         u, _, v = np.linalg.svd(new)
         new = u @ v
         done = np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1)) < 1e-8
         w = new
         if done:
             break
-    s = x @ w.T
-    s *= np.sign(s[np.argmax(np.abs(s), axis=0), np.arange(n)])
-    rows = pd.DataFrame({TIME: np.repeat(wide[TIME].to_numpy(), n), "component": np.tile(np.arange(n), len(s)), "projection": s.ravel()})
-    return df.sparkSession.createDataFrame(rows, f"{TIME} {df.schema[TIME].dataType.simpleString()}, component int, projection double")
+    s = x.select(TIME, *[along_rows(row).alias(c) for row, c in zip(w, names, strict=True)])
+    largest = s.agg(*[F.max_by(c, F.struct(F.abs(c), TIME)).alias(c) for c in names]).first()
+    signed = F.array(*[F.col(c) * (1.0 if (largest[c] or 0.0) >= 0 else -1.0) for c in names])
+    return s.select(TIME, F.posexplode(signed).alias("component", "projection"))
 
 
 def rotation(angles) -> np.ndarray:
@@ -92,6 +98,20 @@ def rotation(angles) -> np.ndarray:
     return rx @ ry @ rz
 
 
+def translate(points: np.ndarray, shift) -> np.ndarray:
+    """Points (rows of x, y, z) moved by a shift."""
+    return np.asarray(points, float) + np.asarray(shift, float)
+
+
+def rotation4(angles) -> np.ndarray:
+    """Rotation of four components: the three-dimensional one of the first three, then a turn of the first towards the fourth."""
+    whole, turn = np.eye(4), np.eye(4)
+    whole[:3, :3] = rotation(angles[:3])
+    c, s = math.cos(angles[3]), math.sin(angles[3])
+    turn[0, 0], turn[0, 3], turn[3, 0], turn[3, 3] = c, -s, s, c
+    return turn @ whole
+
+
 def dtw(a: np.ndarray, b: np.ndarray, norm=lambda x, y: abs(x - y)) -> float:
     """Dynamic time warping distance."""
     before = np.full(len(b) + 1, np.inf)
@@ -104,36 +124,37 @@ def dtw(a: np.ndarray, b: np.ndarray, norm=lambda x, y: abs(x - y)) -> float:
     return float(before[-1])
 
 
-def best_rotation(spark, projection: np.ndarray, resolution: int = 10, fit: str = "dtw", model: np.ndarray | None = None) -> dict:
-    """Angles of least score over resolution^3 rotations of three components, scored in parallel.
+def best_rotation(spark, projection: np.ndarray, resolution: int = 10, fit: str = "dtw", model: np.ndarray | None = None, components: int = 3) -> dict:
+    """Angles of least score over the rotations of three or four components, scored in parallel.
 
     ``dtw`` compares the first rotated component with the model tiled over the series;
     ``remove`` takes the variance left when each component's line is removed.
     """
-    if fit not in ("dtw", "remove"):
-        raise ValueError("fit is 'dtw' or 'remove'")
-    steps = np.linspace(0, 2 * np.pi, resolution, endpoint=False)
-    grid = spark.createDataFrame([tuple(map(float, g)) for g in itertools.product(steps, repeat=3)], "a double, b double, c double")
-    data = np.asarray(projection, float)[:, :3]
+    if fit not in ("dtw", "remove") or components not in (3, 4):
+        raise ValueError("fit is 'dtw' or 'remove', components 3 or 4")
+    step, names = 2 * math.pi / resolution, [f"a{k}" for k in range(components)]
+    grid = spark.range(resolution**components).select(*[(F.floor(F.col("id") / resolution**k) % resolution * step).alias(c) for k, c in enumerate(names)])
+    data, turn = np.asarray(projection, float)[:, :components], rotation if components == 3 else rotation4
 
     def score(angles) -> float:
-        x = data @ rotation(angles).T
+        x = data @ turn(angles).T
         if fit == "dtw":
             m = np.resize(model, len(x))
             return dtw((x[:, 0] - x[:, 0].mean()) / (x[:, 0].std() or 1), (m - m.mean()) / (m.std() or 1))
         t = np.arange(len(x))
-        return float(sum(np.var(x[:, k] - np.polyval(np.polyfit(t, x[:, k], 1), t)) for k in range(1, 3)))
+        return float(sum(np.var(x[:, k] - np.polyval(np.polyfit(t, x[:, k], 1), t)) for k in range(1, components)))
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(score=[score(r) for r in pdf[["a", "b", "c"]].to_numpy()])
+            yield pdf.assign(score=[score(r) for r in pdf[names].to_numpy()])
 
-    scored = grid.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "a double, b double, c double, score double")
-    best = scored.agg(F.min_by(F.struct("a", "b", "c"), F.struct("score", "a", "b", "c")).alias("at"), F.min("score").alias("score")).first()
+    schema = ", ".join(f"{c} double" for c in (*names, "score"))
+    scored = grid.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, schema)
+    best = scored.agg(F.min_by(F.struct(*names), F.struct("score", *names)).alias("at"), F.min("score").alias("score")).first()
     return {"angles": tuple(best["at"]), "score": best["score"]}
 
 
-def density_clusters(points: DataFrame, x: str, y: str, eps: float, min_points: int, id_column: str = "id", rounds: int = 100) -> DataFrame:
+def density_clusters(points: DataFrame, x: str, y: str, eps: float, min_points: int, id_column: str = "id") -> DataFrame:
     """(label, id, cluster): density clusters by an eps join through grid squares and least-label rounds.
 
     A cluster is named by its smallest core id; noise is -1; a border point joins the
@@ -147,7 +168,7 @@ def density_clusters(points: DataFrame, x: str, y: str, eps: float, min_points:
     core = near.groupBy(LABEL, "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(LABEL, "id")
     edges = near.join(core, [LABEL, "id"]).join(core.withColumnRenamed("id", "id2"), [LABEL, "id2"]).checkpoint()
     state = core.withColumn("cluster", F.col("id")).checkpoint()
-    for _ in range(rounds):
+    while True:
         heard = edges.join(state.withColumnsRenamed({"id": "id2", "cluster": "c2"}), [LABEL, "id2"]).groupBy(LABEL, "id").agg(F.min("c2").alias("c2"))
         new = state.join(heard, [LABEL, "id"], "left").withColumn("cluster", F.least("cluster", F.coalesce("c2", "cluster"))).drop("c2")
         jump = new.select(LABEL, F.col("id").alias("cluster"), F.col("cluster").alias("c3"))

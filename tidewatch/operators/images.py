@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.polygons import box_overlap, contains
+from ..functions.polygons import box_overlap, contains, crosses_box
 
 IMAGE = "label string, channels int, height int, width int, pixels array<double>, meta map<string,string>, extent array<int>"
 
@@ -131,8 +131,8 @@ def recentre(cells: DataFrame, width: int, shift: int) -> DataFrame:
     return cells.withColumn("i", F.pmod(F.col("i") + shift, F.lit(width)).cast("int"))
 
 
-def rasterize(polygons: DataFrame, height: int, width: int, box: tuple[float, float, float, float], background: float = 1.0, burn: float = 0.0, attribute: str | None = None) -> DataFrame:
-    """(j, i, value): cells whose centre a polygon holds take the burn value or the polygon's attribute (of the last id)."""
+def rasterize(polygons: DataFrame, height: int, width: int, box: tuple[float, float, float, float], background: float = 1.0, burn: float = 0.0, attribute: str | None = None, all_touched: bool = False) -> DataFrame:
+    """(j, i, value): cells whose centre a polygon holds, or with ``all_touched`` that it touches at all, take the burn value or the polygon's attribute (of the last id)."""
     x0, y0, x1, y1 = box
     dx, dy = (x1 - x0) / width, (y1 - y0) / height
     grid = polygons.sparkSession.range(height * width).select((F.col("id") / width).cast("int").alias("j"), (F.col("id") % width).cast("int").alias("i"))
@@ -142,7 +142,10 @@ def rasterize(polygons: DataFrame, height: int, width: int, box: tuple[float, fl
     touched = polygons.where((j0 <= j1) & (i0 <= i1)).withColumn("j", F.explode(F.sequence(j0, j1))).withColumn("i", F.explode(F.sequence(i0, i1)))
     x, y = x0 + (F.col("i") + 0.5) * dx, y1 - (F.col("j") + 0.5) * dy
     value = F.col(attribute).cast("double") if attribute else F.lit(burn)
-    hit = touched.where(contains(x, y, F.col("shell"), F.col("holes"))).groupBy(F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i")).agg(F.max_by(value, F.col("id")).alias("_v"))
+    inside = contains(x, y, F.col("shell"), F.col("holes"))
+    if all_touched:
+        inside = inside | crosses_box(F.col("shell"), F.col("holes"), x - dx / 2, y - dy / 2, x + dx / 2, y + dy / 2)
+    hit = touched.where(inside).groupBy(F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i")).agg(F.max_by(value, F.col("id")).alias("_v"))
     return grid.join(hit, ["j", "i"], "left").select("j", "i", F.coalesce("_v", F.lit(background)).alias("value"))
 
 

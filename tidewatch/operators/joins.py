@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import LABEL, TIME
-from ..functions.polygons import contains, distance_to_edges
+from ..functions.polygons import contains, distance_to_edges, polygons_touch
 
 
 def with_metadata(df: DataFrame, meta: DataFrame) -> DataFrame:
@@ -128,10 +128,10 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float) -> Dat
         reach *= 4
 
 
-def spatial_semi_join(a: DataFrame, b: DataFrame, touches, size: float = 1.0, anti: bool = False) -> DataFrame:
+def spatial_semi_join(a: DataFrame, b: DataFrame, touches=polygons_touch, size: float = 1.0, anti: bool = False) -> DataFrame:
     """Features of a that touch (or, ``anti``, don't touch) one of b; ``touches(a_geom, b_geom)`` decides in shared grid squares.
 
-    Both sides have feature_id, geom and a bounding box.
+    Both sides have feature_id, geom (by default a ring) and a bounding box.
     """
     left = _gridded(a, size, "a").select("feature_id", "_bx", "_by", F.col("geom").alias("_ga"))
     right = _gridded(b, size, "b").select("_bx", "_by", F.col("geom").alias("_gb"))

@@ -169,3 +169,38 @@ def inverse_haar(pairs: DataFrame) -> DataFrame:
     a, d = F.col("approx"), F.col("detail")
     both = F.explode(F.array(F.struct((2 * F.col("k")).alias("pos"), ((a + d) / math.sqrt(2)).alias("value")), F.struct((2 * F.col("k") + 1).alias("pos"), ((a - d) / math.sqrt(2)).alias("value"))))
     return pairs.select(LABEL, both.alias("b")).select(LABEL, "b.*")
+
+
+def usable_points(df: DataFrame, column: str, index: str = "days") -> DataFrame:
+    """(label, index, value) of the finite values: the index in days from the label's first row, its row number (``rows``) or an angle to 2 pi (``angle``)."""
+    w = Window.partitionBy(LABEL)
+    days = F.unix_micros(F.col(TIME).cast("timestamp")) / 86_400_000_000
+    made = {"days": days - F.min(days).over(w), "rows": position().cast("double"), "angle": position() * (2 * math.pi) / F.nullif(F.count(F.lit(1)).over(w) - 1, F.lit(0))}
+    if index not in made:
+        raise ValueError(f"index is one of {sorted(made)}")
+    at = df.select(LABEL, made[index].alias("index"), F.col(column).cast("double").alias("value"))
+    return at.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+
+
+def haar_packets(df: DataFrame, column: str, levels: int) -> DataFrame:
+    """(label, path, k, value): the full tree of Haar steps, its nodes named by a (sum) and d (difference) from the top."""
+    now = df.select(LABEL, F.lit("").alias("path"), position().alias("k"), F.col(column).alias("value"))
+    for _ in range(levels):
+        even = F.max(F.when(F.col("k") % 2 == 0, F.col("value")))
+        odd = F.coalesce(F.max(F.when(F.col("k") % 2 == 1, F.col("value"))), even)
+        pairs = now.groupBy(LABEL, "path", F.floor(F.col("k") / 2).alias("k")).agg(even.alias("x0"), odd.alias("x1"))
+        step = lambda letter, v: F.struct(F.concat("path", F.lit(letter)).alias("path"), (v / math.sqrt(2)).alias("value"))
+        both = F.explode(F.array(step("a", F.col("x0") + F.col("x1")), step("d", F.col("x0") - F.col("x1"))))
+        now = pairs.select(LABEL, "k", both.alias("s")).select(LABEL, "s.path", "k", "s.value")
+    return now
+
+
+def from_packets(packets: DataFrame, nodes: list[str] | None = None) -> DataFrame:
+    """(label, k, value) rebuilt from a tree of Haar steps; with ``nodes`` all other nodes count as zero."""
+    now = packets if nodes is None else packets.withColumn("value", F.when(F.col("path").isin(*nodes), F.col("value")).otherwise(0.0))
+    for _ in range(packets.agg(F.max(F.length("path"))).first()[0] or 0):
+        last = F.right("path", F.lit(1))
+        up = now.groupBy(LABEL, F.left("path", F.length("path") - 1).alias("path"), "k").agg(F.max(F.when(last == "a", F.col("value"))).alias("a"), F.max(F.when(last == "d", F.col("value"))).alias("d"))
+        both = F.explode(F.array(F.struct((2 * F.col("k")).alias("k"), ((F.col("a") + F.col("d")) / math.sqrt(2)).alias("value")), F.struct((2 * F.col("k") + 1).alias("k"), ((F.col("a") - F.col("d")) / math.sqrt(2)).alias("value"))))
+        now = up.select(LABEL, "path", both.alias("s")).select(LABEL, "path", "s.k", "s.value")
+    return now.select(LABEL, "k", "value")

@@ -42,20 +42,31 @@ def _correlation(pairs: DataFrame, keys: list[str], method: str) -> DataFrame:
         rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
         ranked = pairs.withColumns({"_rx": rank("x"), "_ry": rank("y")})
         return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("r"))
-    if method == "kendall":  # tau-b by pair counts in a kernel for each pair of series
+    if method == "kendall":  # tau-b by inversions in a kernel for each pair of series
         import numpy as np
         import pandas as pd
 
-        def tau(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def swaps(y: np.ndarray) -> int:
+            """Pairs out of order, counted while halves are merged."""
+            total, width = 0, 1
+            while width < len(y):
+                for lo in range(0, len(y) - width, 2 * width):
+                    a, b = y[lo : lo + width], y[lo + width : lo + 2 * width]
+                    total += int((len(a) - np.searchsorted(a, b, "right")).sum())
+                    y[lo : lo + len(a) + len(b)] = np.sort(np.concatenate([a, b]), kind="stable")
+                width *= 2
+            return total
+
+        def tied(*columns: np.ndarray) -> int:
+            n = np.unique(np.stack(columns), axis=1, return_counts=True)[1]
+            return int((n * (n - 1) // 2).sum())
+
+        def tau(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-            concordant = ties_x = ties_y = total = 0.0
-            for k in range(len(x) - 1):
-                dx, dy = np.sign(x[k + 1 :] - x[k]), np.sign(y[k + 1 :] - y[k])
-                concordant += float((dx * dy).sum())
-                ties_x += float((dx == 0).sum())
-                ties_y += float((dy == 0).sum())
-                total += len(dx)
-            below = math.sqrt((total - ties_x) * (total - ties_y))
+            n, order = len(x) * (len(x) - 1) // 2, np.lexsort((y, x))
+            ties_x, ties_y = tied(x), tied(y)
+            concordant = n - ties_x - ties_y + tied(x, y) - 2 * swaps(y[order].copy())
+            below = math.sqrt((n - ties_x) * (n - ties_y))
             return pd.DataFrame([(*key, len(x), concordant / below if below else None)])
 
         schema = ", ".join([*(f"{k} string" for k in keys), "n long", "r double"])

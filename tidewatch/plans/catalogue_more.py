@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..dataset import LABEL, TIME
-from ..functions import astro, deformation, fuzzy, geodesy
-from ..operators import filters, images, joins, search, series, stats, vectors, windows
-from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, PATHS, POS, SITES, _in_diamond, _near, _squares, ev, evg, grid, li, od, query, r, sites, table
+from ..dataset import LABEL, TIME, Dataset, melt, widen
+from ..functions import astro, deformation, fuzzy, geodesy, polygons
+from ..operators import decomposition, filters, images, joins, search, series, stats, vectors, windows
+from ..sources import readers
+from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _in_diamond, _near, _squares, ev, evg, grid, li, query, r, sites, table
+from .pipeline import Incremental, Param, ParamCycle, Pipeline, Stage, run_grid
 
 # --- joins ----------------------------------------------------------------------------------
 
@@ -397,8 +401,6 @@ def layer_borders(spark, sf_dir):
 
 @query("WITH p AS (SELECT CAST(unnest(range(12)) AS INTEGER) AS id), a AS (SELECT id, 5.0 * (id % 4) AS x, 9.0 + 3 * (id // 4) AS y FROM p), q AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x, b.x + 1.5) + 4 - greatest(a.x, b.x + 1.5)) * (least(a.y, b.y + 1) + 2.5 - greatest(a.y, b.y + 1)) AS area FROM a, a b WHERE a.x < b.x + 5.5 AND b.x + 1.5 < a.x + 4 AND a.y < b.y + 3.5 AND b.y + 1 < a.y + 2.5) SELECT a_id, b_id, round(area, 5) AS area FROM q")
 def layer_intersections(spark, sf_dir):
-    from ..functions import polygons
-
     a = _squares(spark).where("id < 12").withColumnRenamed("id", "feature_id").withColumn("fields", F.create_map().cast("map<string,string>"))
     moved = F.transform("shell", lambda p: F.struct((p["x"] + 1.5).alias("x"), (p["y"] + 1.0).alias("y")))
     b = polygons.bounding_box(a.select("feature_id", moved.alias("shell"), "fields"))
@@ -448,3 +450,167 @@ def path_ranks(spark, sf_dir):
     c = F.col("o_custkey") % 3 + 1
     rank = search.path_rank((F.col("o_custkey") % 7) / 7.0, F.lit(5.0), F.lit(10.0), F.col("o_totalprice"), 600000.0, c, F.lit(4), c, F.lit(5), {"data": 2.0, "sinuosity": 1.5, "duration": 3.0, "group": 0.5, "number": 0.25})
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), r(rank).alias("rank"))
+
+
+@query(f"WITH {EV} SELECT label, k * 2.0 AS factor, round(avg(v) * (1 + k) * 2, 4) AS v, CAST(k AS BIGINT) AS run_id FROM ev, (SELECT unnest(range(3)) AS k) GROUP BY label, k")
+def scaled_runs(spark, sf_dir):
+    """Runs of two stages whose results carry their run: a cycle of factors, then means by label."""
+    source = Dataset.of(ev(spark, sf_dir).select(LABEL, TIME, "v"), ["v"])
+    scale = Stage("scale", lambda d, k: d.with_df(d.df.withColumns({"v": F.col("v") * (1 + k), "factor": F.lit(k * 2.0)})), ParamCycle([0, 1, 2]))
+    double = Stage("double", lambda d: readers.snapshot(d.with_df(d.df.groupBy(LABEL, "factor").agg((F.avg("v") * 2).alias("v"))), "means"))
+    return Pipeline(lambda run_id: source, [scale, double]).run(3).results("means").select(LABEL, "factor", r("v").alias("v"), "run_id")
+
+
+@query("SELECT CAST(run_id AS INTEGER) AS run_id, CAST(s AS INTEGER) AS stage_no, CASE s WHEN 1 THEN 'scale[' || (run_id * 10 + 1) || ']' ELSE 'keep[x]' END AS description FROM (SELECT unnest(range(4)) AS run_id), (SELECT unnest(range(1, 3)) AS s)")
+def run_history(spark, sf_dir):
+    """Provenance of four runs: what each stage was told."""
+    source = Dataset.of(ev(spark, sf_dir).select(LABEL, TIME, "v"), ["v"])
+    stages = [Stage("scale", lambda d, k: d, ParamCycle([1, 11, 21, 31])), Stage("keep", lambda d, k: d, Param("x"))]
+    history = Pipeline(lambda run_id: source, stages).run(4).history(spark)
+    return history.where("stage_no > 0").select(F.col("run_id").cast("int").alias("run_id"), F.col("stage_no").cast("int").alias("stage_no"), "description")
+
+
+@query(f"WITH {EV}, k AS (SELECT unnest(range(3)) AS k) SELECT label, ts, round(CASE k WHEN 0 THEN v * 2 WHEN 1 THEN v * 2 + 1 ELSE abs(v * 2 + 1) END, 4) AS v, CAST(k AS BIGINT) AS run_id FROM ev, k")
+def growing_chain(spark, sf_dir):
+    """A chain that grows by one stage a run."""
+    on = lambda f: lambda d: d.with_df(d.df.withColumn("v", f(F.col("v"))))
+    chain = Incremental([Stage("double", on(lambda v: v * 2)), Stage("add", on(lambda v: v + 1)), Stage("size", on(F.abs))])
+    source = Dataset.of(ev(spark, sf_dir).select(LABEL, TIME, "v"), ["v"])
+    return Pipeline(lambda run_id: source, [chain]).run(3).data().select(LABEL, TIME, r("v").alias("v"), "run_id")
+
+
+@query(f"WITH {EV} SELECT label, round(avg(v * (1 + k)), 4) AS v FROM ev, (SELECT unnest(range(4)) AS k) GROUP BY label")
+def means_over_runs(spark, sf_dir):
+    runs = run_grid(lambda k: ev(spark, sf_dir).select(LABEL, (F.col("v") * (1 + k)).alias("v")), [{"k": k} for k in range(4)])
+    return stats.run_means(runs, [LABEL], ["v"]).select(LABEL, r("v").alias("v"))
+
+
+@query(f"WITH {EV} SELECT label, ts, name, round(value, 4) AS value FROM (SELECT label, ts, 'v' AS name, v AS value FROM ev UNION ALL SELECT label, ts, 's', s FROM ev)")
+def table_to_series(spark, sf_dir):
+    return melt(ev(spark, sf_dir).select(LABEL, TIME, "v", "s"), ["v", "s"]).select(LABEL, TIME, "name", r("value").alias("value"))
+
+
+@query(f"WITH {EV} SELECT label, ts, round(v, 4) AS v, round(s, 4) AS s FROM ev")
+def series_to_table(spark, sf_dir):
+    return widen(melt(ev(spark, sf_dir).select(LABEL, TIME, "v", "s"), ["v", "s"]), ["v", "s"]).select(LABEL, TIME, r("v").alias("v"), r("s").alias("s"))
+
+
+@query("SELECT p_brand AS brand FROM part GROUP BY 1 ORDER BY 1")
+def field_values(spark, sf_dir):
+    f = table(spark, sf_dir, "part").select(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")).alias("fields"))
+    return readers.field_values(f, "brand", unique=True)
+
+
+@query(f"WITH {GRID} SELECT raster_id, j, i, round(CASE WHEN (raster_id + j) % 5 > 0 THEN value * 0.5 + 3 END, 5) AS value, 10.0 + (i + 0.5) * 0.25 AS lon, 60.0 - (j + 0.5) * 0.25 AS lat FROM grid")
+def raster_values(spark, sf_dir):
+    """Stored values with a no-data mark, scaled and placed."""
+    g = grid(spark, sf_dir).withColumn("value", F.when((F.col("raster_id") + F.col("j")) % 5 > 0, F.col("value")).otherwise(readers.NO_DATA))
+    placed = readers.place_cells(readers.raster_values(g, scale=0.5, offset=3.0), readers.geotransform(10.0, 60.0, 0.25))
+    return placed.select("raster_id", "j", "i", r("value", 5).alias("value"), "lon", "lat")
+
+
+@query("SELECT * FROM (SELECT event_id, event_id % 37 - 18.0 AS pplat, event_id % 41 - 20.0 AS pplon, 'd' || day(ts) AS day FROM events WHERE day(ts) IN (3, 4)) WHERE pplat BETWEEN -10 AND 12.5 AND pplon BETWEEN -8 AND 9")
+def stitched_days(spark, sf_dir):
+    k = F.col("event_id")
+    day = lambda d: table(spark, sf_dir, "events").where(F.dayofmonth("ts") == d).select("event_id", (k % 37 - 18.0).alias("pplat"), (k % 41 - 20.0).alias("pplon"))
+    return readers.stitch_days({"d3": day(3), "d4": day(4)}, -10.0, 12.5, -8.0, 9.0)
+
+
+@query(
+    "WITH p AS (SELECT s_suppkey AS id, s_suppkey // 10 AS part, s_suppkey % 3 > 0 AS hole, CASE WHEN s_suppkey % 3 > 0 THEN 1.0 ELSE 2.0 + s_suppkey % 4 END AS side FROM supplier WHERE s_suppkey >= 3), o AS (SELECT *, last_value(CASE WHEN NOT hole THEN id END IGNORE NULLS) OVER (PARTITION BY part ORDER BY id) AS shell FROM p)"
+    " SELECT CAST(shell AS BIGINT) AS id, round(max(CASE WHEN NOT hole THEN side * side END), 4) AS area, CAST(count(*) FILTER (hole) AS INTEGER) AS n_holes FROM o WHERE shell IS NOT NULL GROUP BY shell"
+)
+def rings_to_polygons(spark, sf_dir):
+    """Shells run clockwise, holes anticlockwise; a hole belongs to the shell before it."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey >= 3")
+    k = F.col("s_suppkey")
+    hole, side = k % 3 > 0, F.when(k % 3 > 0, 1.0).otherwise(2.0 + k % 4)
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    zero = F.lit(0.0)
+    ring = F.when(hole, F.array(pt(zero, zero), pt(side, zero), pt(side, side), pt(zero, side))).otherwise(F.array(pt(zero, zero), pt(zero, side), pt(side, side), pt(side, zero)))
+    rings = s.select(F.floor(k / 10).alias("part"), k.alias("id"), ring.alias("ring"), F.create_map(F.lit("n"), k.cast("string")).alias("info"))
+    made = polygons.rings_to_polygons(rings)
+    return made.select(F.col("id").cast("long").alias("id"), r(F.abs(polygons.shoelace(F.col("shell")))).alias("area"), F.size(F.coalesce("holes", F.array())).alias("n_holes"))
+
+
+@query(f"WITH {EV}, m AS (SELECT label, v, avg(v) OVER (PARTITION BY label) AS mu, stddev_pop(v) OVER (PARTITION BY label) AS sd, row_number() OVER (PARTITION BY label ORDER BY v) AS i, count(*) OVER (PARTITION BY label) AS n FROM ev), c AS (SELECT *, 0.5 + atan((v - mu) / sd) / pi() AS f FROM m) SELECT label, CAST(any_value(n) AS BIGINT) AS n, round(max(greatest(i * 1.0 / n - f, f - (i - 1) * 1.0 / n)), 5) AS statistic FROM c GROUP BY label")
+def ks_against_cauchy(spark, sf_dir):
+    """One-sample test of standardised values against a Cauchy distribution."""
+    z = stats.zscore(ev(spark, sf_dir), "v", "z").withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(LABEL)))
+    z = z.withColumn("z", F.col("z") * F.sqrt(F.col("n_rows") / (F.col("n_rows") - 1)))  # deviation of the population
+    return stats.one_sample_ks(z, "z", lambda x: 0.5 + F.atan(x) / math.pi).select(LABEL, "n", r("statistic", 5).alias("statistic"))
+
+
+@query(f"WITH {EVG}, {POS.format(src='evg')}, n AS (SELECT *, count(*) OVER (PARTITION BY label) AS c, min(ts) OVER (PARTITION BY label) AS t0 FROM x) SELECT label, CAST(ts - t0 AS DOUBLE) AS days, round(pos * 2 * pi() / (c - 1), 5) AS angle, round(v, 4) AS value FROM n WHERE v IS NOT NULL")
+def usable_points(spark, sf_dir):
+    df = evg(spark, sf_dir)
+    days = series.usable_points(df, "v").withColumn("k", F.row_number().over(Window.partitionBy(LABEL).orderBy("index")))
+    turned = series.usable_points(df, "v", "angle").withColumn("k", F.row_number().over(Window.partitionBy(LABEL).orderBy("index")))
+    return days.select(LABEL, "k", F.col("index").alias("days"), r("value").alias("value")).join(turned.select(LABEL, "k", r("index", 5).alias("angle")), [LABEL, "k"]).drop("k")
+
+
+@query(
+    f"WITH {EV}, {POS.format(src='ev')}, h1 AS (SELECT label, pos // 2 AS k, max(CASE WHEN pos % 2 = 0 THEN v END) AS x0, coalesce(max(CASE WHEN pos % 2 = 1 THEN v END), max(CASE WHEN pos % 2 = 0 THEN v END)) AS x1 FROM x GROUP BY 1, 2), n1 AS (SELECT label, 'a' AS path, k, (x0 + x1) / sqrt(2) AS v FROM h1 UNION ALL SELECT label, 'd', k, (x0 - x1) / sqrt(2) FROM h1),"
+    " h2 AS (SELECT label, path, k // 2 AS k, max(CASE WHEN k % 2 = 0 THEN v END) AS x0, coalesce(max(CASE WHEN k % 2 = 1 THEN v END), max(CASE WHEN k % 2 = 0 THEN v END)) AS x1 FROM n1 GROUP BY 1, 2, 3) SELECT label, path || 'a' AS path, CAST(k AS BIGINT) AS k, round((x0 + x1) / sqrt(2), 4) AS value FROM h2 UNION ALL SELECT label, path || 'd', CAST(k AS BIGINT), round((x0 - x1) / sqrt(2), 4) FROM h2"
+)
+def haar_packets(spark, sf_dir):
+    return series.haar_packets(ev(spark, sf_dir), "v", 2).select(LABEL, "path", "k", r("value").alias("value"))
+
+
+@query(f"WITH {LI}, {POS.format(src='li')} SELECT label, CAST(pos AS BIGINT) AS k, round(v, 1) AS v FROM x")
+def haar_packets_back(spark, sf_dir):
+    df = li(spark, sf_dir)
+    n = df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
+    back = series.from_packets(series.haar_packets(df, "v", 3)).join(n, LABEL).where("k < n")
+    return back.select(LABEL, F.col("k").cast("long").alias("k"), r("value", 1).alias("v"))
+
+
+@query("WITH c AS (SELECT CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, -10.3 + i * 0.75 AS x0, -10.3 + i * 0.75 + 0.75 AS x1, 20.3 - (j + 1) * 0.812 AS y0, 20.3 - j * 0.812 AS y1 FROM (SELECT unnest(range(25)) AS j), (SELECT unnest(range(80)) AS i)), s AS (SELECT unnest(range(12)) AS id) SELECT j, i, CASE WHEN EXISTS (SELECT 1 FROM s WHERE x0 <= 5 * (id % 4) + 4 AND x1 >= 5 * (id % 4) AND y0 <= 11.5 + 3 * (id // 4) AND y1 >= 9 + 3 * (id // 4)) THEN 0.0 ELSE 1.0 END AS value FROM c")
+def rasterize_all_touched(spark, sf_dir):
+    return images.rasterize(_squares(spark).where("id < 12"), 25, 80, (-10.3, 0.0, 49.7, 20.3), all_touched=True)
+
+
+@query(f"WITH {BOXES} SELECT id AS feature_id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_TOUCH})")
+def touching_polygons(spark, sf_dir):
+    """Rings as geometries, and the test that comes with the join."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))
+    a = _boxes(table(spark, sf_dir, "part"), "p_partkey", F.col("p_size"), F.col("p_partkey") % 97, 1.5).withColumn("geom", ring)
+    b = _boxes(table(spark, sf_dir, "supplier"), "s_suppkey", F.col("s_suppkey") % 53, F.col("s_suppkey") * 7 % 101, 0.75).withColumn("geom", ring)
+    return joins.spatial_semi_join(a, b).select("feature_id")
+
+
+@query("SELECT CAST(id AS INTEGER) AS id, round((5.0 * (id % 4) - 0) * 2 + 100, 4) AS x0, round((9.0 + 3 * (id // 4) - 9) * 10 / 8.5 - 5, 4) AS y0 FROM (SELECT unnest(range(12)) AS id)")
+def moved_extent(spark, sf_dir):
+    moved = _squares(spark).where("id < 12").withColumn("shell", polygons.remap(F.col("shell"), (0.0, 9.0, 19.0, 17.5), (100.0, -5.0, 138.0, 5.0)))
+    first = F.get("shell", F.lit(0))
+    return moved.select("id", r(first["x"]).alias("x0"), r(first["y"]).alias("y0"))
+
+
+@query(
+    f"WITH {SITES}, m AS (SELECT k, lat, lon, avg(lat) OVER () AS mlat, avg(lon) OVER () AS mlon, sin(k) AS n, cos(k * 2) AS e FROM sites), f AS (SELECT count(*) FILTER (abs(atan2(lat - mlat, lon - mlon) - atan2(n, e)) >= pi() / 2) > count(*) FILTER (abs(atan2(lat - mlat, lon - mlon) - atan2(n, e)) < pi() / 2) AS turn FROM m)"
+    " SELECT k AS label, round(CASE WHEN turn THEN -n ELSE n END, 6) AS north, round(CASE WHEN turn THEN -e ELSE e END, 6) AS east FROM m, f"
+)
+def oriented_eigenvectors(spark, sf_dir):
+    s = sites(spark, sf_dir).select(F.col("k").alias(LABEL), "lat", "lon", F.sin("k").alias("north"), F.cos(F.col("k") * 2).alias("east"))
+    return decomposition.orient_eigenvectors(s).select(LABEL, r("north", 6).alias("north"), r("east", 6).alias("east"))
+
+
+@query(
+    "WITH RECURSIVE p AS (SELECT CAST(p_size % 2 AS VARCHAR) AS label, p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 40 AS y FROM part), nb AS (SELECT a.label, a.id, b.id AS id2 FROM p a JOIN p b ON a.label = b.label AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1),"
+    " co AS (SELECT label, id FROM nb GROUP BY 1, 2 HAVING count(*) >= 4), ed AS (SELECT nb.* FROM nb JOIN co USING (label, id) JOIN co c2 ON c2.label = nb.label AND c2.id = nb.id2), re AS (SELECT label, id, id AS root FROM co UNION SELECT re.label, ed.id2, re.root FROM re JOIN ed ON ed.label = re.label AND ed.id = re.id),"
+    " cl AS (SELECT label, id, min(root) AS c FROM re GROUP BY 1, 2), bo AS (SELECT nb.label, nb.id, arg_min(cl.c, nb.id2) AS c FROM nb JOIN cl ON cl.label = nb.label AND cl.id = nb.id2 GROUP BY 1, 2) SELECT label, id, CAST(coalesce(cl.c, bo.c, -1) AS BIGINT) AS cluster FROM p LEFT JOIN cl USING (label, id) LEFT JOIN bo USING (label, id)"
+)
+def density_clusters(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select((F.col("p_size") % 2).cast("string").alias(LABEL), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 40).alias("y"))
+    return decomposition.density_clusters(p, "x", "y", 1.0, 4)
+
+
+@query(f"WITH {EV}, k AS (SELECT label, ts, v, s, atan2(v, s) AS x FROM ev) SELECT label, ts, round(least(1.0, greatest(0.0, (x - 1.0) / 0.5)), 5) AS m FROM k WHERE x IS NOT NULL")
+def fuzzy_ramp(spark, sf_dir):
+    """A trapezoid whose right side is never reached."""
+    df = ev(spark, sf_dir).withColumn("x", F.atan2("v", "s")).where("x IS NOT NULL")
+    return df.select(LABEL, TIME, r(fuzzy.trapezoid(F.col("x"), 1.0, 1.5, 10.0, 11.0, 0.0, 1.0), 5).alias("m"))
+
+
+ORACLES["dbscan_labels"] = ORACLES["density_clusters"]
