@@ -353,6 +353,8 @@ def test_vector_layers(spark):
     got = vectors.intersect_layers(a, b).withColumn("area", polygons.shoelace(F.col("shell"))).collect()
     assert [(r.a_id, r.b_id, r.area, r.fields) for r in got] == [(1, 7, 1.0, {"n": "a"})]
     assert vectors.union_area(a, b).first().area == pytest.approx(4 + 1 + 4 - 1)
+    union = vectors.union_layers(a, b).withColumn("area", F.abs(polygons.shoelace(F.col("shell")))).groupBy("a_id", "b_id").agg(F.round(F.sum("area"), 9).alias("area"))
+    assert {(r.a_id, r.b_id): r.area for r in union.collect()} == {(1, 7): 1.0, (1, None): 3.0, (None, 7): 3.0, (2, None): 1.0}
     grown = vectors.buffer_features(a.where("feature_id = 1"), 1.0, 64).withColumn("area", polygons.shoelace(F.col("shell"))).first()
     assert grown.area == pytest.approx(4 + 8 + np.pi, rel=1e-3)
     line = vectors.borders(a.where("feature_id = 1").withColumn("holes", F.lit(None).cast("array<array<struct<x:double,y:double>>>"))).first().line

@@ -38,6 +38,11 @@ def test_alternative_and_incremental(data):
     p = Pipeline(lambda run_id: data, [inc]).run(2)
     assert [r.v for r in p.data().orderBy("run_id", TIME).collect()] == [0, 2, 4, 1, 3, 5]
     assert "#INCA(s)" in p.dot() and "#SC(" not in p.dot()
+    assert p.nested_types() == "#INCA(#SC(s)#SC(t))"
+    made = []
+    count = Incremental([Stage("s", lambda d: made.append("s") or d), Stage("t", lambda d: made.append("t") or d)], cache=True)
+    Pipeline(lambda run_id: data, [count]).run(3)
+    assert made == ["s", "t"]  # a shared step is made once
     both = Pipeline(lambda run_id: data, [alt]).run(4)
     assert len(both.runs) == 4
     both.reset()

@@ -98,6 +98,64 @@ def intersect_layers(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame
     return out.where(F.size("shell") > 2)
 
 
+def without(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The convex pieces of a ring outside another: for each edge of b what lies beyond it and within the edges before."""
+    rest, clip, out = hull(a), hull(b), []
+    if len(intersect(a, b)) == 0:
+        return [rest]
+    reach = 4 * (np.abs(np.concatenate([rest, clip])).max() + 1)
+    for k in range(len(clip)):
+        p, q = clip[k], clip[(k + 1) % len(clip)]
+        along = (q - p) / np.hypot(*(q - p))
+        inward = np.array([-along[1], along[0]])
+        side = lambda way: np.array([p - reach * along, p + reach * along, p + reach * along + way * reach * inward, p - reach * along + way * reach * inward])  # noqa: E731, B023
+        beyond = intersect(rest, side(-1))
+        if len(beyond):
+            out.append(beyond)
+        rest = intersect(rest, side(1))
+        if not len(rest):
+            break
+    return out
+
+
+def _left_over(a: DataFrame, b: DataFrame, size: float, name: str) -> DataFrame:
+    """(a_id, fields, shell): pieces of a's features outside all of b's, features untouched by b as they are."""
+    from .joins import _gridded
+
+    left = _gridded(a.select("feature_id", "xmin", "ymin", "xmax", "ymax"), size, "a").select("feature_id", "_bx", "_by")
+    right = _gridded(b, size, "b").select("_bx", "_by", F.col("feature_id").alias("b_id"), F.col("shell").alias("b_shell"))
+    near = left.join(right, ["_bx", "_by"]).groupBy("feature_id", "b_id").agg(F.first("b_shell").alias("b_shell")).groupBy("feature_id").agg(F.collect_list("b_shell").alias("near"))
+    asked = a.select("feature_id", "fields", "shell").join(near, "feature_id", "left")
+
+    def run(batches):
+        for pdf in batches:
+            ids, fields, shells = [], [], []
+            for i, f, shell, others in zip(pdf["feature_id"], pdf["fields"], pdf["shell"], pdf["near"], strict=True):
+                pieces = [_points(shell)]
+                for other in others if others is not None else ():
+                    pieces = [piece for p in pieces for piece in without(p, _points(other)) if len(piece) > 2]
+                for piece in pieces:
+                    ids.append(i)
+                    fields.append(f)
+                    shells.append(_ring(piece))
+            yield pd.DataFrame({name: ids, "fields": fields, "shell": shells})
+
+    kind = {f.name: f.dataType.simpleString() for f in asked.schema}
+    return asked.mapInPandas(run, f"{name} {kind['feature_id']}, fields {kind['fields']}, shell {RING}")
+
+
+def union_layers(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
+    """(a_id, b_id, fields, shell): overlay of two layers as convex pieces: common parts, then what only one of them holds (the other's id is null).
+
+    Features of one layer do not overlap; fields are those of a, and of b where only b holds the piece.
+    """
+    both = intersect_layers(a, b, size)
+    only_a = _left_over(a, b, size, "a_id").withColumn("b_id", F.lit(None).cast(both.schema["b_id"].dataType))
+    only_b = _left_over(b, a, size, "b_id").withColumn("a_id", F.lit(None).cast(both.schema["a_id"].dataType))
+    columns = ["a_id", "b_id", "fields", "shell"]
+    return both.select(*columns).unionByName(only_a.select(*columns)).unionByName(only_b.select(*columns))
+
+
 def union_area(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
     """One row: the area of both layers together, each layer's own features not overlapping."""
     from ..functions.polygons import shoelace

@@ -12,6 +12,7 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,10 @@ class Stage:
     def structure(self) -> list[str]:
         return [self.description]
 
+    def nested(self) -> str:
+        """Kind and content, stage within stage."""
+        return f"#{self.kind}({self.description})"
+
 
 class Alternative(Stage):
     """One of several stages: the first until perturbed, then one at random, itself perturbed."""
@@ -137,18 +142,34 @@ class Alternative(Stage):
     def structure(self):
         return [o.description for o in self.options]
 
+    def nested(self):
+        return f"#{self.kind}({''.join(o.nested() for o in self.options)})"
+
 
 class Incremental(Stage):
-    """A growing chain: the first stage in the first run, one more after each perturbation."""
+    """A growing chain: the first stage in the first run, one more after each perturbation.
+
+    Runs over the same data share what their chains have in common; with ``cache`` Spark keeps
+    each shared step, on disk where memory is short.
+    """
 
     kind = "INCA"
 
-    def __init__(self, chain: list[Stage]):
-        self.chain, self.n = list(chain), 1
+    def __init__(self, chain: list[Stage], cache: bool = False):
+        self.chain, self.n, self.cache = list(chain), 1, cache
+        self._made: dict[tuple, tuple[Dataset, Dataset]] = {}
 
     def apply(self, data):
+        source, done = data, ()
         for s in self.chain[: self.n]:
-            data = s.apply(data)
+            done = (*done, s.metadata())
+            held = self._made.get((id(source), done))
+            if held is None or held[0] is not source:
+                data = s.apply(data)
+                if self.cache:
+                    data = data.with_df(data.df.persist(StorageLevel.MEMORY_AND_DISK))
+                self._made[id(source), done] = held = (source, data)
+            data = held[1]
         return data
 
     def perturb(self, rng):
@@ -156,6 +177,9 @@ class Incremental(Stage):
 
     def reset(self):
         self.n = 1
+        for _, data in self._made.values() if self.cache else ():
+            data.df.unpersist()
+        self._made.clear()
 
     def metadata(self):
         return " -> ".join(s.metadata() for s in self.chain[: self.n])
@@ -166,6 +190,9 @@ class Incremental(Stage):
     def structure(self):
         return [s.description for s in self.chain]
 
+    def nested(self):
+        return f"#{self.kind}({''.join(s.nested() for s in self.chain)})"
+
 
 @dataclass
 class Run:
@@ -256,6 +283,10 @@ class Pipeline:
     def metadata(self) -> list[str]:
         return [i.metadata() for i in self.items]
 
+    def nested_types(self) -> str:
+        """The stages as one string of nested kinds."""
+        return "".join(i.nested() for i in self.items)
+
     def dot(self, whole: bool = True) -> str:
         """Graph in DOT: every option (``whole``) or only what the next run executes."""
         lines, before = ["digraph pipeline {", "  source [shape=box];"], ["source"]
