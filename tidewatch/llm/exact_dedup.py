@@ -9,7 +9,9 @@ differ in spite of an equal digest are grouped again by their whole text.
 
 Defined results: null text is the empty text; null doc_ids count as largest; among rows
 with the same doc_id the one at the smallest locator stays; an empty table gives an empty
-result; further columns are ignored by :func:`deduplicate` and kept by :func:`keep_first`.
+result; very long texts are rows like any other.  Further columns stay as they are; where one
+has the name of a column that :func:`deduplicate` makes, the made one replaces it, while
+:func:`keep_first` returns all of the caller's columns.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch_path, small, stage, whole_text
+from .common import SPACE, delete, give_back, own_columns, scratch_path, small, stage, whole_text
 
 #: Session settings while the stream runs: state on disk, and closed once committed so that executors keep no copy.
 STREAM_CONF = {
@@ -40,20 +42,17 @@ def _files(docs: DataFrame) -> str | None:
     return roots.head().toString() if roots.size() == 1 else None
 
 
-def _rows(frame: DataFrame) -> DataFrame:
-    """Normalised text, digest and locator of each row."""
+def _rows(frame: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The caller's columns as one struct, normalised text, digest and locator of each row."""
     norm = F.regexp_replace(whole_text(), f"[{SPACE}]+", " ")
     meta = F.col("_metadata")
-    return frame.select(
-        "*",
-        F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias("locator"),
-        norm.alias("norm"),
-    ).withColumn("digest", F.coalesce(F.sha2(F.encode("norm", "UTF-8"), 256), F.lit("")))
+    locator = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+    rows = frame.select(own_columns(frame, keep), locator.alias("locator"), norm.alias("norm"))
+    return rows.withColumn("digest", F.coalesce(F.sha2(F.encode("norm", "UTF-8"), 256), F.lit("")))
 
 
-def keyed_state(spark: SparkSession, path: str, schema) -> DataFrame:
-    """(digest, first, n) of every digest, as the stream's state holds it at the end of the input."""
-    state = scratch_path(spark, "dedup-state")
+def keyed_state(spark: SparkSession, path: str, schema, state: str) -> DataFrame:
+    """(digest, first, n) of every digest, as the stream's state in the folder ``state`` holds it at the end of the input."""
     before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
     for k, v in STREAM_CONF.items():
         spark.conf.set(k, v)
@@ -77,23 +76,27 @@ def keyed_state(spark: SparkSession, path: str, schema) -> DataFrame:
     return value.select(F.col("key.digest"), F.col("value")[fields[0]].alias("first"), F.col("value")[fields[1]].alias("n"))
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with keep_id, group_size, kept and text_sha256 (dropped rows too)."""
+MADE = ("keep_id", "group_size", "kept", "text_sha256")
+
+
+def _judged(spark: SparkSession, docs: DataFrame, keep: list[str] | None, state: str | None = None) -> DataFrame:
+    """_own, keep_id, group_size, kept and digest of every row."""
     path = _files(docs)
-    if path is None:
+    if path is None:  # anything but the plain scan of a table is written once, so that a stream can read it
         docs = stage(docs, "dedup-input")
         path = _files(docs)
-    own = docs.columns
-    state = keyed_state(spark, path, docs.schema)
-    shared = stage(state.where("n > 1"), "dedup-shared")
-    rows = _rows(spark.read.schema(docs.schema).parquet(path))
+    folder = state or scratch_path(spark, "dedup-state")
+    shared = stage(keyed_state(spark, path, docs.schema, folder).where("n > 1"), "dedup-shared")
+    if state is None:
+        delete(spark, [folder])
+    rows = _rows(spark.read.schema(docs.schema).parquet(path), keep)
     tagged = rows.join(small(shared), "digest", "left")
-    out = [*own, "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")]
-    alone = tagged.where("n is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).select(*out)
+    out = ["_own", *MADE[:3], "digest"]
+    alone = tagged.where("n is null").withColumns({"keep_id": F.col("locator.id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).select(*out)
     at = shared.select("digest", F.col("first.file").alias("at_file"), F.col("first.row").alias("at_row"))
     bytes_kept = rows.join(small(at), (F.col("locator.file") == F.col("at_file")) & (F.col("locator.row") == F.col("at_row"))).select(at["digest"], F.col("norm").alias("first_norm"))
     hits = tagged.where("n is not null").join(bytes_kept, "digest").withColumn("same", F.col("norm") == F.col("first_norm"))
-    checked = stage(hits.select(*own, "digest", "locator", "first", "n", "same", F.when(~F.col("same"), F.col("norm")).alias("norm")), "dedup-hits")
+    checked = stage(hits.select("_own", "digest", "locator", "first", "n", "same", F.when(~F.col("same"), F.col("norm")).alias("norm")), "dedup-hits")
     odd = checked.where(~F.col("same"))
     odd_counts = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("n_odd"))
     equal = (
@@ -110,7 +113,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return alone.unionByName(equal).unionByName(other)
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, state: str | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those named in ``keep``) with keep_id, group_size, kept and text_sha256 (dropped rows too).
+
+    ``state``: a folder for the keyed state; a later call over the same source with more files goes on from it.
+    """
+    judged = _judged(spark, docs, keep, state)
+    return judged.select(*give_back(docs, keep, MADE), *MADE[:3], F.col("digest").alias("text_sha256"))
+
+
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
-    own = docs.columns
-    return deduplicate(spark, docs.select(*own)).where("kept").select(*own)
+    return _judged(spark, docs, None).where("kept").select(*give_back(docs))

@@ -12,19 +12,19 @@ from .common import documents
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import COUNTS, judge
 
-    return judge(documents(spark, sf_dir)).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import deduplicate
 
-    return deduplicate(spark, documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return deduplicate(spark, documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "shards", "local_order")
+    return mix(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "shards", "local_order")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
