@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, whole_text
+from .common import SPACE, drop_stage, give_back, own_columns, small, stage, whole_text
 
 WEIGHTS = (3, 1, 2)
 BUDGET, MOST = 1.5, 2.0
@@ -81,13 +81,17 @@ def _partial(cells: DataFrame, keys: list[str], order: list[Column], need: str)
     return cells.withColumn("gives", F.greatest(F.lit(0).cast("long"), F.least("cell_words", room)))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target, taken, shards (one for each draw of the row) and local_order."""
-    spark, own = docs.sparkSession, docs.columns
+MADE = ("size", "source_size", "target", "taken", "shards", "local_order")
+
+
+def _mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The caller's columns as ``_own`` with the made ones."""
+    spark = docs.sparkSession
     where = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(F.encode(whole_text(), "UTF-8")))
-    keyed = docs.withColumns({"size": n_words(whole_text()), "_h": where}).withColumns({"_block": F.pmod("_h", F.lit(blocks)).cast("int"), "_sub": F.pmod(F.shiftright("_h", 20), F.lit(blocks)).cast("int")})
+    keyed = docs.select(own_columns(docs, keep), "source", n_words(whole_text()).alias("size"), where.alias("_h"))
+    keyed = keyed.withColumns({"_block": F.pmod("_h", F.lit(blocks)).cast("int"), "_sub": F.pmod(F.shiftright("_h", 20), F.lit(blocks)).cast("int")})
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("_source")
-    keyed = keyed.withColumn("_source", key)
+    keyed = keyed.withColumn("_source", key).drop("source")
     cells = stage(keyed.groupBy("_source", "_block", "_sub").agg(F.sum("size").alias("cell_words")), "mix-cells")
     # One row for each source reaches the driver.
     found = sorted(((r[0].none, r[0].name.encode(), r[0].name, int(r.words)) for r in cells.groupBy("_source").agg(F.sum("cell_words").alias("words")).collect()))
@@ -117,25 +121,31 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most:
     dealt = draws.join(ends, "_source").withColumn("_shard", F.size(F.filter("ends", lambda e: e < F.col("_rank"))))
     by_draw = dealt.groupBy("_source", "_block").agg(F.array_sort(F.collect_list(F.struct("_pass", "_shard"))).alias("_draws"))
     facts = stage(given.select("_source", "_block", "source_size", "target", "passes", "gives", "block_words").join(inner, ["_source", "_block"], "left").join(by_draw, ["_source", "_block"], "left"), "mix-facts")
-    out = keyed.join(facts, ["_source", "_block"])
+    drop_stage(cells, sources, draws)
+    # At most a row for each block of each source, whatever the corpus: the texts stay where they are while that is few.
+    out = keyed.join(small(facts), ["_source", "_block"])
     sub = F.element_at("subs", F.col("_sub"))
     share = F.floor(F.col("size") * sub["gives"] / sub["cell_words"]).cast("long")
     last = F.when(F.col("gives") == 0, 0).when(F.col("gives") == F.col("block_words"), F.col("size")).when(sub["gives"] == sub["cell_words"], F.col("size")).otherwise(F.coalesce(share, F.lit(0)))
     out = out.withColumn("taken", (F.col("passes") * F.col("size") + last).cast("long"))
     whole = F.ceil(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int")
     shards_of = F.slice(F.transform(F.coalesce("_draws", F.array().cast("array<struct<_pass:int,_shard:int>>")), lambda d: d["_shard"]), F.lit(1), whole)
-    return out.withColumns({"shards": shards_of, "local_order": F.xxhash64(F.lit(seed + 4), "_h")}).select(*own, "size", "source_size", "target", "taken", "shards", "local_order")
+    return out.withColumns({"shards": shards_of, "local_order": F.xxhash64(F.lit(seed + 4), "_h")}).select("_own", *MADE)
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
+    """``docs`` (or its columns named in ``keep``) with size, source_size, target, taken, shards (one for each draw of the row) and local_order."""
+    return _mix(docs, keep, **options).select(*give_back(docs, keep, MADE), *MADE)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken; one taken in part is cut to its first words.  The takes lie shard by shard in local order."""
-    own = docs.columns
-    df = mix(docs, **options).where("taken > 0").withColumn("_take", F.explode(F.expr("sequence(1, int(ceil(taken / size)))")))
-    rest = F.col("taken") - (F.col("_take") - 1) * F.col("size")
-    words = F.array_remove(F.split(F.regexp_replace("text", f"[{SPACE}]+", " "), " "), "")
-    text = F.when(rest >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
-    df = df.withColumn("text", text)
-    if "n_chars" in own:
-        df = df.withColumn("n_chars", F.when(rest >= F.col("size"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    df = df.withColumn("_shard", F.get("shards", F.col("_take") - 1)).repartition("_shard").sortWithinPartitions("_shard", "local_order")
-    return df.select(*own)
+    takes = _mix(docs, **options).where("taken > 0").withColumn("_take", F.explode(F.expr("sequence(1, int(ceil(taken / size)))")))
+    takes = takes.withColumns({"_shard": F.get("shards", F.col("_take") - 1), "rest": F.col("taken") - (F.col("_take") - 1) * F.col("size")})
+    dealt = takes.select("_own", "size", "rest", "_shard", "local_order").repartition("_shard").sortWithinPartitions("_shard", "local_order")
+    own = F.col("_own")
+    words = F.array_remove(F.split(F.regexp_replace(own["text"], f"[{SPACE}]+", " "), " "), "")
+    whole = F.col("rest") >= F.col("size")
+    dealt = dealt.withColumn("cut_text", F.when(whole, own["text"]).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")))
+    made = {"text": F.col("cut_text"), "n_chars": F.when(whole, own["n_chars"]).otherwise(F.length("cut_text").cast("long")) if "n_chars" in docs.columns else None}
+    return dealt.select(*[(made[c] if c in made else own[c]).alias(c) for c in docs.columns])
