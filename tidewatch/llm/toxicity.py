@@ -1,21 +1,29 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their prefixes of four letters (``prefix*``).  The
-vocabulary is chosen from the labelled examples: the terms that speak most for label 1, and
-the most frequent ones.  Document frequencies of its terms are counted over all documents.
-Examples are laid out in blocks; each block keeps, for every term, the largest weight in
-it.  A query's bound for a block is the sum of its weights times these maxima; blocks that
-can't hold one of its nearest are skipped, so the nearest examples are exact.  Their votes
-are weighted by distance and by how much rarer their label is in the labels than among the
-examples; a small prior keeps scores off 0 and 1.  Evidence: the ids and similarities.
-
-Bounded by parameters: ``max_examples`` labelled rows of each label are used (chosen by a
-hash of the id), ``vocabulary`` terms.  Labels are read only where crc32(doc_id) mod 4 is
-not 2; label, language, source and id are never inputs of a score.
+Terms are lower-cased words and their prefixes of four letters (``prefix*``); every term of
+every labelled example is in the vocabulary.  A term weighs ``(1 + log n) idf g``: ``idf``
+counts documents over the whole corpus, and ``g`` is 1 plus how far (in standard deviations
+beyond two, times the log odds) the labelled examples show it to go with one label.  Terms
+that no example holds match nothing and only scale a text, so they are left out.
+
+Examples are laid out in blocks; each term's posting list has the examples' weights and the
+largest weight in each block.  The lists of terms that most blocks hold are kept as rows of
+a matrix.  A query's bound for a block is what the matrix gives at most there plus the sum
+of its other terms' largest weights; only blocks whose bound reaches the k-th best so far
+are scored, so the nearest examples are exact.  Their votes are weighted by distance and by
+how much rarer their label is in the labels than among the examples; a small prior keeps
+scores off 0 and 1.  Evidence: the ids and similarities.
+
+Bounded by a parameter: ``max_examples`` labelled rows of each label are used (chosen by a
+hash of the id).  Labels are read only where crc32(doc_id) mod 4 is not 2; label, language,
+source and id are never inputs of a score, ties included: equally near examples go by a
+hash of their text, equal texts by id.
 
 Defined results: null text counts as empty; a text without any term of the vocabulary gets
-the labels' base rate; null labels are ignored, of several labels of an id the largest
-counts; without labels every score is 0; repeated rows get equal scores.
+the labels' base rate; texts are read whole, however long; null labels are ignored, of
+several labels of an id the largest counts, of several texts of an id the smallest; without
+labels every score is 0; repeated rows get equal scores; rows with a null doc_id are scored
+and are not held out; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_arrow, small, stage
+from .common import binary_arrow, drop_stage, small, stage
 
 FOLDS, HELD_OUT = 4, 2
-MAX_EXAMPLES, VOCABULARY = 1500, 512
+MAX_EXAMPLES = 1500
 NEAREST, BLOCK = 15, 64
+#: Terms that so many examples hold are rows of the matrix.
+HEAVY = 48
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+").findall
 MEMO_WORDS = 300_000
@@ -55,11 +65,11 @@ def _term_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], names=["term", "label"])
 
 
-def _vectors(vocabulary: list[str]):
-    """Kernel: term numbers and counts of each text; the other columns pass through."""
-    index = {t: k for k, t in enumerate(vocabulary)}
+def _vectors(vocabulary):
+    """Kernel: term numbers and counts of each text; the other columns pass through.  ``vocabulary``: a broadcast list of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {t: k for k, t in enumerate(vocabulary.value)}
         memo: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             numbers, counts = [], []
@@ -81,49 +91,109 @@ def _vectors(vocabulary: list[str]):
     return run
 
 
-def weigh(terms: list, counts: list, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows (a row of zeros where no term is known)."""
-    out = np.zeros((len(terms), len(idf)), dtype=np.float32)
-    lengths = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
-    if lengths.sum():
-        rows, cols = np.repeat(np.arange(len(terms)), lengths), np.concatenate([np.asarray(t, dtype=np.int64) for t in terms if len(t)])
-        out[rows, cols] = (1 + np.log(np.concatenate([np.asarray(c, dtype=float) for c in counts if len(c)]))) * idf[cols]
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=out, where=norm > 0)
+class Sparse:
+    """Rows of (term, weight) one after the other; row k lies at ends[k] to ends[k + 1]."""
+
+    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ends, self.terms, self.weights = ends, terms, weights
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def rows(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
+
+    def take(self, order: np.ndarray) -> Sparse:
+        at = _ranges(self.ends[:-1][order], np.diff(self.ends)[order])
+        return Sparse(np.concatenate([[0], np.cumsum(np.diff(self.ends)[order])]), self.terms[at], self.weights[at])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[k], ..., starts[k] + sizes[k] - 1 for every k."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else starts, sizes) + np.arange(int(sizes.sum()))
+
+
+def weigh(sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, term_weight: np.ndarray) -> Sparse:
+    """Unit TF-IDF rows (an empty row where no term is known)."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    w = (1 + np.log(counts)) * term_weight[terms]
+    square = np.concatenate([[0.0], np.cumsum(w * w)])
+    norm = np.sqrt(np.maximum(square[ends[1:]] - square[ends[:-1]], 1e-30))
+    return Sparse(ends, terms, (w / np.repeat(norm, sizes)).astype(np.float32))
 
 
 class BlockMaxIndex:
-    """Labelled unit vectors in blocks, with the largest weight of each term in each block."""
+    """Labelled unit vectors as posting lists over blocks of examples, with the largest weight of each term in each block."""
+
+    def __init__(self, vectors: Sparse, n_terms: int, labels: np.ndarray, ids: np.ndarray, tie: np.ndarray, block: int = BLOCK, heavy: int = HEAVY):
+        # Alike examples share a block: ordered by their heaviest term, then by what settles ties.
+        n = len(vectors)
+        heaviest = np.full(n, -1)
+        by_weight = np.lexsort((vectors.terms, vectors.weights, vectors.rows()))
+        heaviest[vectors.rows()[by_weight]] = vectors.terms[by_weight]
+        order = np.lexsort((ids, tie, heaviest))
+        held = vectors.take(order)
+        self.labels, self.ids, self.block = labels[order], ids[order], block
+        self.n_blocks = -(-n // block)
+        row, frequency = held.rows(), np.bincount(held.terms, minlength=n_terms)
+        dense = frequency >= heavy
+        self.column = np.where(dense, np.cumsum(dense) - 1, -1)  # of the matrix
+        self.matrix = np.zeros((int(dense.sum()), self.n_blocks * block), dtype=np.float32)
+        at = dense[held.terms]
+        self.matrix[self.column[held.terms[at]], row[at]] = held.weights[at]
+        term, example, weight = held.terms[~at], row[~at], held.weights[~at]
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        self.ends = np.searchsorted(term, np.arange(n_terms + 1))
+        key = term.astype(np.int64) * max(1, self.n_blocks) + self.example // block
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.most_block = (self.example // block)[first]
+        self.most_ends = np.searchsorted(term[first], np.arange(n_terms + 1))
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray, block: int = BLOCK):
-        # Alike examples share a block: ordered by label, then by their heaviest term.
-        order = np.lexsort((ids, vectors.argmax(axis=1) if len(vectors) else ids, labels))
-        self.vectors, self.labels, self.ids = vectors[order], labels[order], ids[order]
-        self.starts = list(range(0, len(order), block))
-        self.blocks = [slice(s, s + block) for s in self.starts]
-        self.maxima = np.stack([self.vectors[b].max(axis=0) for b in self.blocks], axis=1) if len(order) else np.zeros((vectors.shape[1], 0), dtype=np.float32)
+    def _postings(self, queries: Sparse, row: np.ndarray, ends: np.ndarray, where: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, product) of the posting lists of the queries' other terms."""
+        light = self.column[queries.terms] < 0
+        terms, own = queries.terms[light], queries.weights[light]
+        sizes = ends[terms + 1] - ends[terms]
+        at = _ranges(ends[terms], sizes)
+        return np.repeat(row[light], sizes), where[at].astype(np.int64), np.repeat(own, sizes) * weight[at]
 
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, queries: Sparse, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k nearest of each query, nearest first, exact; ties go to the smaller place."""
-        n, k = len(queries), min(k, len(self.ids))
-        best = np.full((n, k), -1.0, dtype=np.float32)
-        place = np.full((n, k), np.iinfo(np.int64).max)
-        bound = queries @ self.maxima + 1e-5
-        for step in range(len(self.blocks)):
-            # Every query goes on with its most promising block until no block can improve its k-th.
-            choice = bound.argmax(axis=1)
-            live = bound[np.arange(n), choice] >= best[:, -1]
-            if not live.any():
-                break
-            for b in np.unique(choice[live]):
-                rows = np.flatnonzero(live & (choice == b))
-                scores = queries[rows] @ self.vectors[self.blocks[b]].T
-                merged = np.concatenate([best[rows], scores], axis=1)
-                at = np.concatenate([place[rows], np.broadcast_to(np.arange(self.starts[b], self.starts[b] + scores.shape[1]), scores.shape)], axis=1)
-                top = np.lexsort((at, -merged), axis=1)[:, :k]
-                best[rows], place[rows] = np.take_along_axis(merged, top, 1), np.take_along_axis(at, top, 1)
-                bound[rows, b] = -2.0
-        return place, best
+        n, width, k = len(queries), self.n_blocks * self.block, min(k, len(self.ids))
+        if not k or not n:
+            return np.zeros((n, k), dtype=np.int64), np.zeros((n, k), dtype=np.float32)
+        row = queries.rows()
+        heavy = self.column[queries.terms] >= 0
+        asked = np.zeros((n, len(self.matrix)), dtype=np.float32)
+        asked[row[heavy], self.column[queries.terms[heavy]]] = queries.weights[heavy]
+        scores = asked @ self.matrix
+        q, b, product = self._postings(queries, row, self.most_ends, self.most_block, self.most)
+        bound = scores.reshape(n, self.n_blocks, self.block).max(axis=2) + np.bincount(q * self.n_blocks + b, product, n * self.n_blocks).reshape(n, self.n_blocks) + 1e-5
+        q, e, product = self._postings(queries, row, self.ends, self.example, self.weight)
+
+        def scored(blocks: np.ndarray) -> np.ndarray:
+            """Whole scores in the marked blocks, -1 elsewhere."""
+            inside = blocks[q, e // self.block]
+            out = scores + np.bincount(q[inside] * width + e[inside], product[inside], n * width).reshape(n, width).astype(np.float32)
+            out = np.where(np.repeat(blocks, self.block, axis=1), out, np.float32(-1))
+            out[:, len(self.ids) :] = -1
+            return out
+
+        # The most promising blocks give a k-th best; only blocks that can reach it are scored.
+        few = min(self.n_blocks, max(2, -(-2 * k // self.block)))
+        start = np.zeros((n, self.n_blocks), dtype=bool)
+        np.put_along_axis(start, np.argpartition(-bound, few - 1, axis=1)[:, :few], True, axis=1)
+        kth = np.partition(scored(start), width - k, axis=1)[:, width - k]
+        whole = scored(bound >= kth[:, None])
+        # Order-preserving keys: the similarity's bits, then the smaller place.
+        bits = np.maximum(whole, np.float32(0)).view(np.int32).astype(np.int64)
+        key = np.where(whole < 0, np.int64(-1), (bits << 32) | (np.int64(1 << 31) - np.arange(width)))
+        top = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
+        return top, np.take_along_axis(whole, top, 1)
 
 
 def votes(similarity: np.ndarray, labels: np.ndarray, ratio: float, base_rate: float) -> np.ndarray:
@@ -133,16 +203,21 @@ def votes(similarity: np.ndarray, labels: np.ndarray, ratio: float, base_rate: f
     return (ones + 0.1 * base_rate) / (ones + zeros + 0.1)
 
 
-def _scored(index, idf: np.ndarray, base_rate: float, ratio: float):
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _scored(index, base_rate: float, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = index.value
+        held, term_weight = index.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                queries = weigh(part.column("terms").to_pylist(), part.column("counts").to_pylist(), idf)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sizes = part.column("terms").value_lengths().to_numpy(zero_copy_only=False)
+                queries = weigh(sizes, _flat(part, "terms"), _flat(part, "counts"), term_weight)
                 place, similarity = held.nearest(queries, NEAREST)
-                known = queries.any(axis=1)
-                score = np.full(len(queries), base_rate)
+                known = sizes > 0
+                score = np.full(len(sizes), base_rate)
                 if place.shape[1] and known.any():
                     score[known] = votes(similarity[known], held.labels[place[known]], ratio, base_rate)
                 near = [held.ids[p].tolist() if k else [] for p, k in zip(place, known, strict=True)]
@@ -152,7 +227,17 @@ def _scored(index, idf: np.ndarray, base_rate: float, ratio: float):
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, vocabulary: int = VOCABULARY) -> DataFrame:
+def label_weights(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Weight of terms that ``a`` of n1 examples of label 1 and ``b`` of n0 of label 0 hold: 1 where they tell nothing."""
+    if not n1 or not n0:
+        return np.ones(len(a))
+    expected, share = (a + b) * n1 / (n1 + n0), n1 / (n1 + n0)
+    z = (a - expected) / np.sqrt(expected * (1 - share))
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    return 1 + np.maximum(0, np.abs(z) - 2) * np.abs(odds)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours and similarities of every row of ``docs``."""
     spark = docs.sparkSession
     learn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -165,21 +250,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     n_example = {r.label: r.n for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n_example.get(1, 0), n_example.get(0, 0)
     counted = texts.select("text", "label").mapInArrow(_term_sets, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    counted = stage(counted.where(F.col("a") + F.col("b") >= 5 if n1 + n0 >= 200 else F.lit(True)), "toxic-terms")
-    speaks = F.col("a") * F.log((F.col("a") + 0.5) / (n1 + 1.0) / ((F.col("b") + 0.5) / (n0 + 1.0)))
-    top = [r.term for r in counted.orderBy(F.desc(speaks), "term").limit(vocabulary // 2).collect()]
-    common = [r.term for r in counted.orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(vocabulary).collect()]
-    words = list(dict.fromkeys([*top, *common]))[:vocabulary]
+    found = counted.orderBy("term").toArrow()  # the terms of at most max_examples texts of each label
+    words = spark.sparkContext.broadcast(found.column("term").to_pylist())
     vectors = stage(binary_arrow(docs, "doc_id", "text").mapInArrow(_vectors(words), "doc_id long, terms array<int>, counts array<int>"), "toxic-vectors")
-    df = np.zeros(len(words))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # a number for each term
-        df[r.t] = r.n
+    df = np.zeros(len(found))
+    seen = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a number for each term
+    df[seen.column("t").to_numpy()] = seen.column("n").to_numpy()
     idf = np.log((1 + vectors.count()) / (1 + df)) + 0.01
-    rows = texts.select("doc_id", "label", "text").mapInArrow(_vectors(words), "doc_id long, label int, terms array<int>, counts array<int>").collect()  # at most max_examples of each label
-    index = BlockMaxIndex(weigh([r.terms for r in rows], [r.counts for r in rows], idf), np.array([r.label for r in rows], dtype=np.int64), np.array([r.doc_id for r in rows], dtype=np.int64))
+    term_weight = idf * label_weights(found.column("a").to_numpy().astype(float), found.column("b").to_numpy().astype(float), n1, n0)
+    own = texts.select("doc_id", "label", F.xxhash64("text").alias("tie"), "text").mapInArrow(_vectors(words), "doc_id long, label int, tie long, terms array<int>, counts array<int>").toArrow().combine_chunks()
+    batch = own.to_batches()[0] if own.num_rows else pa.record_batch([pa.array([], f.type) for f in own.schema], schema=own.schema)
+    unit = weigh(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False), _flat(batch, "terms"), _flat(batch, "counts"), term_weight)
+    index = BlockMaxIndex(unit, len(found), *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "doc_id", "tie")))
+    drop_stage(learn, texts)
     total = sum(base.values())
     rate = base.get(1, 0) / total if total else 0.0
     ratio = (base.get(1, 0) / n1) / (base.get(0, 0) / n0) if n1 and n0 else 1.0
-    scored = vectors.mapInArrow(_scored(spark.sparkContext.broadcast(index), idf, rate, ratio), "doc_id long, score double, neighbours array<long>, similarities array<double>")
+    scored = vectors.mapInArrow(_scored(spark.sparkContext.broadcast((index, term_weight)), rate, ratio), "doc_id long, score double, neighbours array<long>, similarities array<double>")
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours", "similarities")
