@@ -1,20 +1,24 @@
 """Secret scan: candidate strings judged by a random forest.
 
-Candidates lie in white-space words of at least ``MIN_LENGTH`` characters that hold a digit
-and a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_=.-]``.  Every token run of
-8 characters or more in such a word is one if it holds a digit or ends the word; a word
-without such a run is one as a whole.  The text since the candidate before it in the word is
-its context, and the words before count for the first one alone.  Its features are
-its length, its character classes and the transitions between them, the share that common
-letter groups cover, signs of paths, addresses and numbers, and the words beside it.  The
-forest is trained here from labelled findings: seeded examples of secrets (access keys,
-prefixed tokens, hexadecimal and base-64 values behind key words) and of the usual false
-positives (UUIDs, commit and file hashes, paths, addresses, mail, telephone and card
-numbers, identifiers, versions).  Everything runs as SQL expressions and JVM ML.
-
-Defined results: null or empty text has no candidates; every candidate gives a row, with
-its word number and its place in the word, so repeated candidates and repeated rows are rows of their own; an empty
-table gives no rows; the candidate itself is returned as a SHA-256 and a masked form.
+Candidates lie in white-space words that hold a run of at least ``MIN_LENGTH`` characters of
+``[A-Za-z0-9+/_=.-]`` and either a digit, or an assignment (``name=value``, ``name: value``),
+or follow a word that names a secret.  Every token run of 8 characters or more in such a word
+is one if it holds a digit or ends the word; a word without such a run is one as a whole.
+The text since the candidate before it in the word is its context, and the words before count
+for the first one alone.  Its features are its length, its character classes and the
+transitions between them, the share of it that dictionary words cover (pieces between
+non-letters and capitals that are whole words of a public vocabulary), signs of paths,
+addresses and numbers, and the words beside it.  The forest is trained here from labelled
+findings: seeded examples of secrets (access keys, prefixed tokens, hexadecimal and base-64
+values and passwords behind key words) and of the usual false positives (UUIDs, commit and
+file hashes, paths, addresses, mail, telephone and card numbers, dates, identifiers, settings,
+versions).  Everything runs as SQL expressions and JVM ML.
+
+Defined results: null or empty text has no candidates; texts are read whole, however long;
+every candidate gives a row, with its word number and its place in the word, so repeated
+candidates, ties and repeated rows are rows of their own; a null doc_id stays null; an empty
+table gives no rows; other columns are ignored; the candidate itself is returned as a SHA-256
+and a masked form.
 """
 
 from __future__ import annotations
@@ -27,13 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, whole_text
 
-MIN_LENGTH = 14
-TREES, DEPTH, EXAMPLES, SEED = 30, 7, 4000, 11
-#: Words beside secrets, words beside other long strings, and common letter groups.
+MIN_LENGTH = 8
+TREES, DEPTH, EXAMPLES, SEED = 30, 8, 6000, 11
+#: Public vocabulary whose whole words of three letters or more are the dictionary.
+VOCABULARY = "byte_bpe_50k"
+#: Words beside secrets, and words beside other long strings.
 SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private"]
 OTHER_WORDS = ["commit", "sha", "md5", "uuid", "guid", "isbn", "checksum", "digest", "revision", "version", "id", "call", "tel", "phone", "card", "mail", "visit", "see", "at", "file"]
-LETTER_GROUPS = ["the", "ing", "ion", "tion", "ent", "and", "er", "re", "on", "in", "an", "th", "he", "en", "ed", "es", "st", "le", "com", "example", "user", "data", "file", "name", "test", "main", "src", "index"]
-FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "longest_letters", "hex_only", "covered", "slashes", "dots", "at_sign", "dashes", "uuid", "assigned", "secret_near", "other_near", "quoted", "prefix_token"]
+FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "longest_letters", "hex_only", "dictionary", "slashes", "dots", "at_sign", "dashes", "uuid", "assigned", "secret_near", "other_near", "quoted", "prefix_token"]
 #: Token runs that are candidates: those with a digit, and the one that ends the word.
 _TOKEN = "[A-Za-z0-9+/_.@-]"
 RUNS = f"(?<!{_TOKEN})((?=[A-Za-z+/_.@-]*[0-9]){_TOKEN}{{8,}}={{0,2}}|{_TOKEN}{{8,}}={{0,2}}(?=[^A-Za-z0-9]*$))"
@@ -52,7 +57,34 @@ def _core() -> Column:
     return F.regexp_extract("word", r"([A-Za-z0-9+/_.@-]{8,}={0,2})[^A-Za-z0-9]*$", 1)
 
 
-def features(found: DataFrame) -> DataFrame:
+def dictionary_words(vocabulary: str = VOCABULARY) -> list[str]:
+    """Whole words of the vocabulary, by their first two letters: 26 by 26 strings of words framed by spaces."""
+    import base64
+
+    import public_tokenizers
+
+    starts: dict[tuple[str, str], set[str]] = {}
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:  # a list of fixed length
+        for line in lines:
+            piece = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+            word = piece[1:].lower()
+            if piece[:1] == " " and len(word) > 2 and word.isascii() and word.isalpha():
+                starts.setdefault((word[0], word[1]), set()).add(word)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return [" " + " ".join(sorted(starts.get((a, b), ()))) + " " for a in letters for b in letters]
+
+
+def _dictionary_share(words: list[str]) -> Column:
+    """Letters of the core in pieces that are dictionary words, over its length."""
+    apart = F.regexp_replace("core", "([a-z])([A-Z])", "$1 $2")
+    pieces = F.filter(F.split(F.lower(apart), "[^a-z]+"), lambda w: F.length(w) > 2)
+    table = F.array(*map(F.lit, words))
+    place = lambda w: (F.ascii(w) - 97) * 26 + F.ascii(F.substring(w, 2, 1)) - 97
+    known = F.filter(pieces, lambda w: F.contains(F.get(table, place(w)), F.concat(F.lit(" "), w, F.lit(" "))))
+    return F.aggregate(known, F.lit(0), lambda n, w: n + F.length(w)) / F.greatest(F.length("core"), F.lit(1))
+
+
+def features(found: DataFrame, words: list[str] | None = None) -> DataFrame:
     """Feature columns from word, before2, before1 and after1 (all strings)."""
     n = lambda pattern, c="core": (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))).cast("double")
     near = F.lower(F.concat_ws(" ", "before2", "before1", F.regexp_extract("word", r"^(.*?)[=:]", 1)))
@@ -71,7 +103,7 @@ def features(found: DataFrame) -> DataFrame:
             "transitions": F.length(shape) / length,
             "longest_letters": longest.cast("double"),
             "hex_only": F.col("core").rlike("^[0-9a-f]+$").cast("double"),
-            "covered": n("(?i)(" + "|".join(sorted(LETTER_GROUPS, key=len, reverse=True)) + ")") / length,
+            "dictionary": _dictionary_share(words or dictionary_words()),
             "slashes": n("[^/\\\\]", "word") * -1 + F.length("word"),
             "dots": n("[^.]", "word") * -1 + F.length("word"),
             "at_sign": F.col("word").contains("@").cast("double"),
@@ -90,8 +122,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, word_index, part (place in the word), word (the part itself) and the words around it, one row for each candidate of each whole text."""
     words = F.array_remove(F.split(F.regexp_replace(whole_text(), f"[{SPACE}]+", " "), " "), "")
     df = docs.select("doc_id", F.transform(words, lambda w: w).alias("words"))
-    fits = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike("[0-9]") & w.rlike("[A-Za-z0-9+/_=.-]{%d,}" % MIN_LENGTH)
-    numbered = F.filter(F.transform("words", lambda w, i: F.when(fits(w), i)), lambda i: i.isNotNull())
+    named = "(?i)(" + "|".join(SECRET_WORDS) + ")[\"')]*[=:]*$"
+    before = lambda i: F.coalesce(F.when(i > 0, F.get("words", i - 1)), F.lit(""))
+    told = lambda w, i: w.rlike("[0-9]") | w.rlike("[A-Za-z_-]{3,}[\"']?[=:][\"']?[A-Za-z0-9+/_.-]") | before(i).rlike(named) | before(i).rlike("^[=:]+$")
+    fits = lambda w, i: (F.length(w) >= MIN_LENGTH) & w.rlike("[A-Za-z0-9+/_=.-]{%d,}" % MIN_LENGTH) & told(w, i)
+    numbered = F.filter(F.transform("words", lambda w, i: F.when(fits(w, i), i)), lambda i: i.isNotNull())
     df = df.withColumn("at", numbered)
     picked = F.transform("at", lambda i: F.struct(i.alias("i"), F.get("words", i).alias("word"), *[F.coalesce(F.when(i + k >= 0, F.get("words", i + k)), F.lit("")).alias(name) for k, name in ((-2, "before2"), (-1, "before1"), (1, "after1"))]))
     each = df.select("doc_id", F.explode(picked).alias("c")).select("doc_id", F.col("c.i").cast("long").alias("word_index"), "c.*")
@@ -110,6 +145,7 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED)
     word = F.element_at(F.array(*[F.lit(w) for w in ("the", "rather", "on", "une", "und", "con", "station", "measure")]), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8)) + 1).cast("int"))
     pick = lambda words, s: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(s)), F.lit(len(words))) + 1).cast("int"))
     key = pick(SECRET_WORDS[:8], 2)
+    long_word = pick(["production", "temperature", "observation", "development", "information", "environment", "application", "international", "measurements", "elizabeth"], 6)
     uuid = F.concat_ws("-", F.substring(hexa, 1, 8), F.substring(hexa, 9, 4), F.substring(hexa, 13, 4), F.substring(hexa, 17, 4), F.substring(hexa, 21, 12))
     octet = lambda k: F.conv(F.substring(hexa, k, 2), 16, 10)
     kinds = [  # (label, before2, before1, word)
@@ -128,6 +164,12 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED)
         (0, word, word, F.concat(F.lit("/usr/share/"), word, F.lit("/"), F.substring(digits, 1, 4), F.lit("/"), word, F.lit(".txt"))),
         (0, word, word, F.concat(word, word, F.substring(digits, 1, 2))),
         (0, word, word, F.concat(F.lit("version="), octet(1), F.lit("."), octet(3), F.lit("."), F.substring(digits, 1, 8))),
+        (1, word, word, F.concat(key, F.lit("="), cut(F.regexp_replace(mixed, "[^A-Za-z]", ""), 9, 10))),
+        (1, key, F.lit(":"), F.concat(F.initcap(long_word), F.substring(digits, 1, 3), F.lit("!"), cut(F.regexp_replace(mixed, "[^A-Za-z]", ""), 3, 4))),
+        (0, word, word, F.concat(pick(["mode=", "name=", "title=", "label:", "type="], 5), long_word)),
+        (0, word, F.lit("="), long_word),
+        (0, word, word, F.concat(F.lit("20"), F.substring(digits, 1, 2), F.lit("-0"), F.substring(digits, 3, 1), F.lit("-1"), F.substring(digits, 4, 1))),
+        (0, word, word, F.concat(long_word, F.lit("-"), long_word, F.substring(digits, 1, 1))),
         (0, F.lit("tel"), word, F.concat(F.lit("+1-"), F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 3), F.lit("-"), F.substring(digits, 7, 4))),
     ]
     rows = F.element_at(F.array(*[F.struct(F.lit(y).alias("label"), b2.alias("before2"), b1.alias("before1"), w.alias("word")) for y, b2, b1, w in kinds]), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int"))
