@@ -13,8 +13,10 @@ The plan is made of runs (length, first rank, end rank, sequence, offset) on the
 bounded by the number of bins and combinations; a rest's rank among those of its length
 comes from its table partition, so a hot length is dealt like any other.
 
-Defined results: null or empty text is a document of one id, the end id; repeated rows are
-documents of their own; an empty table gives no pieces; other columns are ignored.
+Defined results: null or empty text is a document of one id, the end id; repeated rows, rows
+that share a doc_id and rows without one are documents of their own, each with all its ids;
+a very long text fills windows of its own and leaves one rest; ties between equally long
+rests go by table partition and row; an empty table gives no pieces; other columns are ignored.
 The vocabulary's text form of a special token is encoded as the tokenizer file says.
 """
 

@@ -11,8 +11,11 @@ runs (arc, first rank, shard, first slot); a row's rank in its arc comes from it
 partition, so a hot key is dealt like any other rows.
 
 Defined results: null text has no bytes (size 1, CRC of nothing); null doc_ids share one
-ring point; repeated rows are rows of their own; an empty table gives no rows; equal counts
-are met for any number of rows, fewer than shards included.
+ring point; repeated rows, ties and groups of equal texts are rows like any other, so a group
+is spread over the shards and balance holds whatever its size; a very long text is one row;
+an empty table gives no rows; equal counts are met for any number of rows, fewer than shards
+included; other columns are ignored.  Which rows of a full arc move on follows their place in
+the table.
 """
 
 from __future__ import annotations

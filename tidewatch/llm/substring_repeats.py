@@ -21,7 +21,10 @@ the bytes themselves.
 
 Defined results: null or empty text keeps the SHA-256 of nothing; texts shorter than
 ``length`` lose nothing; repeated rows lose all that their copies share; repeats may
-overlap and lie in one document; an empty table gives no rows.
+overlap and lie in one document; very long texts are searched in segments that overlap by a
+window, so nothing between them is missed; a null doc_id stays null (rows are told apart by
+their place); ties between anchors go to the leftmost; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
