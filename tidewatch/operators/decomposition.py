@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
