@@ -142,7 +142,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken; one taken in part is cut to its first words.  The takes lie shard by shard in local order."""
     takes = _mix(docs, **options).where("taken > 0").withColumn("_take", F.explode(F.expr("sequence(1, int(ceil(taken / size)))")))
     takes = takes.withColumns({"_shard": F.get("shards", F.col("_take") - 1), "rest": F.col("taken") - (F.col("_take") - 1) * F.col("size")})
-    dealt = takes.select("_own", "size", "rest", "_shard", "local_order").repartition("_shard").sortWithinPartitions("_shard", "local_order")
+    # A shard is as many partitions as the session's number allows, each a stretch of its order, so that shards can outgrow a task.
+    shards = options.get("shards", SHARDS)
+    pieces = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    piece = F.least(F.floor((F.col("local_order") / 2.0**64 + 0.5) * pieces), F.lit(pieces - 1))
+    dealt = takes.select("_own", "size", "rest", "_shard", "local_order").repartitionById(shards * pieces, (F.col("_shard") * pieces + piece).cast("int")).sortWithinPartitions("local_order")
     own = F.col("_own")
     words = F.array_remove(F.split(F.regexp_replace(own["text"], f"[{SPACE}]+", " "), " "), "")
     whole = F.col("rest") >= F.col("size")
