@@ -70,7 +70,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_mixing, op7_sharding, op8_fuzzy_passages, op9_secret_scan, op10_toxicity)}
+def op11_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_discriminant import score_documents
+
+    return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import repair_damaged
+
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import TYPO_EVERY, count_words, group_variants
+
+    return group_variants(count_words(documents(spark, sf_dir), typo_every=TYPO_EVERY)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_mixing, op7_sharding, op8_fuzzy_passages, op9_secret_scan, op10_toxicity, op11_quality_discriminant, op12_conversation_repair, op13_spelling_variants)}
 
 ORACLES = {
     "op5_jaccard_join": r"""
