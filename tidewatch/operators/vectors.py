@@ -1,17 +1,19 @@
-"""Vector layers: borders, buffers and overlay of convex polygons (I8 and U2 rows of the survey).
+"""Vector layers: borders, buffers, overlay (I8 and U2 rows of the survey).
 
 A feature is (feature_id, shell, holes, fields, box); rings are arrays of struct<x, y>.
-Overlay and buffer are exact for convex rings; concave shells are taken by their hull.
+Overlay and buffers are those of :mod:`overlay`, exact for concave rings with holes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RING = "array<struct<x:double,y:double>>"
+from . import overlay
+from .overlay import RING, outlines
+
+__all__ = ["borders", "buffer_features", "effective_size", "intersect_layers", "outlines", "subtract_layers", "union_area", "union_layers"]
 
 
 def borders(features: DataFrame) -> DataFrame:
@@ -20,151 +22,35 @@ def borders(features: DataFrame) -> DataFrame:
     return features.select("feature_id", rings).select("feature_id", "ring", F.concat("points", F.slice("points", 1, 1)).alias("line"))
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, anticlockwise."""
-    p = sorted(set(map(tuple, np.asarray(points, float).tolist())))
-    if len(p) < 3:
-        return np.array(p)
+def _whole(features: DataFrame) -> DataFrame:
+    return features if "holes" in features.columns else features.withColumn("holes", F.array().cast(f"array<{RING}>"))
 
-    def half(seq):
-        out = []
-        for q in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(q)
-        return out[:-1]
 
-    return np.array(half(p) + half(p[::-1]))
+def intersect_layers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, fields, shell): convex pieces of the common parts of two layers, with a's fields."""
+    return overlay.intersect_layers(_whole(a), _whole(b))
 
 
-def intersect(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The common part of two convex rings (hulls are taken), empty where there is none."""
-    ring, clip = hull(a).tolist(), hull(b)
-    for k in range(len(clip)):
-        p, q = clip[k], clip[(k + 1) % len(clip)]
-        side = lambda v: (q[0] - p[0]) * (v[1] - p[1]) - (q[1] - p[1]) * (v[0] - p[0])  # noqa: E731, B023
-        out = []
-        for m, v in enumerate(ring):
-            w = ring[(m + 1) % len(ring)]
-            sv, sw = side(v), side(w)
-            if sv >= 0:
-                out.append(v)
-            if (sv > 0 > sw) or (sv < 0 < sw):
-                t = sv / (sv - sw)
-                out.append([v[0] + t * (w[0] - v[0]), v[1] + t * (w[1] - v[1])])
-        ring = out
-        if not ring:
-            break
-    return np.array(ring) if len(ring) > 2 else np.zeros((0, 2))
+def subtract_layers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, fields, shell): convex pieces of a's features outside all of b's."""
+    return overlay.subtract_layers(_whole(a), _whole(b))
 
 
-def _points(ring) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in ring], float)
+def buffer_features(features: DataFrame, distance: float, corner: int = 8) -> DataFrame:
+    """(feature_id, part, shell, holes, fields): features grown by a distance; ``corner`` points for each quarter of a turn."""
+    return overlay.buffer_features(_whole(features), distance, corner)
 
 
-def _ring(points: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in points]
+def union_layers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, fields, shell): overlay of two layers as convex pieces: common parts, then what only one of them holds (the other's id is null)."""
+    return overlay.union_layers(_whole(a), _whole(b))
 
 
-def buffer_features(features: DataFrame, distance: float, corner: int = 8) -> DataFrame:
-    """Features with the shell grown by a distance; ``corner`` points round each corner."""
-    angles = np.linspace(0, 2 * np.pi, 4 * corner, endpoint=False)
-    circle = distance * np.stack([np.cos(angles), np.sin(angles)], axis=1)
-
-    def run(batches):
-        for pdf in batches:
-            pdf["shell"] = [_ring(hull((_points(r)[:, None, :] + circle[None]).reshape(-1, 2))) for r in pdf["shell"]]
-            yield pdf
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in features.select("feature_id", "shell", "fields").schema)
-    return features.select("feature_id", "shell", "fields").mapInPandas(run, schema)
-
-
-def intersect_layers(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
-    """(a_id, b_id, fields, shell): common parts of two layers, with a's fields; pairs meet in shared grid squares."""
-    from .joins import _gridded
-
-    left = _gridded(a, size, "a").select(F.col("feature_id").alias("a_id"), "fields", F.col("shell").alias("a_shell"), "_bx", "_by")
-    right = _gridded(b, size, "b").select(F.col("feature_id").alias("b_id"), F.col("shell").alias("b_shell"), "_bx", "_by")
-    pairs = left.join(right, ["_bx", "_by"]).drop("_bx", "_by").groupBy("a_id", "b_id").agg(F.first("fields").alias("fields"), F.first("a_shell").alias("a_shell"), F.first("b_shell").alias("b_shell"))
-
-    def run(batches):
-        for pdf in batches:
-            parts = [_ring(intersect(_points(x), _points(y))) for x, y in zip(pdf["a_shell"], pdf["b_shell"], strict=True)]
-            yield pd.DataFrame({"a_id": pdf["a_id"], "b_id": pdf["b_id"], "fields": pdf["fields"], "shell": parts})
-
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    out = pairs.mapInPandas(run, f"a_id {kind['a_id']}, b_id {kind['b_id']}, fields {kind['fields']}, shell {RING}")
-    return out.where(F.size("shell") > 2)
-
-
-def without(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-    """The convex pieces of a ring outside another: for each edge of b what lies beyond it and within the edges before."""
-    rest, clip, out = hull(a), hull(b), []
-    if len(intersect(a, b)) == 0:
-        return [rest]
-    reach = 4 * (np.abs(np.concatenate([rest, clip])).max() + 1)
-    for k in range(len(clip)):
-        p, q = clip[k], clip[(k + 1) % len(clip)]
-        along = (q - p) / np.hypot(*(q - p))
-        inward = np.array([-along[1], along[0]])
-        side = lambda way: np.array([p - reach * along, p + reach * along, p + reach * along + way * reach * inward, p - reach * along + way * reach * inward])  # noqa: E731, B023
-        beyond = intersect(rest, side(-1))
-        if len(beyond):
-            out.append(beyond)
-        rest = intersect(rest, side(1))
-        if not len(rest):
-            break
-    return out
-
-
-def _left_over(a: DataFrame, b: DataFrame, size: float, name: str) -> DataFrame:
-    """(a_id, fields, shell): pieces of a's features outside all of b's, features untouched by b as they are."""
-    from .joins import _gridded
-
-    left = _gridded(a.select("feature_id", "xmin", "ymin", "xmax", "ymax"), size, "a").select("feature_id", "_bx", "_by")
-    right = _gridded(b, size, "b").select("_bx", "_by", F.col("feature_id").alias("b_id"), F.col("shell").alias("b_shell"))
-    near = left.join(right, ["_bx", "_by"]).groupBy("feature_id", "b_id").agg(F.first("b_shell").alias("b_shell")).groupBy("feature_id").agg(F.collect_list("b_shell").alias("near"))
-    asked = a.select("feature_id", "fields", "shell").join(near, "feature_id", "left")
-
-    def run(batches):
-        for pdf in batches:
-            ids, fields, shells = [], [], []
-            for i, f, shell, others in zip(pdf["feature_id"], pdf["fields"], pdf["shell"], pdf["near"], strict=True):
-                pieces = [_points(shell)]
-                for other in others if others is not None else ():
-                    pieces = [piece for p in pieces for piece in without(p, _points(other)) if len(piece) > 2]
-                for piece in pieces:
-                    ids.append(i)
-                    fields.append(f)
-                    shells.append(_ring(piece))
-            yield pd.DataFrame({name: ids, "fields": fields, "shell": shells})
-
-    kind = {f.name: f.dataType.simpleString() for f in asked.schema}
-    return asked.mapInPandas(run, f"{name} {kind['feature_id']}, fields {kind['fields']}, shell {RING}")
-
-
-def union_layers(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
-    """(a_id, b_id, fields, shell): overlay of two layers as convex pieces: common parts, then what only one of them holds (the other's id is null).
-
-    Features of one layer do not overlap; fields are those of a, and of b where only b holds the piece.
-    """
-    both = intersect_layers(a, b, size)
-    only_a = _left_over(a, b, size, "a_id").withColumn("b_id", F.lit(None).cast(both.schema["b_id"].dataType))
-    only_b = _left_over(b, a, size, "b_id").withColumn("a_id", F.lit(None).cast(both.schema["a_id"].dataType))
-    columns = ["a_id", "b_id", "fields", "shell"]
-    return both.select(*columns).unionByName(only_a.select(*columns)).unionByName(only_b.select(*columns))
-
-
-def union_area(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
+def union_area(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the area of both layers together, each layer's own features not overlapping."""
     from ..functions.polygons import shoelace
 
-    area = lambda df: F.coalesce(F.sum(F.abs(shoelace(F.col("shell")))), F.lit(0.0))
-    both = a.select("shell").unionByName(b.select("shell")).agg(area(None).alias("sum"))
-    common = intersect_layers(a, b, size).agg(area(None).alias("common"))
-    # Two single rows.
-    return both.join(F.broadcast(common)).select((F.col("sum") - F.col("common")).alias("area"))
+    return union_layers(a, b).agg(F.coalesce(F.sum(F.abs(shoelace(F.col("shell")))), F.lit(0.0)).alias("area"))
 
 
 def effective_size(x: np.ndarray) -> float:

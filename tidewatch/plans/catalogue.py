@@ -832,4 +832,4 @@ def row_union(spark, sf_dir):
     return a.unionByName(filters.keep_labels(df, ["view"], True).select(LABEL, TIME, r("s").alias("v")))
 
 
-from . import catalogue_more  # noqa: E402, F401  further queries, registered on import
+from . import catalogue_layers, catalogue_more  # noqa: E402, F401  further queries, registered on import

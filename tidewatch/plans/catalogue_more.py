@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import LABEL, TIME, Dataset, melt, widen
 from ..functions import astro, deformation, fuzzy, geodesy, polygons
-from ..operators import decomposition, filters, images, joins, search, series, stats, vectors, windows
+from ..operators import decomposition, filters, images, joins, search, series, stats, windows
 from ..sources import readers
 from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _in_diamond, _near, _squares, ev, evg, grid, li, query, r, sites, table
 from .pipeline import Incremental, Param, ParamCycle, Pipeline, Stage, run_grid
@@ -392,30 +392,6 @@ def path_codes(spark, sf_dir):
     return images.path_codes(_squares(spark).where("id < 12")).select("id", "k", "x", "y", "code")
 
 
-@query("SELECT CAST(id AS INTEGER) AS feature_id, CAST(5 AS INTEGER) AS n, 5.0 * (id % 4) AS x0, 9.0 + 3 * (id // 4) AS y0, true AS closed FROM (SELECT unnest(range(12)) AS id)")
-def layer_borders(spark, sf_dir):
-    lines = vectors.borders(_squares(spark).where("id < 12").withColumnRenamed("id", "feature_id"))
-    first, last = F.element_at("line", 1), F.element_at("line", -1)
-    return lines.select("feature_id", F.size("line").alias("n"), first["x"].alias("x0"), first["y"].alias("y0"), (first == last).alias("closed"))
-
-
-@query("WITH p AS (SELECT CAST(unnest(range(12)) AS INTEGER) AS id), a AS (SELECT id, 5.0 * (id % 4) AS x, 9.0 + 3 * (id // 4) AS y FROM p), q AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x, b.x + 1.5) + 4 - greatest(a.x, b.x + 1.5)) * (least(a.y, b.y + 1) + 2.5 - greatest(a.y, b.y + 1)) AS area FROM a, a b WHERE a.x < b.x + 5.5 AND b.x + 1.5 < a.x + 4 AND a.y < b.y + 3.5 AND b.y + 1 < a.y + 2.5) SELECT a_id, b_id, round(area, 5) AS area FROM q")
-def layer_intersections(spark, sf_dir):
-    a = _squares(spark).where("id < 12").withColumnRenamed("id", "feature_id").withColumn("fields", F.create_map().cast("map<string,string>"))
-    moved = F.transform("shell", lambda p: F.struct((p["x"] + 1.5).alias("x"), (p["y"] + 1.0).alias("y")))
-    b = polygons.bounding_box(a.select("feature_id", moved.alias("shell"), "fields"))
-    return vectors.intersect_layers(a, b).select("a_id", "b_id", r(F.abs(polygons.shoelace(F.col("shell"))), 5).alias("area"))
-
-
-@query("WITH p AS (SELECT CAST(unnest(range(12)) AS INTEGER) AS id), a AS (SELECT id, 5.0 * (id % 4) AS x, 9.0 + 3 * (id // 4) AS y FROM p), q AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x, b.x + 1.5) + 4 - greatest(a.x, b.x + 1.5)) * (least(a.y, b.y + 1) + 2.5 - greatest(a.y, b.y + 1)) AS area FROM a, a b WHERE a.x < b.x + 5.5 AND b.x + 1.5 < a.x + 4 AND a.y < b.y + 3.5 AND b.y + 1 < a.y + 2.5), u AS (SELECT a_id, b_id, area FROM q UNION ALL SELECT a.id, NULL, 10 - coalesce((SELECT sum(area) FROM q WHERE a_id = a.id), 0) FROM a UNION ALL SELECT NULL, a.id, 10 - coalesce((SELECT sum(area) FROM q WHERE b_id = a.id), 0) FROM a) SELECT a_id, b_id, round(area, 5) AS area FROM u WHERE area > 1e-9")
-def layer_union(spark, sf_dir):
-    a = _squares(spark).where("id < 12").withColumnRenamed("id", "feature_id").withColumn("fields", F.create_map().cast("map<string,string>"))
-    moved = F.transform("shell", lambda p: F.struct((p["x"] + 1.5).alias("x"), (p["y"] + 1.0).alias("y")))
-    b = polygons.bounding_box(a.select("feature_id", moved.alias("shell"), "fields"))
-    pieces = vectors.union_layers(a, b).withColumn("area", F.abs(polygons.shoelace(F.col("shell"))))
-    return pieces.groupBy("a_id", "b_id").agg(r(F.sum("area"), 5).alias("area")).where("area > 0")
-
-
 # --- time, paths, runs ----------------------------------------------------------------------
 
 
