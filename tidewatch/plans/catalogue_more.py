@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..dataset import LABEL, TIME, Dataset, melt, widen
 from ..functions import astro, deformation, fuzzy, geodesy, polygons
-from ..operators import decomposition, filters, images, joins, search, series, stats, windows
+from ..operators import decomposition, filters, images, joins, scan, search, series, stats, windows
 from ..sources import readers
-from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _in_diamond, _near, _squares, ev, evg, grid, li, query, r, sites, table
+from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _in_diamond, _near, _squares, ev, evg, grid, li, od, query, r, sites, table
 from .pipeline import Incremental, Param, ParamCycle, Pipeline, Stage, run_grid
 
 # --- joins ----------------------------------------------------------------------------------
@@ -599,3 +599,22 @@ def fuzzy_ramp(spark, sf_dir):
 
 
 ORACLES["dbscan_labels"] = ORACLES["density_clusters"]
+
+
+# --- recurrences over blocks ----------------------------------------------------------------
+
+
+@query(ORACLES["kalman_forward"])
+def kalman_forward_blocks(spark, sf_dir):
+    """Blocks of 100 rows instead of whole series."""
+    return scan.kalman_forward(li(spark, sf_dir), "v", rows=100).select(LABEL, TIME, r("state").alias("state"), r("state_var").alias("state_var"))
+
+
+@query(ORACLES["kalman_two_sided"])
+def kalman_two_sided_blocks(spark, sf_dir):
+    return scan.kalman_smooth(od(spark, sf_dir), "v", tau=30.0, variance=100.0, noise=400.0, clip=1e9, rows=100).select(LABEL, TIME, r("v", 3).alias("v"))
+
+
+@query(ORACLES["rts_smooth"])
+def rts_smooth_blocks(spark, sf_dir):
+    return scan.rts_smooth(series.resample(od(spark, sf_dir)), "v", 30.0, 100.0, 400.0, rows=100).select(LABEL, TIME, r("v", 3).alias("v"))
