@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import polygons
-from tidewatch.operators import overlay, vectors
+from tidewatch.operators import overlay, vectors, voronoi
 
 RING = "array<struct<x:double,y:double>>"
 C = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 3.0), (4.0, 3.0), (4.0, 4.0), (0.0, 4.0)]
@@ -88,3 +88,27 @@ def test_buffer_holds_what_is_near(spark):
     assert len(rows) > 7000 and all(r.inside == (r.d < 0.25) for r in rows)
     with pytest.raises(ValueError):
         vectors.buffer_features(features, -1.0)
+
+
+def test_voronoi_cells_hold_what_is_nearest(spark):
+    rng = np.random.default_rng(3)
+    places = [(k, float(np.degrees(np.arcsin(z))), float(lon)) for k, (z, lon) in enumerate(zip(rng.uniform(-1, 1, 40), rng.uniform(-180, 180, 40), strict=True))]
+    places += [(100 + k, float(60 + rng.uniform(0, 0.2)), float(20 + rng.uniform(0, 0.4))) for k in range(25)] + [(900, 90.0, 0.0), (901, *places[0][1:])]
+    df = spark.createDataFrame(places, "site int, lat double, lon double")
+    cells = voronoi.voronoi_cells(df).collect()
+    assert len(cells) == len(places) - 1 and all(c.final for c in cells)  # two at one place
+    assert sum(c.area for c in cells) == pytest.approx(4 * np.pi)
+    sites = {c.site: np.array([np.cos(np.radians(c.lat)) * np.cos(np.radians(c.lon)), np.cos(np.radians(c.lat)) * np.sin(np.radians(c.lon)), np.sin(np.radians(c.lat))]) for c in cells}
+    every = np.array(list(sites.values()))
+    for c in cells:
+        ring = np.array([(v.x, v.y, v.z) for v in c.corners])
+        own = ring @ sites[c.site]
+        assert np.allclose((ring @ every.T).max(axis=1), own, atol=1e-9)  # no site is nearer to a corner
+        assert ((np.abs(ring @ every.T - own[:, None]) < 1e-9).sum(axis=1) >= 3).all()  # and three are as near
+
+
+def test_voronoi_of_few_sites(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 170.0)], "site int, lat double, lon double")
+    assert {c.site: c.final for c in voronoi.voronoi_cells(df).collect()} == {1: False, 2: False}  # half a sphere each
+    assert voronoi.voronoi_cells(df.where("site = 1")).first().final is False
+    assert voronoi.voronoi_cells(df.where("false")).count() == 0

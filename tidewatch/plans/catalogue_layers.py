@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import polygons
-from ..operators import overlay, vectors
+from ..operators import overlay, vectors, voronoi
 from .catalogue import query, r, table
 
 # --- shapes ---------------------------------------------------------------------------------
@@ -160,3 +160,45 @@ def layer_borders(spark, sf_dir):
 @query(f"WITH {_stars_sql('a')}, {_stars_sql('b')}, x AS (SELECT 'a' AS l, id, min(x1) AS x0, max(x1) AS x1, min(y1) AS y0, max(y1) AS y1 FROM e_a GROUP BY id), y AS (SELECT id, min(x1) AS x0, max(x1) AS x1, min(y1) AS y0, max(y1) AS y1 FROM e_b GROUP BY id) SELECT x.id AS a_id, y.id AS b_id FROM x JOIN y ON x.x0 <= y.x1 AND y.x0 <= x.x1 AND x.y0 <= y.y1 AND y.y0 <= x.y1")
 def box_pairs(spark, sf_dir):
     return overlay.box_pairs(stars(spark, sf_dir, "a"), stars(spark, sf_dir, "b"))
+
+
+# --- Voronoi cells on the sphere ------------------------------------------------------------
+
+
+def _scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place for each supplier, scattered evenly but without symmetry; every third one within a few degrees of a point."""
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"))
+    u, v = F.expr("pmod(site * 0.6180339887498949D, 1.0D)"), F.expr("pmod(site * 0.7548776662466927D, 1.0D)")
+    crowd = F.col("site") % 3 == 0
+    return k.select("site", F.when(crowd, 40 + 5 * u).otherwise(F.degrees(F.asin(2 * u - 1))).alias("lat"), F.when(crowd, 100 + 7 * v).otherwise(360 * v - 180).alias("lon"))
+
+
+#: Corners are the poles of circles through three sites that hold no other site.
+_CORNERS = (
+    "s AS (SELECT site, CASE WHEN site % 3 = 0 THEN 40 + 5 * u ELSE degrees(asin(2 * u - 1)) END AS lat, CASE WHEN site % 3 = 0 THEN 100 + 7 * v ELSE 360 * v - 180 END AS lon FROM (SELECT s_suppkey AS site, (s_suppkey * 0.6180339887498949::DOUBLE) % 1.0 AS u, (s_suppkey * 0.7548776662466927::DOUBLE) % 1.0 AS v FROM supplier)),"
+    " p AS (SELECT site, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM s),"
+    " n AS (SELECT a.site AS a, b.site AS b, c.site AS c, a.x AS ax, a.y AS ay, a.z AS az, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS x, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS y, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS z FROM p a JOIN p b ON a.site < b.site JOIN p c ON b.site < c.site),"
+    " o AS (SELECT a, b, c, ax, ay, az, w * x / sqrt(x * x + y * y + z * z) AS x, w * y / sqrt(x * x + y * y + z * z) AS y, w * z / sqrt(x * x + y * y + z * z) AS z FROM n, (SELECT unnest([1, -1]) AS w)),"
+    " e AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.site <> o.a AND p.site <> o.b AND p.site <> o.c AND p.x * o.x + p.y * o.y + p.z * o.z > ax * o.x + ay * o.y + az * o.z)),"
+    " v AS (SELECT unnest([a, b, c]) AS site, x, y, z FROM e)"
+)
+
+
+@query(f"WITH {_CORNERS} SELECT site, round(degrees(asin(z)), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon FROM v")
+def voronoi_outlines(spark, sf_dir):
+    return voronoi.outlines(voronoi.voronoi_cells(_scattered(spark, sf_dir))).select("site", r("lat", 5).alias("lat"), r("lon", 5).alias("lon"))
+
+
+@query(
+    f"WITH {_CORNERS}, t AS (SELECT v.site, v.x, v.y, v.z, p.x AS px, p.y AS py, p.z AS pz, -p.y / sqrt(p.x * p.x + p.y * p.y) AS ex, p.x / sqrt(p.x * p.x + p.y * p.y) AS ey FROM v JOIN p USING (site)),"
+    " w AS (SELECT *, atan2((py * 0 - pz * ey) * x + (pz * ex - px * 0) * y + (px * ey - py * ex) * z, x * ex + y * ey) AS turn FROM t),"
+    " g AS (SELECT *, coalesce(lead(x) OVER o, first(x) OVER o) AS qx, coalesce(lead(y) OVER o, first(y) OVER o) AS qy, coalesce(lead(z) OVER o, first(z) OVER o) AS qz FROM w WINDOW o AS (PARTITION BY site ORDER BY turn)),"
+    " f AS (SELECT site, 2 * atan2(px * (y * qz - z * qy) + py * (z * qx - x * qz) + pz * (x * qy - y * qx), 1 + px * x + py * y + pz * z + x * qx + y * qy + z * qz + px * qx + py * qy + pz * qz) AS area FROM g)"
+    " SELECT site, CAST(count(*) AS INTEGER) AS corners, round(sum(area), 8) AS area, round((SELECT sum(area) FROM f) / (4 * pi()), 8) AS share FROM f GROUP BY site"
+)
+def voronoi_areas(spark, sf_dir):
+    """Cells with their number of corners and area; all areas make the sphere."""
+    cells = voronoi.voronoi_cells(_scattered(spark, sf_dir)).where("final").select("site", F.size("corners").alias("corners"), "area").checkpoint()
+    whole = cells.agg((F.sum("area") / (4 * math.pi)).alias("share"))
+    # One row: the sum.
+    return cells.join(F.broadcast(whole)).select("site", "corners", r("area", 8).alias("area"), r("share", 8).alias("share"))
