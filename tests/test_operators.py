@@ -212,9 +212,28 @@ def test_density_clusters(spark):
     assert {got[k] for k in range(5)} == {got[1]} and got[10] == got[14] != got[0] and got[99] == -1
 
 
-def test_linkage():
-    d = np.array([[0, 1, 9], [1, 0, 8], [9, 8, 0.0]])
-    assert decomposition.average_linkage(d) == [(0, 1, 1.0, 2), (2, 3, 8.5, 3)]
+def test_linkage(spark):
+    rows = [(0, 1, 1.0), (0, 2, 9.0), (1, 2, 8.0)]
+    df = spark.createDataFrame(rows, "a int, b int, distance double")
+    assert [tuple(r) for r in decomposition.linkage(df).orderBy("distance").collect()] == [(0, 1, 1.0, 2), (0, 2, 8.5, 3)]
+    assert decomposition.linkage(df.where("false")).count() == 0
+    tied = spark.createDataFrame([(a, b, 1.0) for a in range(5) for b in range(a + 1, 5)], "a int, b int, distance double")
+    merges = decomposition.linkage(tied).collect()
+    assert len(merges) == 4 and {r.distance for r in merges} == {1.0} and max(r.size for r in merges) == 5
+
+
+def test_spline_and_modes_of_two_tones():
+    knots, at = np.array([0.0, 1.0, 2.5, 4.0]), np.linspace(0, 4, 81)
+    cubic = kernels.natural_spline(at, knots, np.array([1.0, 3.0, -2.0, 0.5]))
+    assert cubic[[0, 20, 50, 80]] == pytest.approx([1.0, 3.0, -2.0, 0.5])
+    bend = np.diff(cubic, 2)
+    assert abs(bend[0]) < 2e-3 and abs(bend[-1]) < 2e-3 and np.abs(np.diff(bend)).max() < 2e-3  # ends straight, bends without a jump
+    assert kernels.natural_spline(at, knots, 2 * knots - 1) == pytest.approx(2 * at - 1)
+    t = np.arange(600)
+    fast, slow = np.sin(t / 3), 2 * np.sin(t / 40) + 0.002 * t
+    modes = kernels.imfs(fast + slow)
+    assert sum(modes) == pytest.approx(fast + slow)
+    assert np.corrcoef(modes[0], fast)[0, 1] > 0.99 and np.corrcoef(sum(modes[1:]), slow)[0, 1] > 0.99
 
 
 def test_source_inversion_recovers():

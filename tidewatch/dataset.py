@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,3 +81,15 @@ def melt(df: DataFrame, columns: list[str], value: str = "value", name: str = "n
 def widen(series: DataFrame, columns: list[str], value: str = "value", name: str = "name") -> DataFrame:
     """Series to table."""
     return series.groupBy(LABEL, TIME).pivot(name, columns).agg(F.first(value))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: like a checkpoint, but the plan that made it leaves no trace,
+    so that a loop's plans don't grow from round to round."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dataset import LABEL, TIME, melt
+from ..dataset import LABEL, TIME, melt, written
 from .kernels import least_squares
 
 #: Series that one component analysis takes: its covariance reaches the driver.
@@ -179,24 +179,32 @@ def density_clusters(points: DataFrame, x: str, y: str, eps: float, min_points:
     return p.select(LABEL, "id").join(state, [LABEL, "id"], "left").join(border, [LABEL, "id"], "left").select(LABEL, "id", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def average_linkage(matrix: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """(a, b, distance, size) merges of a small distance matrix by average linkage; new clusters are numbered on."""
-    d = np.array(matrix, float)
-    n = len(d)
-    sizes, ids = {k: 1 for k in range(n)}, list(range(n))
-    dist = {(a, b): d[a, b] for a in range(n) for b in range(a + 1, n)}
-    out = []
-    for new in range(n, 2 * n - 1):
-        (a, b), v = min(dist.items(), key=lambda kv: (kv[1], kv[0]))
-        out.append((a, b, float(v), sizes[a] + sizes[b]))
-        ids = [k for k in ids if k not in (a, b)]
-        for k in ids:
-            da, db = dist[min(a, k), max(a, k)], dist[min(b, k), max(b, k)]
-            dist[k, new] = (sizes[a] * da + sizes[b] * db) / (sizes[a] + sizes[b])
-        dist = {p: x for p, x in dist.items() if a not in p and b not in p}
-        sizes[new] = sizes[a] + sizes[b]
-        ids.append(new)
-    return out
+def linkage(distances: DataFrame) -> DataFrame:
+    """(left, right, distance, size): merges by average linkage of (a, b, distance), one row a pair; clusters go by their smallest member.
+
+    Every round merges all pairs of clusters that are each other's nearest at once.  Averages never come nearer by
+    other merges, so these are the merges of the one-at-a-time order as well (equal distances: the pair of the
+    smallest ids first).  A pair of clusters keeps the sum and the number of its members' distances, so a round is two
+    aggregations over a table that shrinks by the square of what is merged.
+    """
+    now = written(distances.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("double").alias("total"), F.lit(1).cast("long").alias("n")))
+    sizes = written(now.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("size", F.lit(1).cast("long")))
+    out = None
+    while now.limit(1).count():
+        pairs = now.select((F.col("total") / F.col("n")).alias("d"), F.col("a").alias("l"), F.col("b").alias("r"))
+        nearest = pairs.select("d", "l", "r", F.explode(F.array("l", "r")).alias("id")).groupBy("id").agg(F.min(F.struct("d", "l", "r")).alias("p"))
+        # Both members of a pair chose it.
+        chosen = nearest.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.min("p.d").alias("distance"), F.count(F.lit(1)).alias("votes")).where("votes = 2").drop("votes")
+        size = lambda side: sizes.select(F.col("id").alias(side), F.col("size").alias(f"_{side}"))
+        merged = written(chosen.join(size("left"), "left").join(size("right"), "right").select("left", "right", "distance", (F.col("_left") + F.col("_right")).alias("size")))
+        out = merged if out is None else out.unionByName(merged)
+        into = lambda side: merged.select(F.col("right").alias(side), F.col("left").alias(f"_{side}"))  # noqa: E731, B023
+        told = now.join(into("a"), "a", "left").join(into("b"), "b", "left").select(F.coalesce("_a", "a").alias("u"), F.coalesce("_b", "b").alias("v"), "total", "n")
+        now = written(told.where("u <> v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+        grown = merged.select(F.col("left").alias("id"), F.col("size").alias("_s"))
+        sizes = written(sizes.join(merged.select(F.col("right").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("_s", "size").alias("size")))
+    kind = distances.schema["a"].dataType.simpleString()
+    return out if out is not None else distances.sparkSession.createDataFrame([], f"left {kind}, right {kind}, distance double, size long")
 
 
 def arctan_of_component(projection: np.ndarray) -> tuple[float, float]:

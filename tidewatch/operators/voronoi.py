@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dataset import written
 from .images import _cells_in, _sphere_cells
 
 CORNERS = "array<struct<x:double,y:double,z:double>>"
@@ -142,9 +143,9 @@ def voronoi_cells(sites: DataFrame) -> DataFrame:
     each round the nearest site of each of twelve directions cuts first, so that few others are left to be gathered.
     """
     own = sites.groupBy("lat", "lon").agg(F.min("site").alias("site")).select("site", "lat", "lon", on_sphere(F.col("lat"), F.col("lon")).alias("p"))
-    own = own.withColumn("corners", _square(F.col("p"))).withColumn("widest", F.lit(WIDE)).checkpoint()
+    own = written(own.withColumn("corners", _square(F.col("p"))).withColumn("widest", F.lit(WIDE)))
     others = own.select(F.col("site").alias("_site"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("p").alias("q"))
-    rest, done = _first_levels(own, max(1, own.count())).checkpoint(), None
+    rest, done = written(_first_levels(own, max(1, own.count()))), None
     schema = rest.schema
     p, q = F.col("p"), F.col("q")
     by_distance = F.struct((-dot(p, q)).alias("d"), F.col("_site").alias("s"), q.alias("q"))
@@ -165,7 +166,7 @@ def voronoi_cells(sites: DataFrame) -> DataFrame:
             return met.where(reached)
 
         def cut(df: DataFrame, near: DataFrame) -> DataFrame:
-            return df.join(near, "site", "left").select(*schema.names, "near").mapInPandas(_cut_cells, schema).checkpoint()
+            return written(df.join(near, "site", "left").select(*schema.names, "near").mapInPandas(_cut_cells, schema))
 
         first = cutters(now).groupBy("site", way).agg(F.min(by_distance).alias("n")).groupBy("site").agg(gathered(F.col("n")))
         now = cut(now, first)
@@ -175,7 +176,7 @@ def voronoi_cells(sites: DataFrame) -> DataFrame:
         # On to the level whose reach would do, two at most, as a cell still open asks for more sites than it needs.
         wanted = F.floor(F.log2(math.pi / (2 * F.col("widest")))).cast("int")
         onward = F.greatest(F.lit(max(0, level - 2)), F.least(F.lit(level - 1), wanted))
-        rest = rest.where(F.col("level") < level).unionByName(now.where(~final).withColumn("level", onward)).checkpoint()
+        rest = written(rest.where(F.col("level") < level).unionByName(now.where(~final).withColumn("level", onward)))
         level = rest.agg(F.max("level")).first()[0]
     if done is None:
         done = rest

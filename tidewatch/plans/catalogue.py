@@ -785,9 +785,11 @@ def dft(spark, sf_dir):
     return kernels.dft(ev(spark, sf_dir), "v").select(LABEL, "k", r("frequency", 6).alias("frequency"), r("re").alias("re"), r("im").alias("im"))
 
 
-@query()
+@query(f"WITH {EV} SELECT label, row_number() OVER (PARTITION BY label ORDER BY ts) - 1 AS pos, round(v, 6) AS v, true AS several FROM ev")
 def empirical_modes(spark, sf_dir):
-    return kernels.empirical_modes(ev(spark, sf_dir), "v")
+    """Modes and residual of each label, summed up again."""
+    modes = kernels.empirical_modes(ev(spark, sf_dir), "v")
+    return modes.groupBy(LABEL, "pos").agg(r(F.sum("value"), 6).alias("v"), (F.count(F.lit(1)) > 2).alias("several"))
 
 
 @query()

@@ -618,3 +618,24 @@ def kalman_two_sided_blocks(spark, sf_dir):
 @query(ORACLES["rts_smooth"])
 def rts_smooth_blocks(spark, sf_dir):
     return scan.rts_smooth(series.resample(od(spark, sf_dir)), "v", 30.0, 100.0, 400.0, rows=100).select(LABEL, TIME, r("v", 3).alias("v"))
+
+
+# --- linkage --------------------------------------------------------------------------------
+
+_POINTS = "pt AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x, sin(s_suppkey) * 3 AS y, s_nationkey / 5.0 AS z FROM supplier), ds AS (SELECT p.id AS a, q.id AS b, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS d FROM pt p JOIN pt q ON p.id < q.id)"
+
+
+@query(
+    f"WITH RECURSIVE {_POINTS}, w AS (SELECT 0 AS step, a, b, d AS t, 1::BIGINT AS n, first_value(a) OVER o AS ma, first_value(b) OVER o AS mb FROM ds WINDOW o AS (ORDER BY d, a, b)"
+    " UNION ALL SELECT step, a, b, t, n, first_value(a) OVER (ORDER BY t / n, a, b) AS ma, first_value(b) OVER (ORDER BY t / n, a, b) AS mb FROM (SELECT step + 1 AS step, least(u, v) AS a, greatest(u, v) AS b, sum(t) AS t, sum(n)::BIGINT AS n FROM (SELECT step, CASE WHEN a = mb THEN ma ELSE a END AS u, CASE WHEN b = mb THEN ma ELSE b END AS v, t, n FROM w) WHERE u <> v GROUP BY 1, 2, 3)),"
+    " m AS MATERIALIZED (SELECT step, a AS l, b AS r, t / n AS d, n FROM w WHERE a = ma AND b = mb),"
+    " z AS (SELECT 0 AS step, id AS leaf, id AS c FROM pt UNION ALL SELECT z.step + 1, leaf, CASE WHEN c = m.r THEN m.l ELSE c END FROM z JOIN m ON m.step = z.step)"
+    ' SELECT m.l AS "left", m.r AS "right", round(m.d, 6) AS distance, count(*) AS size FROM m JOIN z ON z.step = m.step AND z.c IN (m.l, m.r) GROUP BY m.step, m.l, m.r, m.d'
+)
+def average_linkage(spark, sf_dir):
+    """Merges of the suppliers by balance, a wave of their keys, and nation."""
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("x"), (F.sin("s_suppkey") * 3).alias("y"), (F.col("s_nationkey") / 5.0).alias("z"))
+    axes = p.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in "xyz"])).alias("p")).select("id", "p.*")
+    pairs = axes.alias("a").join(axes.alias("b"), (F.col("a.axis") == F.col("b.axis")) & (F.col("a.id") < F.col("b.id")))
+    distances = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sqrt(F.sum(F.pow(F.col("a.v") - F.col("b.v"), 2))).alias("distance"))
+    return decomposition.linkage(distances).select("left", "right", r("distance", 6).alias("distance"), "size")
