@@ -379,3 +379,29 @@ def test_vector_layers(spark):
     line = vectors.borders(a.where("feature_id = 1").withColumn("holes", F.lit(None).cast("array<array<struct<x:double,y:double>>>"))).first().line
     assert len(line) == 5 and line[0] == line[-1]
     assert vectors.effective_size(np.random.default_rng(0).normal(size=500)) == pytest.approx(500, rel=0.2)
+
+
+@pytest.mark.parametrize(("window", "planet"), [(3, True), (5, True), (3, False), (5, False)])
+def test_neighbour_std_at_borders(spark, window, planet):
+    from tidewatch.operators import windows
+
+    h, w, half = 5, 7, window // 2
+    rng = np.random.default_rng(window)
+    z = rng.normal(size=(h, w))
+    cells = spark.createDataFrame([(1, j, i, None if (j, i) == (2, 3) else float(z[j, i])) for j in range(h) for i in range(w)], "raster_id long, j int, i int, value double")
+    z[2, 3] = np.nan
+
+    def at(j, i):
+        if planet:
+            over, i = not 0 <= j < h, i % w
+            i = w - 1 - i if over else i
+        else:
+            i = -i - 1 if i < 0 else 2 * w - 1 - i if i >= w else i
+        j = -j - 1 if j < 0 else 2 * h - 1 - j if j >= h else j
+        return z[j, i]
+
+    got = {(r.j, r.i): r.std for r in windows.neighbour_std(cells, h, w, window=window, planet=planet).collect()}
+    assert len(got) == h * w
+    for (j, i), s in got.items():
+        near = [at(j + a, i + b) for a in range(-half, half + 1) for b in range(-half, half + 1)]
+        assert s == pytest.approx(np.nanstd(near))

@@ -48,6 +48,14 @@ def blank_range(df: DataFrame, columns: list[str], start=None, end=None, labels:
     return df.withColumns({c: F.when(~hit, F.col(c)) for c in columns})
 
 
+def blank_days(df: DataFrame, columns: list[str], ranges: DataFrame, labels: list | None = None) -> DataFrame:
+    """NULL the columns on the days of any closed range (start, end) of a table, of the listed labels (all where None)."""
+    days = ranges.select(F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day")).distinct()
+    met = df.withColumn("_at", F.to_date(TIME)).join(days, F.col("_at") == F.col("_day"), "left")
+    hit = F.col("_day").isNotNull() & (F.lit(True) if labels is None else F.col(LABEL).isin(*labels))
+    return met.withColumns({c: F.when(~hit, F.col(c)) for c in columns}).drop("_at", "_day")
+
+
 def propagate_nulls(df: DataFrame, source: str, targets: list[str]) -> DataFrame:
     """NULL the targets where the source is NULL."""
     return df.withColumns({c: F.when(F.col(source).isNotNull(), F.col(c)) for c in targets})

@@ -153,19 +153,22 @@ def neighbour_std(cells: DataFrame, height: int, width: int, value: str = "value
 
     The border wraps in longitude and crosses the poles (``planet``) or is mirrored.
     """
-    half = window // 2
-    offsets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(window * window - 1)), lambda k: F.struct((F.floor(k / window) - half).cast("int").alias("dj"), (k % window - half).cast("int").alias("di"))))
-    asked = cells.select("raster_id", "j", "i", offsets.alias("o")).select("raster_id", "j", "i", (F.col("j") + F.col("o.dj")).alias("nj"), (F.col("i") + F.col("o.di")).alias("ni"))
-    out = (F.col("nj") < 0) | (F.col("nj") >= height)
-    flip = F.when(F.col("nj") < 0, -F.col("nj") - 1).when(F.col("nj") >= height, 2 * height - 1 - F.col("nj")).otherwise(F.col("nj"))
+    half, j, i = window // 2, F.col("j"), F.col("i")
+    within = lambda n, size: (n >= -half) & (n < size + half)
+    # Where a cell appears in the raster with its border: at its own place, and as the copies that the border takes of it.
+    rows = F.filter(F.array(j, -j - 1, 2 * height - 1 - j), lambda n: within(n, height))
     if planet:
-        turned = F.pmod(F.col("ni"), F.lit(width))
-        asked = asked.withColumns({"mj": flip, "mi": F.when(out, width - 1 - turned).otherwise(turned)})
+        base = lambda n: F.when((n < 0) | (n >= height), width - 1 - i).otherwise(i)
+        columns = lambda n: F.array(*[base(n) + k * width for k in (-1, 0, 1)])
     else:
-        mirrored = F.when(F.col("ni") < 0, -F.col("ni") - 1).when(F.col("ni") >= width, 2 * width - 1 - F.col("ni")).otherwise(F.col("ni"))
-        asked = asked.withColumns({"mj": flip, "mi": mirrored})
-    near = cells.select("raster_id", F.col("j").alias("mj"), F.col("i").alias("mi"), F.col(value).alias("_v"))
-    return asked.join(near, ["raster_id", "mj", "mi"]).groupBy("raster_id", "j", "i").agg(F.stddev_pop("_v").alias("std"))
+        columns = lambda n: F.array(i, -i - 1, 2 * width - 1 - i)
+    places = F.flatten(F.transform(rows, lambda n: F.transform(F.filter(columns(n), lambda m: within(m, width)), lambda m: F.struct(n.alias("nj"), m.alias("ni")))))
+    span = F.sequence(F.lit(-half), F.lit(half))
+    held = cells.select("raster_id", F.col(value).alias("_v"), F.explode(places).alias("p")).select("raster_id", "_v", "p.nj", "p.ni", F.explode(span).alias("dj"))
+    held = held.where((F.col("nj") + F.col("dj") >= 0) & (F.col("nj") + F.col("dj") < height)).withColumn("di", F.explode(span))
+    held = held.where((F.col("ni") + F.col("di") >= 0) & (F.col("ni") + F.col("di") < width))
+    # Each place gives its value to the cells around it: one shuffle of partial sums, no join.
+    return held.groupBy("raster_id", (F.col("nj") + F.col("dj")).cast(cells.schema["j"].dataType).alias("j"), (F.col("ni") + F.col("di")).cast(cells.schema["i"].dataType).alias("i")).agg(F.stddev_pop("_v").alias("std"))
 
 
 def bordered(cells: DataFrame, height: int, width: int, size: int = 1, planet: bool = True) -> DataFrame:

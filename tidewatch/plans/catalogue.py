@@ -161,11 +161,8 @@ def vincenty_pairs(spark, sf_dir):
 @query(f"WITH {EV} SELECT label, ts, CASE WHEN label IN ('click') AND day(ts) BETWEEN 5 AND 9 THEN NULL ELSE round(v, 4) END AS v FROM (SELECT * FROM ev)")
 def data_remover(spark, sf_dir):
     df = ev(spark, sf_dir)
-    month = df.where(F.dayofmonth(TIME).between(5, 9)).groupBy(F.trunc(TIME, "month").alias("m")).agg(F.min(TIME).alias("a"), F.max(TIME).alias("b"))
-    days = [(x.a, x.b) for x in month.collect()]  # one row for each month
-    for start, end in days:
-        df = filters.blank_range(df, ["v"], start, end, ["click"])
-    return df.select(LABEL, TIME, r("v").alias("v"))
+    month = df.where(F.dayofmonth(TIME).between(5, 9)).groupBy(F.trunc(TIME, "month").alias("m")).agg(F.min(TIME).alias("start"), F.max(TIME).alias("end"))
+    return filters.blank_days(df, ["v"], month, ["click"]).select(LABEL, TIME, r("v").alias("v"))
 
 
 @query(f"WITH {EVG} SELECT label, ts, CASE WHEN v IS NULL THEN NULL ELSE n END AS n FROM evg")

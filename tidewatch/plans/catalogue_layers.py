@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import polygons
-from ..operators import overlay, vectors, voronoi
+from ..operators import images, overlay, vectors, voronoi
 from .catalogue import query, r, table
 
 # --- shapes ---------------------------------------------------------------------------------
@@ -202,3 +202,35 @@ def voronoi_areas(spark, sf_dir):
     whole = cells.agg((F.sum("area") / (4 * math.pi)).alias("share"))
     # One row: the sum.
     return cells.join(F.broadcast(whole)).select("site", "corners", r("area", 8).alias("area"), r("share", 8).alias("share"))
+
+
+# --- rasters, squares and drawing codes of layers -------------------------------------------
+
+
+@query(
+    f"WITH {_stars_sql('a')}, c AS (SELECT v AS \"row\", u AS col, -3 + (u + 0.5) * 0.45 AS x, 23 - (v + 0.5) * 0.52 AS y FROM (SELECT unnest(range(50)) AS v), (SELECT unnest(range(60)) AS u)),"
+    " h AS (SELECT \"row\", col, id FROM c JOIN e_a ON (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) GROUP BY \"row\", col, id HAVING count(*) % 2 = 1)"
+    ' SELECT CAST(c."row" AS INTEGER) AS j, CAST(c.col AS INTEGER) AS i, coalesce(max(id), -1.0)::DOUBLE AS value FROM c LEFT JOIN h USING ("row", col) GROUP BY c."row", c.col'
+)
+def rasterize_layer(spark, sf_dir):
+    """The last star that holds each cell's centre, holes left out."""
+    layer = stars(spark, sf_dir, "a").withColumnRenamed("feature_id", "id")
+    return images.rasterize(layer, 50, 60, (-3.0, 23 - 50 * 0.52, -3 + 60 * 0.45, 23.0), background=-1.0, attribute="id")
+
+
+@query(f"WITH {_stars_sql('b')} SELECT id, CAST(ring AS INTEGER) AS ring, CAST(j AS INTEGER) AS k, round(x, 6) AS x, round(y, 6) AS y, CAST(CASE WHEN j = 0 THEN 1 WHEN j = CASE ring WHEN 0 THEN 9 ELSE 3 END THEN 79 ELSE 2 END AS INTEGER) AS code FROM c_b")
+def path_codes_layer(spark, sf_dir):
+    codes = images.path_codes(stars(spark, sf_dir, "b").withColumnRenamed("feature_id", "id"))
+    return codes.select("id", "ring", "k", r("x", 6).alias("x"), r("y", 6).alias("y"), "code")
+
+
+@query(
+    f"WITH {_stars_sql('b')}, o AS (SELECT id, min(x1) AS x0, max(x1) AS xm, min(y1) AS y0, max(y1) AS ym FROM e_b GROUP BY id),"
+    " sq AS (SELECT id, id * 10000 + n * 100 + m AS g, x0 - 0.8 + n * 0.4 AS sx, y0 - 0.8 + m * 0.4 AS sy FROM o, (SELECT unnest(range(60)) AS n), (SELECT unnest(range(60)) AS m) WHERE n <= floor((xm - x0 + 1.6) / 0.4) AND m <= floor((ym - y0 + 1.6) / 0.4)),"
+    " e AS (SELECT sq.g, 0 AS layer, 0 AS shape, x1, y1, x2, y2 FROM sq JOIN e_b ON e_b.id = sq.id AND ring = 0 UNION ALL SELECT g, 1, 1, sx + u * 0.8, sy + v * 0.8, sx + s * 0.8, sy + t * 0.8 FROM sq, (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)) c(u, v, s, t)),"
+    f" {_green('n0 > 0 AND n1 > 0')} SELECT sq.id, round(sx, 4) AS x0, round(sy, 4) AS y0, round(area / 0.64, 5) AS share FROM q JOIN sq USING (g) WHERE area / 0.64 > 0.5"
+)
+def squares_over_layer(spark, sf_dir):
+    """Squares that a star (its hole filled) covers by more than half."""
+    layer = stars(spark, sf_dir, "b").withColumnRenamed("feature_id", "id")
+    return images.squares_over_polygons(layer, 0.8, 0.4, 0.5).select("id", r("x0").alias("x0"), r("y0").alias("y0"), r("share", 5).alias("share"))
