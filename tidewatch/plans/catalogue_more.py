@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ..dataset import LABEL, TIME, Dataset, melt, widen
 from ..functions import astro, deformation, fuzzy, geodesy, polygons
 from ..operators import decomposition, filters, images, joins, scan, search, series, stats, windows
 from ..sources import readers
-from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _in_diamond, _near, _squares, ev, evg, grid, li, od, query, r, sites, table
+from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _images, _in_diamond, _near, _squares, ev, evg, grid, li, od, query, r, sites, table
 from .pipeline import Incremental, Param, ParamCycle, Pipeline, Stage, run_grid
 
 # --- joins ----------------------------------------------------------------------------------
@@ -639,3 +641,50 @@ def average_linkage(spark, sf_dir):
     pairs = axes.alias("a").join(axes.alias("b"), (F.col("a.axis") == F.col("b.axis")) & (F.col("a.id") < F.col("b.id")))
     distances = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sqrt(F.sum(F.pow(F.col("a.v") - F.col("b.v"), 2))).alias("distance"))
     return decomposition.linkage(distances).select("left", "right", r("distance", 6).alias("distance"), "size")
+
+
+# --- images and files -----------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place that checkpoints go to."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {GRID} SELECT CAST(raster_id AS VARCHAR) AS label, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, round(value - avg(value) OVER (PARTITION BY raster_id), 5) AS value FROM grid")
+def image_apply(spark, sf_dir):
+    """Each image less its own mean, by a function of the array."""
+    flat = images.apply_function(_images(spark, sf_dir), lambda a: a - a.mean())
+    return images.cells_of(flat).select("label", "j", "i", r("value", 5).alias("value"))
+
+
+@query(f"WITH {GRID} SELECT CAST(raster_id AS VARCHAR) AS label, raster_id % 2 AS run, round(sum(value), 4) AS total FROM grid GROUP BY 1, 2")
+def saved_runs(spark, sf_dir):
+    """Images saved by two runs in folders of their own, and one view over both."""
+    whole, folders = _images(spark, sf_dir), [_folder(spark, "images") for _ in range(2)]
+    for k, folder in enumerate(folders):
+        readers.save_run(whole.where(F.col("label").cast("long") % 2 == k), folder, k)
+    seen = readers.linked(spark, folders)
+    run = F.regexp_extract("saved_in", "run_([0-9]{6})", 1).cast("long")
+    return seen.select("label", run.alias("run"), r(F.aggregate("pixels", F.lit(0.0), lambda s, v: s + v)).alias("total"))
+
+
+@query(f"WITH {NEAR} SELECT src AS start, array_to_string(list_sort(list(dst)), ',') AS dst, round(sum(time), 4) AS time FROM e GROUP BY src")
+def paths_as_text(spark, sf_dir):
+    """Rows of arrays and structs written as text and read again."""
+    from_each = _near(spark, sf_dir).groupBy(F.col("src").alias("start")).agg(F.array_sort(F.collect_list("dst")).alias("path"), F.collect_list(F.struct("dst", "time")).alias("steps"))
+    kind = {f.name: f.dataType.simpleString() for f in from_each.schema}
+    path = _folder(spark, "paths")
+    readers.write_paths(from_each, path)
+    back = readers.read_paths(spark, path, kind)
+    total = F.aggregate("steps", F.lit(0.0), lambda s, e: s + e["time"])
+    return back.select("start", F.array_join(F.transform("path", lambda v: v.cast("string")), ",").alias("dst"), r(total).alias("time"))
+
+
+@query(f"WITH {EV}, d AS (SELECT min(ts) + 4 AS a, min(ts) + 11 AS b FROM ev) SELECT label, ts, CASE WHEN label IN ('click', 'view') AND ts BETWEEN a AND b THEN NULL ELSE round(v, 4) END AS v FROM ev, d")
+def blank_range(spark, sf_dir):
+    """One range of days, counted from the first, of two labels."""
+    df = ev(spark, sf_dir)
+    first = df.agg(F.min(TIME)).first()[0]  # one date
+    return filters.blank_range(df, ["v"], first + dt.timedelta(days=4), first + dt.timedelta(days=11), ["click", "view"]).select(LABEL, TIME, r("v").alias("v"))
