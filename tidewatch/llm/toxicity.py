@@ -17,7 +17,7 @@ scores off 0 and 1.  Evidence: the ids and similarities.
 Bounded by a parameter: ``max_examples`` labelled rows of each label are used (chosen by a
 hash of the id).  Labels are read only where crc32(doc_id) mod 4 is not 2; label, language,
 source and id are never inputs of a score, ties included: equally near examples go by a
-hash of their text, equal texts by id.
+hash of their text, equal texts by their label, and what is then alike scores alike.
 
 Defined results: null text counts as empty; a text without any term of the vocabulary gets
 the labels' base rate; texts are read whole, however long; null labels are ignored, of
@@ -132,7 +132,7 @@ class BlockMaxIndex:
         heaviest = np.full(n, -1)
         by_weight = np.lexsort((vectors.terms, vectors.weights, vectors.rows()))
         heaviest[vectors.rows()[by_weight]] = vectors.terms[by_weight]
-        order = np.lexsort((ids, tie, heaviest))
+        order = np.lexsort((ids, labels, tie, heaviest))  # ids only order what is alike in text and label
         held = vectors.take(order)
         self.labels, self.ids, self.block = labels[order], ids[order], block
         self.n_blocks = -(-n // block)
