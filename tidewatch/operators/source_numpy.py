@@ -1,4 +1,4 @@
-"""Forward source models on arrays of stations, for fits on the driver (the column forms are in functions.deformation)."""
+"""Forward source models on arrays of stations, for fits (the column forms are in functions.deformation)."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def _pipe(model: str, x: np.ndarray, y: np.ndarray, d: float, amplitude: float,
         far = end * end - 2 * NU * (end * end + level2)
         level = (2 * NU / rt - top * top / rt**3 + far / re**3) / end
         up = -(top**3 / rt**3 / end - far / re**3)
-    return amplitude * np.stack([level * x, level * y, up], axis=1)
+    return np.stack([amplitude * level * x, amplitude * level * y, amplitude * up], axis=1)
 
 
 def displacement(model: str, lat: np.ndarray, lon: np.ndarray, p: np.ndarray, radius: float = 6371.0) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import LABEL, TIME, Dataset, melt, widen
 from ..functions import astro, deformation, fuzzy, geodesy, polygons
-from ..operators import decomposition, filters, images, joins, scan, search, series, stats, windows
+from ..operators import decomposition, filters, images, inversion, joins, scan, search, series, stats, windows
 from ..sources import readers
 from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _images, _in_diamond, _near, _squares, ev, evg, grid, li, od, query, r, sites, table
 from .pipeline import Incremental, Param, ParamCycle, Pipeline, Stage, run_grid
@@ -688,3 +688,25 @@ def blank_range(spark, sf_dir):
     df = ev(spark, sf_dir)
     first = df.agg(F.min(TIME)).first()[0]  # one date
     return filters.blank_range(df, ["v"], first + dt.timedelta(days=4), first + dt.timedelta(days=11), ["click", "view"]).select(LABEL, TIME, r("v").alias("v"))
+
+
+_SOURCE = {"lat0": "n_nationkey * 2 - 20 + (n_nationkey % 7 - 3) / 100.0", "lon0": "n_nationkey * 5 - 60 + (n_nationkey % 5 - 2) / 50.0", "depth0": "4.0 + n_nationkey % 5 * 0.5", "amplitude0": "(1 + n_nationkey % 3) * 1e-4"}
+
+
+@query(
+    "WITH m AS (SELECT unnest(['closed_pipe', 'constant_open_pipe', 'finite_sphere', 'mogi', 'rising_open_pipe', 'sill']) AS model), n AS (SELECT n_nationkey FROM nation WHERE (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) >= 8)"
+    f" SELECT n_nationkey || '-' || model AS label, model, round(CAST({_SOURCE['lat0']} AS DOUBLE), 4) AS lat, round(CAST({_SOURCE['lon0']} AS DOUBLE), 4) AS lon, round(CAST({_SOURCE['depth0']} AS DOUBLE), 3) AS depth,"
+    f" round(CAST({_SOURCE['amplitude0']} AS DOUBLE) * 1e4, 3) AS amplitude, CASE WHEN model IN ('mogi', 'sill') THEN NULL ELSE 1.5 END AS extra, true AS converged FROM n, m"
+)
+def invert_sources(spark, sf_dir):
+    """Customers as stations over a source of each model below their nation: the sources found from the displacements."""
+    places = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.expr("c_nationkey * 2 - 20 + (c_custkey * 37 % 401 - 200) / 1000.0").cast("double").alias("lat"), F.expr("c_nationkey * 5 - 60 + (c_custkey * 73 % 397 - 198) / 1000.0").cast("double").alias("lon"))
+    at = places.withColumns({c: F.expr(v).cast("double") for c, v in _SOURCE.items()})
+    o = deformation.planar_offsets(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
+    made = []
+    for name, (form, n_extra) in sorted(deformation.MODELS.items()):
+        u = form(o["x"], o["y"], F.col("depth0"), F.col("amplitude0"), *[F.lit(1.5)] * n_extra)
+        made.append(F.struct(F.lit(name).alias("model"), *[F.coalesce(u[c], F.lit(0.0)).alias(d) for c, d in zip("xyz", ("east", "north", "up"), strict=True)]))
+    stations = at.select("n_nationkey", "lat", "lon", F.explode(F.array(*made)).alias("u")).select(F.concat_ws("-", "n_nationkey", "u.model").alias(LABEL), "lat", "lon", "u.*")
+    found = inversion.invert_sources(stations, stations.select(LABEL, "model"), min_stations=8)
+    return found.select(LABEL, "model", r("lat").alias("lat"), r("lon").alias("lon"), r("depth", 3).alias("depth"), r(F.col("amplitude") * 1e4, 3).alias("amplitude"), r("extra", 3).alias("extra"), "converged")
