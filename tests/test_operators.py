@@ -353,6 +353,25 @@ def test_astro_inverses(spark):
     assert all(abs(r.d) < 1e-9 and abs(r.m) < 1e-9 for r in back.collect())
 
 
+@pytest.mark.parametrize(("n", "f_pass", "f_stop", "weights"), [(31, 0.05, 0.1, (1, 1)), (30, 0.05, 0.1, (1, 1)), (61, 0.05, 0.08, (1, 10)), (5, 0.1, 0.3, (1, 1)), (150, 0.1, 0.12, (3, 1))])
+def test_taps_have_equal_ripples(n, f_pass, f_stop, weights):
+    """Minimax: the weighted error reaches one height, in turning signs, once more often than there are free taps."""
+    taps = kernels.fir_taps(n, f_pass, f_stop, weights)
+    assert len(taps) == n and taps == pytest.approx(taps[::-1])
+    f = [np.linspace(0, f_pass, 20000), np.linspace(f_stop, 0.5, 20000)]
+    level = lambda f: np.cos(2 * np.pi * f[:, None] * (np.arange(n) - (n - 1) / 2)) @ taps
+    error = np.concatenate([weights[0] * (1 - level(f[0])), -weights[1] * level(f[1])])
+    height = np.abs(error).max()
+    signs = np.sign(error[np.abs(error) > height * 0.995])
+    assert 1 + np.count_nonzero(np.diff(signs)) >= (n + 1) // 2 + 1
+
+
+def test_taps_that_cannot_be():
+    for bad in ((31, 0.1, 0.05), (31, 0.0, 0.1), (2, 0.1, 0.2), (31, 0.1, 0.5)):
+        with pytest.raises(ValueError):
+            kernels.fir_taps(*bad)
+
+
 def test_tec_low_pass():
     t = np.arange(0, 0.2, 15 / 86400)
     slow = 10 + 5 * t

@@ -764,9 +764,18 @@ def rts_smooth(spark, sf_dir):
     return kernels.rts_smooth(series.resample(od(spark, sf_dir)), "v", 30.0, 100.0, 400.0).select(LABEL, TIME, r("v", 3).alias("v"))
 
 
-@query()
+#: The first 16 of the 31 symmetric taps of equal ripples for the bands [0, 0.05] and [0.1, 0.5].
+TAPS = [0.015453651345365473, 0.0006281916979150712, -0.003562870267700821, -0.00993919946049043, -0.017017487944635402, -0.022620442542746737, -0.024242053304148733, -0.019584764200918498, -0.007153646293424008, 0.01324758866190878, 0.04024887654682462, 0.07098185361543867, 0.10148654100220096, 0.12740095642599253, 0.14478698891551794, 0.15090841568917468]
+
+
+@query(
+    f"WITH {LI}, {POS.format(src='li')}, taps AS (SELECT unnest(range(31)) AS k, unnest({TAPS + TAPS[14::-1]}) AS w), n AS (SELECT label, count(*) AS n, least(93, count(*) - 1) AS pad, arg_min(v, pos) AS first, arg_max(v, pos) AS last FROM x GROUP BY label),"
+    " wide AS (SELECT label, pos AS i, v FROM x UNION ALL SELECT label, -pos, 2 * first - v FROM x JOIN n USING (label) WHERE pos BETWEEN 1 AND pad UNION ALL SELECT label, 2 * (n - 1) - pos, 2 * last - v FROM x JOIN n USING (label) WHERE pos BETWEEN n - 1 - pad AND n - 2),"
+    " once AS (SELECT e.label, e.i, sum(w * b.v) AS v FROM wide e CROSS JOIN taps JOIN wide b ON b.label = e.label AND b.i = e.i - k GROUP BY 1, 2), twice AS (SELECT e.label, e.i, sum(w * b.v) AS v FROM once e CROSS JOIN taps JOIN once b ON b.label = e.label AND b.i = e.i + k GROUP BY 1, 2)"
+    " SELECT x.label, x.ts, round(twice.v, 3) AS v FROM twice JOIN x ON x.label = twice.label AND x.pos = twice.i"
+)
 def lowpass(spark, sf_dir):
-    return kernels.low_pass(li(spark, sf_dir), "v")
+    return kernels.low_pass(li(spark, sf_dir), "v").select(LABEL, TIME, r("v", 3).alias("v"))
 
 
 @query()
