@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,48 +12,114 @@ from pyspark.sql import functions as F
 from ..dataset import LABEL, TIME, melt, written
 from .kernels import least_squares
 
-#: Series that one component analysis takes: its covariance reaches the driver.
+#: Series whose covariance may reach the driver; components of more are found by subspace iteration.
 MAX_SERIES = 2000
 
 
-def covariance(df: DataFrame, columns: list[str], start=None, end=None) -> tuple[list[str], np.ndarray, DataFrame]:
-    """Series names, their covariance over common times, and the long (key, ts, value) table.
-
-    One aggregated self-join on time; only the matrix of series by series is collected.
-    """
+def _common(df: DataFrame, columns: list[str], start=None, end=None) -> tuple[DataFrame, int]:
+    """The long (key, ts, value) table of the times that all series share, and the number of series."""
     series = melt(df, columns).select(F.concat_ws(".", LABEL, "name").alias("key"), TIME, "value").where("value IS NOT NULL")
     if start is not None:
         series = series.where(F.col(TIME) >= F.lit(start))
     if end is not None:
         series = series.where(F.col(TIME) <= F.lit(end))
-    keys = [r.key for r in series.select("key").distinct().orderBy("key").limit(MAX_SERIES + 1).collect()]
-    if len(keys) > MAX_SERIES:
-        raise ValueError(f"more than {MAX_SERIES} series in one analysis")
-    whole = series.groupBy(TIME).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(keys)).select(TIME)
-    series = series.join(whole, TIME)
+    n = series.select("key").distinct().count()
+    whole = series.groupBy(TIME).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select(TIME)
+    return series.join(whole, TIME), n
+
+
+def covariance(df: DataFrame, columns: list[str], start=None, end=None) -> tuple[list[str], np.ndarray, DataFrame]:
+    """Series names, their covariance over common times, and the long (key, ts, value) table.
+
+    One aggregated self-join on time; only the matrix of series by series, of at most ``MAX_SERIES`` rows, is collected.
+    """
+    series, n = _common(df, columns, start, end)
+    if n > MAX_SERIES:
+        raise ValueError(f"more than {MAX_SERIES} series in one matrix")
+    return *_matrix(series), series
+
+
+def _matrix(series: DataFrame) -> tuple[list[str], np.ndarray]:
+    keys = [r.key for r in series.select("key").distinct().orderBy("key").collect()]
     a = series.select(F.col("key").alias("k1"), TIME, F.col("value").alias("x"))
     b = series.select(F.col("key").alias("k2"), TIME, F.col("value").alias("y"))
     at = {k: i for i, k in enumerate(keys)}
     matrix = np.zeros((len(keys), len(keys)))
     for r in a.join(b, TIME).where("k1 <= k2").groupBy("k1", "k2").agg(F.covar_samp("x", "y").alias("c")).collect():
         matrix[at[r.k1], at[r.k2]] = matrix[at[r.k2], at[r.k1]] = r.c if r.c is not None else 0.0
-    return keys, matrix, series
+    return keys, matrix
+
+
+def _times(rows: DataFrame, weights: DataFrame, on: str, to: str, width: int) -> DataFrame:
+    """(to, v): the sums of ``x`` times the vectors ``v`` of ``weights`` over ``on``, added up before they are shuffled."""
+    sums = rows.join(weights, on).groupBy(to).agg(*[F.sum(F.col("x") * F.col("v")[k]).alias(f"_{k}") for k in range(width)])
+    return sums.select(to, F.array(*[f"_{k}" for k in range(width)]).alias("v"))
+
+
+def _gram(vectors: DataFrame, width: int) -> np.ndarray:
+    sums = vectors.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(width) for j in range(width)]).first()
+    return np.array(sums, float).reshape(width, width)
+
+
+def _turned(vectors: DataFrame, by: np.ndarray) -> DataFrame:
+    """Every vector times a small matrix."""
+    return vectors.withColumn("v", F.array(*[sum((F.col("v")[i] * float(c) for i, c in enumerate(column)), F.lit(0.0)) for column in by.T]))
+
+
+def leading_components(series: DataFrame, n: int, spare: int = 6, rounds: int = 300, tolerance: float = 1e-9, seed: int = 0) -> DataFrame:
+    """(component, key, loading, variance) of the largest components of any number of series (key, ts, value at common times).
+
+    Subspace iteration: a round multiplies a few vectors by the centred table and by its transpose, two joins
+    and two sums by key; no matrix of series by series is made and the driver sees ``n + spare`` squared numbers.
+    It ends once no loading moved by more than ``tolerance``; not to end in ``rounds`` rounds is an error.
+    """
+    means = series.groupBy("key").agg(F.avg("value").alias("mean"))
+    table = written(series.join(means, "key").select("key", TIME, (F.col("value") - F.col("mean")).alias("x")))
+    freedom = table.select(TIME).distinct().count() - 1
+    width = min(n + spare, means.count(), max(freedom, 1))
+    now = written(means.select("key", F.array(*[F.xxhash64("key", F.lit(seed), F.lit(k)) / 2.0**63 for k in range(width)]).alias("v")))
+    before = None
+    for _ in range(rounds):
+        values, turn = np.linalg.eigh(_gram(now, width))
+        kept = values > max(values[-1], 1e-300) * 1e-13
+        orthogonal = _turned(now, turn[:, kept] / np.sqrt(values[kept]))
+        width = int(kept.sum())
+        seen = written(_times(table, orthogonal, "key", TIME, width))
+        variances, axes = np.linalg.eigh(_gram(seen, width) / max(freedom, 1))
+        axes, variances = axes[:, ::-1][:, :n], variances[::-1][:n]
+        found = _turned(orthogonal, axes).select("key", F.posexplode("v").alias("component", "loading"))
+        largest = found.groupBy("component").agg(F.max_by("loading", F.struct(F.abs("loading"), "key")).alias("_top"))
+        by = F.create_map(*[F.lit(x) for k, v in enumerate(variances) for x in (k, float(max(v, 0.0)))])
+        # One row a component.
+        signed = found.join(F.broadcast(largest), "component").select(F.col("component").cast("int").alias("component"), "key", (F.col("loading") * F.signum("_top")).alias("loading"), by[F.col("component")].alias("variance"))
+        out = written(signed)
+        if before is not None:
+            moved = out.join(before.select("component", "key", F.col("loading").alias("_was")), ["component", "key"]).agg(F.max(F.abs(F.col("loading") - F.col("_was")))).first()[0]
+            if moved is None or moved <= tolerance:
+                return out
+        before = out
+        now = written(_times(table, seen, TIME, "key", width))
+    raise RuntimeError(f"components still moved by more than {tolerance} after {rounds} rounds")
 
 
 def principal_components(df: DataFrame, columns: list[str], n: int = 3, start=None, end=None) -> tuple[DataFrame, DataFrame]:
     """(component, key, loading, variance) and (ts, component, projection), largest variance first.
 
-    Signs are fixed: the largest loading of a component is positive.
+    Signs are fixed: the largest loading of a component is positive.  Up to ``MAX_SERIES`` series the covariance is
+    solved on the driver, beyond them by :func:`leading_components`.
     """
-    keys, matrix, series = covariance(df, columns, start, end)
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(-values, kind="stable")[:n]
-    rows = []
-    for c, k in enumerate(order):
-        v = vectors[:, k] * np.sign(vectors[np.argmax(np.abs(vectors[:, k])), k])
-        rows += [(c, key, float(x), float(max(values[k], 0.0))) for key, x in zip(keys, v, strict=True)]
-    spark = df.sparkSession
-    loadings = spark.createDataFrame(rows, "component int, key string, loading double, variance double")
+    series, n_series = _common(df, columns, start, end)
+    if n_series > MAX_SERIES:
+        loadings = leading_components(series, n)
+    else:
+        keys, matrix = _matrix(series)
+        values, vectors = np.linalg.eigh(matrix)
+        order = np.argsort(-values, kind="stable")[:n]
+        rows = []
+        for c, k in enumerate(order):
+            v = vectors[:, k] * np.sign(vectors[np.argmax(np.abs(vectors[:, k])), k])
+            rows += [(c, key, float(x), float(max(values[k], 0.0))) for key, x in zip(keys, v, strict=True)]
+        loadings = df.sparkSession.createDataFrame(rows, "component int, key string, loading double, variance double")
     means = series.groupBy("key").agg(F.avg("value").alias("mean"))
     centred = series.join(means, "key").select("key", TIME, (F.col("value") - F.col("mean")).alias("v"))
     projected = centred.join(loadings, "key").groupBy(TIME, "component").agg(F.sum(F.col("v") * F.col("loading")).alias("projection"))
@@ -62,7 +129,8 @@ def principal_components(df: DataFrame, columns: list[str], n: int = 3, start=No
 def independent_components(df: DataFrame, columns: list[str], n: int = 3, rounds: int = 200, seed: int = 0) -> DataFrame:
     """(ts, component, projection) of a fixed-point ICA (log cosh) of the principal projections; signs as above.
 
-    A round is one aggregation of n by n moments over all times; only they reach the driver.
+    A round is one aggregation of n by n moments over all times; only they reach the driver.  Components that have
+    not settled after ``rounds`` rounds are returned with a warning.
     """
     _, projected = principal_components(df, columns, n)
     names = [f"x{k}" for k in range(n)]
@@ -81,6 +149,8 @@ def independent_components(df: DataFrame, columns: list[str], n: int = 3, rounds
         w = new
         if done:
             break
+    else:
+        warnings.warn(f"independent components have not settled in {rounds} rounds", stacklevel=2)
     s = x.select(TIME, *[along_rows(row).alias(c) for row, c in zip(w, names, strict=True)])
     largest = s.agg(*[F.max_by(c, F.struct(F.abs(c), TIME)).alias(c) for c in names]).first()
     signed = F.array(*[F.col(c) * (1.0 if (largest[c] or 0.0) >= 0 else -1.0) for c in names])

@@ -798,10 +798,26 @@ def empirical_modes(spark, sf_dir):
     return modes.groupBy(LABEL, "pos").agg(r(F.sum("value"), 6).alias("v"), (F.count(F.lit(1)) > 2).alias("several"))
 
 
-@query()
+def _power(n: int) -> str:
+    """SQL of component ``n`` of the matrix in ``m{n - 1}`` by power iteration, and of the matrix without it."""
+    rows = "list_transform(m, lambda row: list_dot_product(row, v))"
+    return (
+        f" u{n} AS (SELECT 0 AS i, list_transform(m, lambda row, k: 1.0 / (k + 1)) AS v FROM m{n - 1} UNION ALL SELECT i + 1, list_transform(w, lambda e: e / sqrt(list_dot_product(w, w))) FROM (SELECT i, {rows} AS w FROM u{n}, m{n - 1} WHERE i < 3000)),"
+        f" e{n} AS (SELECT {n - 1} AS component, v, list_dot_product(v, {rows}) AS l FROM u{n}, m{n - 1} WHERE i = 3000),"
+        f" m{n} AS (SELECT list_transform(m, lambda row, a: list_transform(row, lambda x, b: x - l * v[a] * v[b])) AS m FROM m{n - 1}, e{n}),"
+    )
+
+
+@query(
+    f"WITH RECURSIVE {EVG}, s AS (SELECT label || '.v' AS key, ts, v AS value FROM evg WHERE v IS NOT NULL UNION ALL SELECT label || '.s', ts, s FROM evg WHERE s IS NOT NULL), whole AS (SELECT ts FROM s GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT key) FROM s)), c AS (SELECT * FROM s JOIN whole USING (ts)),"
+    " cov AS (SELECT a.key AS k1, b.key AS k2, covar_samp(a.value, b.value) AS c FROM c a JOIN c b USING (ts) GROUP BY 1, 2), m0 AS (SELECT list(r ORDER BY k1) AS m, list(k1 ORDER BY k1) AS keys FROM (SELECT k1, list(c ORDER BY k2) AS r FROM cov GROUP BY k1)),"
+    + "".join(map(_power, (1, 2, 3)))
+    + " x AS (SELECT component, l, unnest(keys) AS key, unnest(v) AS v FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3), m0)"
+    " SELECT CAST(component AS INTEGER) AS component, key, round(v * sign(arg_max(v, abs(v)) OVER (PARTITION BY component)), 5) AS loading, round(l, 4) AS variance FROM x"
+)
 def pca_variance(spark, sf_dir):
     loadings, _ = decomposition.principal_components(evg(spark, sf_dir), ["v", "s"], 3)
-    return loadings.select("component", "key", r("loading", 6).alias("loading"), r("variance").alias("variance"))
+    return loadings.select("component", "key", r("loading", 5).alias("loading"), r("variance").alias("variance"))
 
 
 @query()
