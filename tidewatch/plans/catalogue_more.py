@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import LABEL, TIME, Dataset, melt, widen
 from ..functions import astro, deformation, fuzzy, geodesy, polygons
-from ..operators import decomposition, filters, images, inversion, joins, scan, search, series, stats, windows
+from ..operators import decomposition, filters, images, inversion, joins, scan, search, series, stats, wavelets, windows
 from ..sources import readers
 from .catalogue import EV, EVG, FILLED, GRID, HAV, LI, NEAR, OD, ORACLES, PATHS, POS, SITES, _images, _in_diamond, _near, _squares, ev, evg, grid, li, od, query, r, sites, table
 from .pipeline import Incremental, Param, ParamCycle, Pipeline, Stage, run_grid
@@ -710,3 +710,19 @@ def invert_sources(spark, sf_dir):
     stations = at.select("n_nationkey", "lat", "lon", F.explode(F.array(*made)).alias("u")).select(F.concat_ws("-", "n_nationkey", "u.model").alias(LABEL), "lat", "lon", "u.*")
     found = inversion.invert_sources(stations, stations.select(LABEL, "model"), min_stations=8)
     return found.select(LABEL, "model", r("lat").alias("lat"), r("lon").alias("lon"), r("depth", 3).alias("depth"), r(F.col("amplitude") * 1e4, 3).alias("amplitude"), r("extra", 3).alias("extra"), "converged")
+
+
+@query(
+    f"WITH {EV}, {POS.format(src='ev')}, n AS (SELECT label, count(*) AS n FROM ev GROUP BY label), h AS (SELECT unnest([0, 1, 2, 3]) AS i, unnest([1 + sqrt(3), 3 + sqrt(3), 3 - sqrt(3), 1 - sqrt(3)]) / (4 * sqrt(2)) AS h),"
+    " t AS (SELECT j.i AS j, a.h AS a, j.h * CASE WHEN j.i % 2 = 0 THEN -1 ELSE 1 END AS d FROM h j JOIN h a ON a.i = 3 - j.i), k AS (SELECT label, n, unnest(range((n + 3) // 2)) AS k FROM n), e AS (SELECT label, n, k, a, d, 2 * k + 1 - j AS e FROM k, t),"
+    " y AS (SELECT e.label, k, sum(a * v) AS a, sum(d * v) AS d FROM e JOIN x ON x.label = e.label AND x.pos = CASE WHEN e < 0 THEN -1 - e WHEN e >= n THEN 2 * n - 1 - e ELSE e END GROUP BY 1, 2)"
+    " SELECT label, 'a' AS path, CAST(k AS BIGINT) AS k, round(a, 4) AS value FROM y UNION ALL SELECT label, 'd', CAST(k AS BIGINT), round(d, 4) FROM y"
+)
+def wavelet_packets(spark, sf_dir):
+    return wavelets.wavelet_packets(ev(spark, sf_dir), "v", "db2", 1).select(LABEL, "path", "k", r("value").alias("value"))
+
+
+@query(f"WITH {LI}, {POS.format(src='li')} SELECT label, CAST(pos AS BIGINT) AS k, round(v, 1) AS v FROM x")
+def wavelet_packets_back(spark, sf_dir):
+    packets = wavelets.wavelet_packets(li(spark, sf_dir), "v", "sym4", 3)
+    return wavelets.from_wavelet_packets(packets, "sym4", 3).select(LABEL, "k", r("value", 1).alias("v"))
