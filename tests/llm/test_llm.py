@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -311,6 +312,17 @@ def test_repeats_random_small_alphabet(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
 
 
+def test_ordering_pieces_keeps_little_memory():
+    """A task's pieces are laid out piece by piece, in chunks of whole groups, not through indexes of every byte."""
+    rng = random.Random(31)
+    rows = [{"hash": k // 4, "row": k, "n": 1, "at": 160, "lo": 0, "hi": 160, "data": (b"%08d" % (k // 4)) * 20 + rng.randbytes(200)} for k in range(24_000)]
+    kind = pa.schema([(c, pa.binary() if c == "data" else pa.int64()) for c in rows[0]])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in substring_repeats._order_pieces(200, 40)(iter([pa.RecordBatch.from_pylist(rows, kind)])))
+    assert found == 0 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_fuzzy_passages(spark, plain, nothing):
     rng = random.Random(4)
     passage = [f"p{k}" for k in range(80)]
