@@ -380,6 +380,39 @@ def test_all_holders_of_a_passage_are_linked(spark, holders):
         assert linked == set(range(11)) and len(got) == len(set(got))
 
 
+def test_edited_holders_of_frequent_seeds_are_all_linked(spark):
+    """40 texts with one 80-word passage, each with 10 substitutions of its own: texts of one component are those that brute force links."""
+    rng = random.Random(5)
+    passage = prose(rng, 80, 10**6).split()
+    sides = []
+    for k in range(40):
+        changed = set(rng.sample(range(80), 10))
+        sides.append([f"e{k}-{n}" if n in changed else w for n, w in enumerate(passage)])
+    docs = [(k, " ".join(prose(rng, 30, 10**6).split() + p + prose(rng, 30, 10**6).split())) for k, p in enumerate(sides)]
+    got = fuzzy_passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {k: k for k in range(40)}
+    for r in got:
+        found[r.doc_id] = found[r.other_id] = r.component_id
+    links = []
+    for a, b in itertools.combinations(range(40), 2):
+        same = np.concatenate([[0], np.cumsum([x == y for x, y in zip(sides[a], sides[b], strict=True)])])
+        if any(5 * (same[j] - same[i]) >= 4 * (j - i) for i in range(80) for j in range(i + 50, 81)):
+            links.append((a, b))
+    assert len(links) > 100 and all(found[a] == found[b] for a, b in links)
+
+
+def test_near_surroundings_against_all_pairs():
+    rng = np.random.default_rng(3)
+    line = rng.integers(0, 1 << 16, 30)
+    around = [np.where(rng.random(60) < 0.8, np.r_[line, line], rng.integers(0, 60, 60)).astype(np.uint16) for _ in range(60)]
+    group, component, side = np.arange(60) // 30, rng.integers(0, 12, 60), np.where(np.arange(60) < 30, 0, 1 + np.arange(60) % 2)
+    near = lambda a, b: sum((Counter(zip(around[a], around[a][1:])) & Counter(zip(around[b], around[b][1:]))).values())  # noqa: E731, B905
+    apart = lambda a, b: group[a] == group[b] and component[a] != component[b] and (side[a] == 0 or side[a] != side[b])
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if apart(a, b) and near(a, b) >= 19}
+    got = {tuple(sorted((int(p), int(q)))) for a, b in fuzzy_passages.near_surroundings(group, component, side, around) for p, q in zip(a, b, strict=True)}
+    assert want and want <= got and all(apart(a, b) for a, b in got)
+
+
 def test_densely_edited_passages_are_found(spark):
     """80 % agreement over 50 words with an edit in every fifth word; 75 % is not a passage."""
     rng = random.Random(10)
