@@ -401,6 +401,31 @@ def test_edited_holders_of_frequent_seeds_are_all_linked(spark):
     assert len(links) > 100 and all(found[a] == found[b] for a, b in links)
 
 
+@pytest.mark.parametrize("shared", [45, 60])
+def test_runs_of_one_word_are_compared_cheaply(spark, shared):
+    """A word over and over agrees on every diagonal: only texts that hold a passage are given out, with few matches."""
+    rng = random.Random(shared)
+    texts = [prose(rng, 120, 10**6).split() for _ in range(12)]
+    words = [w[:60] + ["same"] * (shared + k) + w[60:] for k, w in enumerate(texts)]
+    packed = [(k, k, zlib.compress(" ".join(w).encode())) for k, w in enumerate(words)]
+    held = [(k, p, 7) for k, w in enumerate(words) for p in range(60, 60 + shared + k - 3)]
+    late = fuzzy_passages._unlinked(
+        spark.createDataFrame(held, "row long, at long, seed long"), spark.createDataFrame([], "row long, component long"),
+        spark.createDataFrame(packed, "row long, doc_id long, packed binary"),
+    ).collect()
+    size = lambda x: len(x) if isinstance(x, list) else 1
+    matches = sum(size(r.x) for r in late)
+    longest = [shared + k for k in range(12)]
+    assert bool(late) == (longest[-2] >= 50) and matches <= 12 * 2 * sum(longest)
+    # All texts with 50 words or more are linked, through others where need be, and no other.
+    up = list(range(12))
+    for r in late:
+        a, b = up[r.row], up[r.other]
+        up = [a if u == b else u for u in up]
+    assert len({up[k] for k in range(12) if longest[k] >= 50}) == 1
+    assert len(set(up)) == 1 + sum(n < 50 for n in longest)
+
+
 def test_near_surroundings_against_all_pairs():
     rng = np.random.default_rng(3)
     line = rng.integers(0, 1 << 16, 30)
