@@ -212,6 +212,14 @@ def test_density_clusters(spark):
     assert {got[k] for k in range(5)} == {got[1]} and got[10] == got[14] != got[0] and got[99] == -1
 
 
+def test_nearest_sites_that_tie(spark):
+    """At the pole all sites of one latitude are as near but for rounding; the smallest is taken."""
+    sites = spark.createDataFrame([(k, -89.0, float(73 * k % 360 - 180)) for k in range(3, 90)] + [(k, 60.0, 10.0 * k) for k in (200, 201)], "site int, lat double, lon double")
+    points = spark.createDataFrame([(float(lon), -90.0) for lon in range(-170, 180, 20)], "lon double, lat double")
+    got = images.nearest_sites(points, sites, 5.0).collect()
+    assert len(got) == 18 and {r.site for r in got} == {3} and all(r.distance == pytest.approx(1.0) for r in got)
+
+
 def test_linkage(spark):
     rows = [(0, 1, 1.0), (0, 2, 9.0), (1, 2, 8.0)]
     df = spark.createDataFrame(rows, "a int, b int, distance double")

@@ -171,7 +171,8 @@ def _cells_in(band: Column, reach: float) -> Column:
 def nearest_sites(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
     """(point columns, site, distance): spherical Voronoi assignment of points (lat, lon) to sites (site, lat, lon).
 
-    Sites at one place count once (the smallest).  Points meet the sites within ``reach`` degrees through
+    Sites at one place count once (the smallest).  Of sites whose distances in radians agree to nine decimals
+    the smallest is taken, so that rounding decides no tie.  Points meet the sites within ``reach`` degrees through
     latitude bands and longitude cells that widen toward the poles; points with none so near look
     three times as far, until the reach spans the sphere.  NULL only where there are no sites.
     """
@@ -188,10 +189,12 @@ def nearest_sites(points: DataFrame, sites: DataFrame, reach: float) -> DataFram
         held = spread.groupBy("_b", "_c").agg(F.collect_list(F.struct("site", "_lat", "_lon")).alias("_near"))
         band, own = _sphere_cells(F.col("lat"), reach)
         at = rest.withColumns({"_b": band, "_c": F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * own).cast("int")}).join(held, ["_b", "_c"], "left")
-        best = F.array_min(F.transform("_near", lambda p: F.struct(F.degrees(haversine(F.col("lat"), F.col("lon"), p["_lat"], p["_lon"])).alias("d"), p["site"].alias("site"))))
-        at = at.withColumn("_best", best)
-        found = F.lit(True) if reach >= 180 else F.col("_best.d") <= reach
-        met = at.select(*points.columns, F.when(found, F.col("_best.site")).alias("site"), F.when(found, F.col("_best.d")).alias("distance"))
+        met = F.transform("_near", lambda p: F.struct(haversine(F.col("lat"), F.col("lon"), p["_lat"], p["_lon"]).alias("d"), p["site"].alias("site")))
+        at = at.withColumn("_met", met).withColumn("_d", F.degrees(F.array_min("_met")["d"]))
+        best = F.array_min(F.transform("_met", lambda p: F.struct(F.round(p["d"], 9).alias("d"), p["site"].alias("site"))))["site"]
+        # What ties with a site so near lies within reach as well.
+        found = F.lit(True) if reach >= 180 else F.col("_d") <= reach - 1e-7
+        met = at.select(*points.columns, F.when(found, best).alias("site"), F.when(found, F.col("_d")).alias("distance"))
         if reach >= 180:
             return met if out is None else out.unionByName(met)
         met = met.checkpoint()
