@@ -1,11 +1,13 @@
 """Overlay, outlines and buffers of concave rings with holes, in places where edges touch or lie on each other."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import polygons
 from tidewatch.operators import overlay, vectors, voronoi
+from tidewatch.operators import trapezoids as T
 
 RING = "array<struct<x:double,y:double>>"
 C = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 3.0), (4.0, 3.0), (4.0, 4.0), (0.0, 4.0)]
@@ -73,6 +75,36 @@ def test_box_pairs_of_houses_and_a_country(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_array_kernels_against_unions():
+    """Many features on top of each other: a common part is what two have less their union, a rest what a union grows by."""
+    rng = np.random.default_rng(8)
+    ring = lambda x, y, r, n, notch: [{"x": x + r * (notch if k % 2 else 1) * np.cos(2 * np.pi * k / n + r), "y": y + r * (notch if k % 2 else 1) * np.sin(2 * np.pi * k / n + r)} for k in range(n)]
+    rings = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def made(n):
+        at = rng.uniform((0, 0, 0.5), (6, 6, 1.5), (n, 3))
+        return pa.array([ring(x, y, r, 10, 0.5) for x, y, r in at], rings), pa.array([[ring(x, y, 0.3 * r, 4, 1.0)] for x, y, r in at], pa.list_(rings))
+
+    a, b = made(30), made(60)
+    whole = lambda *sides: T.area(T.plain(T.sweep(np.zeros(sum(len(s[2]) for s in sides), int), *(np.concatenate(c) for c in list(zip(*sides, strict=True))[1:]))[1])).sum()
+    pick = lambda f, k: tuple(v[f[0] == k] for v in f)
+    ea, eb = T.feature_edges(*a), T.feature_edges(*b)
+    own, other = T.features(*a), T.features(*b)
+    i, k = np.nonzero(T.meet(own.hulls()[:, None], other.hulls()[None]))
+    found, traced = np.zeros(len(i)), np.zeros(len(i))
+    for pair, piece in T.common(own, other, i, k):
+        np.add.at(found, pair, T.area(piece))
+        g, _, shells, holes = T.outlines(pair, piece, 9, overlay.trace, overlay._inside)
+        size = lambda rs: sum(x * v - u * y for r in rs for (x, y), (u, v) in zip(r, r[1:] + r[:1], strict=True)) / 2
+        for p, s, h in zip(g, shells.to_pylist(), holes.to_pylist(), strict=True):
+            traced[p] += size([[(c["x"], c["y"]) for c in r] for r in [s, *h]])
+    want = [whole(pick(ea, x)) + whole(pick(eb, y)) - whole(pick(ea, x), pick(eb, y)) for x, y in zip(i, k, strict=True)]
+    assert len(i) > 300 and found == pytest.approx(want, abs=1e-9) and traced == pytest.approx(want, abs=1e-7)
+    rest = T.less(own, other, window=3)
+    left = np.bincount(rest.owner, T.area(T.plain(rest.at)), own.n)
+    assert left == pytest.approx([whole(pick(ea, x), eb) - whole(eb) for x in range(own.n)], abs=1e-9) and 0 < (left > 1e-9).sum()
+
+
 def test_buffer_holds_what_is_near(spark):
     """Points clearly nearer than the distance lie inside, points clearly farther outside; a small hole closes."""
     shape = {1: (C, []), 2: (FRAME[0], [FRAME[1][0], [(10.3, 0.3), (10.6, 0.3), (10.6, 0.6), (10.3, 0.6)]])}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import overlay
 from .overlay import RING, outlines
 
-__all__ = ["borders", "buffer_features", "effective_size", "intersect_layers", "outlines", "subtract_layers", "union_area", "union_layers"]
+__all__ = ["borders", "buffer_features", "difference_areas", "effective_size", "intersect_layers", "intersection_areas", "intersection_outlines", "outlines", "subtract_layers", "union_area", "union_areas", "union_layers"]
 
 
 def borders(features: DataFrame) -> DataFrame:
@@ -36,6 +36,26 @@ def subtract_layers(a: DataFrame, b: DataFrame) -> DataFrame:
     return overlay.subtract_layers(_whole(a), _whole(b))
 
 
+def intersection_areas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, area) of the common parts of two layers."""
+    return overlay.intersection_areas(_whole(a), _whole(b))
+
+
+def intersection_outlines(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, part, shell, holes): the rings round the common parts of two layers."""
+    return overlay.intersection_outlines(_whole(a), _whole(b))
+
+
+def difference_areas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, area) of a's features outside all of b's."""
+    return overlay.difference_areas(_whole(a), _whole(b))
+
+
+def union_areas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, area) of the overlay of two layers: common parts, then what only one of them holds (the other's id is null)."""
+    return overlay.union_areas(_whole(a), _whole(b))
+
+
 def buffer_features(features: DataFrame, distance: float, corner: int = 8) -> DataFrame:
     """(feature_id, part, shell, holes, fields): features grown by a distance; ``corner`` points for each quarter of a turn."""
     return overlay.buffer_features(_whole(features), distance, corner)
