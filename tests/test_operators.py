@@ -247,6 +247,15 @@ def test_density_clusters_of_a_crowd(spark):
     assert {(r["cluster"], r["count"]) for r in got} == {(0, 2 * n)}
 
 
+def test_squares_against_clipping(spark):
+    rings = [[{"x": float(3 * k + r * np.cos(t)), "y": float(r * np.sin(t))} for t, r in zip(np.arange(9) * 2 * np.pi / 9, (1, 0.4, 1.3) * 3, strict=True)] for k in range(5)] + [[{"x": 0.0, "y": 0.0}, {"x": 30.0, "y": 0.0}, {"x": 0.0, "y": 9.0}]]
+    df = polygons.bounding_box(spark.createDataFrame(list(enumerate(rings)), "id int, shell array<struct<x:double,y:double>>"))
+    for size, required in ((0.7, 0.5), (2.0, 0.0)):
+        told = lambda d: {(r.id, round(r.x0, 6), round(r.y0, 6)): pytest.approx(r.share, abs=1e-9) for r in d.where("share > 1e-9").collect()}
+        got = told(images.squares_over_polygons(df, size, 0.3, required))
+        assert len(got) > 100 and got == told(images._squares_by_clipping(df, size, 0.3, required))
+
+
 def test_nearest_sites_that_tie(spark):
     """At the pole all sites of one latitude are as near but for rounding; the smallest is taken."""
     sites = spark.createDataFrame([(k, -89.0, float(73 * k % 360 - 180)) for k in range(3, 90)] + [(k, 60.0, 10.0 * k) for k in (200, 201)], "site int, lat double, lon double")

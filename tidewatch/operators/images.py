@@ -7,6 +7,7 @@ its pixels channel after channel, row after row.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +121,52 @@ def add_random_channel(images: DataFrame, tiled: DataFrame, seed: int = 0) -> Da
 
 def squares_over_polygons(polygons: DataFrame, size: float = 100.0, stride: float = 20.0, required: float = 0.5) -> DataFrame:
     """(id, x0, y0, share): squares over each polygon's padded bounds that it covers by more than ``required``."""
+    from . import overlay, trapezoids as T
+
+    names = ["xmin", "ymin", "xmax", "ymax"]
+    laid = polygons.select("id", "shell", F.array().cast(f"array<{overlay.RING}>").alias("holes"), *[F.col(c).cast("double").alias(c) for c in names])
+    few, many = overlay._by_corners(laid)
+
+    def squares(t):
+        """The squares of features in rows of bounded number, without those that the feature's box covers too little."""
+        box = np.column_stack([np.asarray(t[c], float) for c in names])
+        told = np.isfinite(box).all(axis=1)
+        n = np.where(told[:, None], np.floor((box[:, 2:] - box[:, :2] + 2 * size) / stride) + 1, 0).astype(int)
+        last = np.cumsum(n[:, 0] * n[:, 1])
+        for k in range(0, int(last[-1]), 250_000):
+            flat = np.arange(k, min(k + 250_000, int(last[-1])))
+            row = np.searchsorted(last, flat, "right")
+            at = flat - (last[row] - n[row, 0] * n[row, 1])
+            x, y = box[row, 0] - size + at // n[row, 1] * stride, box[row, 1] - size + at % n[row, 1] * stride
+            over = np.maximum(0, np.minimum(x + size, box[row, 2]) - np.maximum(x, box[row, 0])) * np.maximum(0, np.minimum(y + size, box[row, 3]) - np.maximum(y, box[row, 1]))
+            keep = over > required * size**2 * (1 - 1e-9)
+            yield row[keep], x[keep], y[keep]
+
+    def run(batches):
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            for low in range(0, len(whole), overlay.TILE):
+                t = whole.slice(low, overlay.TILE).combine_chunks()
+                shapes = overlay._pieces_of(t)
+                for row, x, y in squares(t):
+                    u, v = x + size, y + size
+                    tiles = T.Pieces(np.arange(len(x)), np.column_stack([x, u, x, y, u, y, x, v, u, v]), len(x))
+                    share = np.zeros(len(x))
+                    for pair, piece in T.common(shapes, tiles, row, np.arange(len(x))):
+                        share += np.bincount(pair, T.area(piece), len(x))
+                    share /= (u - x) * (v - y)
+                    k = np.flatnonzero(share > required)
+                    yield pa.RecordBatch.from_arrays([t["id"].chunk(0).take(pa.array(row[k])), pa.array(x[k]), pa.array(y[k]), pa.array(share[k])], ["id", "x0", "y0", "share"])
+
+    kind = polygons.schema["id"].dataType.simpleString()
+    if required < 0:  # squares that no polygon meets count as well
+        return _squares_by_clipping(laid, size, stride, required)
+    found = few.repartition(overlay._tasks(few), "id").mapInArrow(run, f"id {kind}, x0 double, y0 double, share double")
+    return found if many is None else found.unionByName(_squares_by_clipping(many, size, stride, required))
+
+
+def _squares_by_clipping(polygons: DataFrame, size: float, stride: float, required: float) -> DataFrame:
+    """The same for rings of any number of corners, a square after the other."""
     xs = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("xmax") - F.col("xmin") + 2 * size) / stride)), lambda k: F.col("xmin") - size + k * stride))
     ys = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("ymax") - F.col("ymin") + 2 * size) / stride)), lambda k: F.col("ymin") - size + k * stride))
     at = polygons.withColumn("x0", xs).withColumn("y0", ys).withColumns({"x1": F.col("x0") + size, "y1": F.col("y0") + size})
