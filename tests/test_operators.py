@@ -247,6 +247,16 @@ def test_density_clusters_of_a_crowd(spark):
     assert {(r["cluster"], r["count"]) for r in got} == {(0, 2 * n)}
 
 
+def test_touching_in_a_crowd(spark):
+    """20,000 equal shapes on each side: each shape is told once, not 400 million pairs."""
+    at = "array(struct({0} as x, 0.0D as y), struct({0} + 1 as x, 0.0D as y), struct({0} as x, 1.0D as y))"
+    made = lambda n, x: spark.range(n).selectExpr("id as feature_id", f"{at.format(x)} as geom", f"{x} as xmin", "0.0D as ymin", f"{x} + 1 as xmax", "1.0D as ymax")
+    a, b = made(20_000, "CAST(id % 2 * 40 AS DOUBLE)"), made(20_000, "0.5D")
+    assert joins.spatial_semi_join(a, b).agg(F.count(F.lit(1)), F.max(F.col("feature_id") % 2)).first() == (10_000, 0)
+    assert joins.spatial_semi_join(a, b, anti=True).count() == 10_000
+    assert {q.name for q in joins.spatial_semi_join(a, b).schema} == set(a.columns)
+
+
 def test_squares_against_clipping(spark):
     rings = [[{"x": float(3 * k + r * np.cos(t)), "y": float(r * np.sin(t))} for t, r in zip(np.arange(9) * 2 * np.pi / 9, (1, 0.4, 1.3) * 3, strict=True)] for k in range(5)] + [[{"x": 0.0, "y": 0.0}, {"x": 30.0, "y": 0.0}, {"x": 0.0, "y": 9.0}]]
     df = polygons.bounding_box(spark.createDataFrame(list(enumerate(rings)), "id int, shell array<struct<x:double,y:double>>"))

@@ -133,10 +133,13 @@ def spatial_semi_join(a: DataFrame, b: DataFrame, touches=polygons_touch, size:
 
     Both sides have feature_id, geom (by default a ring) and a bounding box.
     """
-    left = _gridded(a, size, "a").select("feature_id", "_bx", "_by", F.col("geom").alias("_ga"))
-    right = _gridded(b, size, "b").select("_bx", "_by", F.col("geom").alias("_gb"))
-    hit = left.join(right, ["_bx", "_by"]).where(touches(F.col("_ga"), F.col("_gb"))).select("feature_id").distinct()
-    return a.join(hit, "feature_id", "left_anti" if anti else "left_semi")
+    # Equal geometries are told once, and each only up to the first that it touches.
+    shape = ["geom", "xmin", "ymin", "xmax", "ymax"]
+    left = _gridded(a.select(*shape).distinct(), size, "a")
+    right = _gridded(b.select(*shape).distinct(), size, "b").select("_bx", "_by", F.col("geom").alias("_gb")).distinct()
+    met = (left["_bx"] == right["_bx"]) & (left["_by"] == right["_by"])
+    hit = left.join(right, met & touches(F.col("geom"), F.col("_gb")), "left_semi").select(*shape).distinct()
+    return a.join(hit, shape, "left_anti" if anti else "left_semi").select(*a.columns)
 
 
 def neighbour_edges(cells: DataFrame, times: DataFrame, limit: float) -> DataFrame:
