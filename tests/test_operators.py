@@ -257,6 +257,19 @@ def test_touching_in_a_crowd(spark):
     assert {q.name for q in joins.spatial_semi_join(a, b).schema} == set(a.columns)
 
 
+def test_shared_vertices_and_shares(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [int(v) for v in rng.integers(0, 40, 3)]) for k in range(120)] + [(500, []), (501, None), (502, [7, 7, None])]
+    regions = spark.createDataFrame(rows, "id int, vertices array<int>")
+    sets = {k: set(v or []) - {None} for k, v in rows}
+    got = [tuple(r) for r in joins.shared_vertices(regions).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in sets for b in sets if sets[a] & sets[b]}
+    large, small = spark.range(100).selectExpr("id as l", "id % 2 as k"), spark.range(6).selectExpr("id as s", "id % 3 as k")
+    dealt, met = joins.in_shares(large, small, ["k"], "l", rows=10)
+    assert dealt.select("k", "_share").distinct().count() > 2  # one key lies in several shares
+    assert sorted(tuple(r) for r in dealt.join(met, ["k", "_share"]).select("l", "s").collect()) == sorted((a, b) for a in range(100) for b in range(6) if a % 2 == b % 3)
+
+
 def test_squares_against_clipping(spark):
     rings = [[{"x": float(3 * k + r * np.cos(t)), "y": float(r * np.sin(t))} for t, r in zip(np.arange(9) * 2 * np.pi / 9, (1, 0.4, 1.3) * 3, strict=True)] for k in range(5)] + [[{"x": 0.0, "y": 0.0}, {"x": 30.0, "y": 0.0}, {"x": 0.0, "y": 9.0}]]
     df = polygons.bounding_box(spark.createDataFrame(list(enumerate(rings)), "id int, shell array<struct<x:double,y:double>>"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dataset import LABEL, TIME
+from ..dataset import LABEL, TIME, written
 from ..functions.polygons import contains, distance_to_edges, polygons_touch
 
 
@@ -167,7 +167,29 @@ def lookup_info(points: DataFrame, polygons: DataFrame, key: str, fill: str) ->
     return points.join(info, "polygon", "left").withColumn(key, F.coalesce("_v", F.lit(fill))).drop("_v")
 
 
+def in_shares(large: DataFrame, small: DataFrame, key: list[str], by: str, rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with the further key ``_share``: a key's rows of ``large`` are dealt into shares of about
+    ``rows``, each of which meets all of ``small``'s, so that no key that many rows have lands in one task.  The number
+    of tasks is named: few bytes in may be many rows out."""
+    session = large.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    shares = large.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_shares"))
+    dealt = large.join(shares, key).withColumn("_share", F.pmod(F.xxhash64(by), F.col("_shares")).cast("int"))
+    met = small.join(shares, key).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    # Both, as Spark may send either of them to where the other lies.
+    return tuple(df.drop("_shares").repartition(tasks, *key, "_share") for df in (dealt, met))
+
+
 def shared_vertices(regions: DataFrame) -> DataFrame:
-    """(a, b): regions (id, vertices) that share a vertex, themselves included."""
-    v = regions.select("id", F.explode("vertices").alias("v"))
-    return v.select(F.col("id").alias("a"), "v").join(v.select(F.col("id").alias("b"), "v"), "v").select("a", "b").distinct()
+    """(a, b): regions (id, vertices) that share a vertex, themselves included.
+
+    Regions with equal sets of vertices are one class; classes that share a vertex are told first, so that each pair of
+    regions is made once, however many vertices it shares, and none is compared with another.
+    """
+    sets = written(regions.select("id", F.explode("vertices").alias("v")).groupBy("id").agg(F.array_sort(F.collect_set("v")).alias("set")).where(F.size("set") > 0))
+    classes = sets.select("set").distinct()
+    v = classes.select("set", F.explode("set").alias("v"))
+    pairs = v.select(F.col("set").alias("_a"), "v").join(v.select(F.col("set").alias("_b"), "v"), "v").select("_a", "_b").distinct()
+    first = pairs.join(sets.select(F.col("set").alias("_a"), F.col("id").alias("a")), "_a").select("_b", "a")
+    second, first = in_shares(sets.select(F.col("set").alias("_b"), F.col("id").alias("b")), first, ["_b"], "b", rows=1024)
+    return first.join(second, ["_b", "_share"]).select("a", "b")
