@@ -297,6 +297,18 @@ def test_linkage(spark):
     assert len(merges) == 4 and {r.distance for r in merges} == {1.0} and max(r.size for r in merges) == 5
 
 
+def test_linkage_of_points_without_a_table(spark, monkeypatch):
+    """Rounds over blocks of points, down to few clusters, give the merges of the whole table of distances."""
+    monkeypatch.setattr(decomposition, "POINTS", 20)
+    at = np.random.default_rng(2).normal(size=(70, 3))
+    points = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(at)], "id long, v array<double>")
+    pairs = [(a, b, float(np.sqrt(((at[a] - at[b]) ** 2).sum()))) for a in range(70) for b in range(a + 1, 70)]
+    told = lambda df: {(r.left, r.right, r.size): pytest.approx(r.distance) for r in df.collect()}
+    got = told(decomposition.linkage_of_points(points, few=10))
+    assert len(got) == 69 and got == told(decomposition.linkage(spark.createDataFrame(pairs, "a long, b long, distance double")))
+    assert decomposition.linkage_of_points(points.limit(1)).count() == 0 and decomposition.linkage_of_points(points.where("false")).count() == 0
+
+
 def test_spline_and_modes_of_two_tones():
     knots, at = np.array([0.0, 1.0, 2.5, 4.0]), np.linspace(0, 4, 81)
     cubic = kernels.natural_spline(at, knots, np.array([1.0, 3.0, -2.0, 0.5]))

@@ -637,10 +637,7 @@ _POINTS = "pt AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x, sin(s_suppkey)
 def average_linkage(spark, sf_dir):
     """Merges of the suppliers by balance, a wave of their keys, and nation."""
     p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("x"), (F.sin("s_suppkey") * 3).alias("y"), (F.col("s_nationkey") / 5.0).alias("z"))
-    axes = p.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in "xyz"])).alias("p")).select("id", "p.*")
-    pairs = axes.alias("a").join(axes.alias("b"), (F.col("a.axis") == F.col("b.axis")) & (F.col("a.id") < F.col("b.id")))
-    distances = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sqrt(F.sum(F.pow(F.col("a.v") - F.col("b.v"), 2))).alias("distance"))
-    return decomposition.linkage(distances).select("left", "right", r("distance", 6).alias("distance"), "size")
+    return decomposition.linkage_of_points(p.select("id", F.array("x", "y", "z").alias("v"))).select("left", "right", r("distance", 6).alias("distance"), "size")
 
 
 # --- images and files -----------------------------------------------------------------------
