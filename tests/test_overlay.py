@@ -75,6 +75,15 @@ def test_box_pairs_of_houses_and_a_country(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_large_features_go_through_joins(spark, monkeypatch):
+    monkeypatch.setattr(overlay, "CORNERS", 3)  # of these, all but the triangle are large
+    a = layer(spark, {1: (C, []), 2: FRAME, 3: square(50.0, 50.0, 1.0)})
+    b = layer(spark, {7: ([(2.0, -1.0), (6.0, -1.0), (6.0, 5.0), (2.0, 5.0)], []), 8: ([(12.0, 2.0), (18.0, 2.0), (12.0, 8.0)], [])})
+    assert {(r.a_id, r.b_id): r.area for r in vectors.intersection_areas(a, b).collect()} == {(1, 7): pytest.approx(4.0), (2, 8): pytest.approx(3.0)}
+    assert {r.a_id: r.area for r in vectors.difference_areas(a, b).collect()} == {1: pytest.approx(6.0), 2: pytest.approx(9.0), 3: pytest.approx(1.0)}
+    assert sorted((r.a_id, len(r.shell), len(r.holes)) for r in vectors.intersection_outlines(a, b).collect()) == [(1, 4, 0), (1, 4, 0), (2, 6, 0)]
+
+
 def test_array_kernels_against_unions():
     """Many features on top of each other: a common part is what two have less their union, a rest what a union grows by."""
     rng = np.random.default_rng(8)
